@@ -1,9 +1,11 @@
 """Top-level declarations of a Rust text, as one expression per file row.
 
-A coarse token is everything up to and including the next bracket or semicolon that is
-not inside a comment or literal.  A fold over the tokens tracks depth and line, and cuts
-the file into segments; regexes on the segment heads then classify and name them.  All of
-it stays inside the file's row: no token table, no shuffle, and no key to be skewed.
+One regex cuts a text into tokens that end at a statement boundary: a semicolon, a whole
+brace group, or a whole attribute.  Round and square groups are swallowed on the way.  A
+fold over these few tokens joins what belongs together (``const X: T = { .. };``), counts
+lines, and follows the depth where brackets nest too deep for the regex; further regexes
+on the segment heads classify and name them.  All of it stays inside the file's row: no
+token table, no shuffle, and no key to be skewed.
 
 Known limits: block comments nested deeper than ``_COMMENT_NESTING`` and unbalanced
 brackets (broken source).
@@ -19,6 +21,7 @@ from corpusloom.functions.text import count_newlines, is_blank, let, split_lines
 
 _COMMENT_NESTING = 4
 _GENERICS_NESTING = 6
+_BRACKET_NESTING = 16
 
 
 def _block_comment(levels: int) -> str:
@@ -33,80 +36,125 @@ def _generics(levels: int) -> str:
 
 _COMMENT = rf"//[^\n]*+|{_block_comment(_COMMENT_NESTING)}"
 _SHEBANG = r"\A#!(?!\s*\[)[^\n]*+"
-# Possessive throughout: Java recurses on backtracking loops over long inputs.
-_PLAIN = "|".join(
-    [
-        _SHEBANG,
-        r'[^\w{}()\[\];"\'/#]++',
-        r"[ad-qs-zA-Z0-9_]\w*+",
-        r'[bc]?r(#*+)".*?"\1',  # raw string
-        r'[bc]?"[^"\\]*+(?:\\.[^"\\]*+)*+"',
-        r"b?'(?:\\(?:u\{[^}]*+\}|x..|.)|[^'\\\n])'",  # character, before lifetimes
-        r"\w++",
-        _COMMENT,
-        r"#(?!\s*!?\s*\[)",
-        r"[\"'/]",
-    ]
-)
-_TOKEN = rf"(?s)(?:{_PLAIN})*+(?:[{{}}()\[\];]|#\s*!?\s*\[)|(?:{_PLAIN})++"
-_TRIVIA = rf"(?s)\A(?:\s++|{_SHEBANG}|{_COMMENT})*+"
+_ATTRIBUTE = r"#\s*+!?\s*+\["
+
+
+def _plain(tag: str) -> str:
+    """One piece of text without brackets or semicolons; ``tag`` keeps group names apart.
+
+    Possessive throughout: Java recurses on backtracking loops over long inputs.
+    """
+    raw = r"(?<=(?<!\w)[bc]?r)"
+    return "|".join(
+        [
+            r"[^{}()\[\];\"'/#]++",
+            rf'{raw}".*?"',
+            r'"[^"\\]*+(?:\\.[^"\\]*+)*+"',
+            rf'{raw}(?<{tag}>#++)".*?"\k<{tag}>',
+            r"'(?:\\(?:u\{[^}]*+\}|x..|.)|[^'\\\n])'",  # character, before lifetimes
+            _COMMENT,
+            r"[\"'/]",
+        ]
+    )
+
+
+def _inside(levels: int) -> str:
+    """Anything balanced between two brackets, up to ``levels`` further levels."""
+    group = rf"|[{{(\[]{_inside(levels - 1)}[}})\]]" if levels else ""
+    return rf"(?:{_plain(f'n{levels}')}|[;#]{group})*+"
+
+
+_INSIDE = _inside(_BRACKET_NESTING)
+
+
+def _run(tag: str) -> str:
+    """Text up to a boundary; a brace group before ``>`` or ``,`` is a generic argument."""
+    # The nested patterns carry named groups, so each use renames them.
+    inside = [_INSIDE.replace("<n", f"<{tag}{use}n") for use in "abc"]
+    return (
+        rf"(?:{_SHEBANG}|{_plain(tag)}|#(?!\s*+!?\s*+\[)|\({inside[0]}\)|\[{inside[1]}\]"
+        rf"|\{{{inside[2]}\}}(?=\s*+[>,]))"
+    )
+
 
-_VISIBILITY = r"(?:pub\b\s*(?:\([^)]*\)\s*)?)?"
+_BOUNDARY = rf"(?:\{{{_INSIDE.replace('<n', '<bn')}\}}|;|{_ATTRIBUTE}{_INSIDE.replace('<n', '<an')}\])"
+_TOKEN = rf"(?s){_run('x')}*+{_BOUNDARY}|{_run('y')}++|{_ATTRIBUTE}|[{{}}()\[\]]"
+_ENDS_IN_ATTRIBUTE = rf"(?s)\A{_run('x')}*+{_ATTRIBUTE}"
+_TO_BODY = rf"(?s)\A{_run('x')}*+\{{"
+
+_TRIVIA = rf"(?s)\A(?:\s++|{_SHEBANG}|{_COMMENT})*+"
+_GAP = rf"(?:\s|{_COMMENT})"
+_VISIBILITY = rf"(?:pub\b{_GAP}*+(?:\([^)]*\){_GAP}*+)?)?"
 _NAME = r"((?:r#)?\w+)"
-_CONST = rf"(?Us)\A{_VISIBILITY}(?:default\s+)?const\s+(?!(?:fn|unsafe|async|extern)\b){_NAME}\s*:"
-_MACRO = rf"(?Us)\Amacro_rules!\s*{_NAME}"
-_MODIFIER = r'(?:default|async|unsafe|const|auto|gen|safe|extern(?:\s*"[^"]*")?)\s+'
-_ITEM = rf"(?Us)\A{_VISIBILITY}(?:{_MODIFIER})*(fn|struct|enum|impl|trait|mod|static|type)\b(?:\s+(?:(?:mut|ref)\s+)*{_NAME})?"
+_LEAD = rf"(?Us)\A(?:{_GAP}|{_SHEBANG})*+{_VISIBILITY}"
+_CONST = rf"{_LEAD}(?:default{_GAP}++)?const{_GAP}++(?!(?:fn|unsafe|async|extern)\b){_NAME}{_GAP}*+:"
+_MACRO = rf"{_LEAD}macro_rules!{_GAP}*+{_NAME}"
+_MODIFIER = rf'(?:default|async|unsafe|const|auto|gen|safe|extern(?:{_GAP}*+"[^"]*")?){_GAP}++'
+_ITEM = (
+    rf"{_LEAD}(?:{_MODIFIER})*(fn|struct|enum|impl|trait|mod|static|type)\b"
+    rf"(?:{_GAP}++(?:(?:mut|ref){_GAP}++)*+{_NAME})?"
+)
 # Statements whose braces belong to a value or a list: they end at a semicolon only.
-_TO_SEMICOLON = rf"(?s)\A{_VISIBILITY}(?:default\s+)?(?:use|static|type|extern\s+crate|const(?!\s+(?:fn|unsafe|async|extern)\b))\b"
-_IMPL_HEAD = rf"(?s)\A(?:default\s+)?(?:unsafe\s+)?impl\b\s*(?:{_generics(_GENERICS_NESTING)}\s*)?(?:const\s+)?!?(.*?)\s*(?:\bwhere\b.*)?\{{\z"
+_TO_SEMICOLON = (
+    rf"{_LEAD}(?:default{_GAP}++)?"
+    rf"(?:use|static|type|extern{_GAP}++crate|const(?!{_GAP}++(?:fn|unsafe|async|extern)\b))\b"
+)
+_IMPL_HEAD = (
+    rf"(?s)\A(?:default\s+)?(?:unsafe\s+)?impl\b\s*(?:{_generics(_GENERICS_NESTING)}\s*)?"
+    r"(?:const\s+)?!?(.*?)\s*(?:\bwhere\b.*)?\{\z"
+)
 _TRAIT_FOR_TYPE = r"(?s)\A(.*?)\s+for\s+(?!<)(.*)\z"
 
 _ENDS_BY_BRACE = ["fn", "enum", "trait"]
 _ENDS_BY_SEMICOLON = ["const", "static", "type"]
 _MEMBER_KINDS = ["fn", "const", "type"]
 
-_BRACKETS = "{([;)]}"  # code = position: 1-3 open, 4 semicolon, 5-7 close
-_BRACE_OPEN, _SQUARE_OPEN, _SEMICOLON, _SQUARE_CLOSE, _BRACE_CLOSE = 1, 3, 4, 6, 7
-
+# Token codes: how a token ends.
+_OTHER, _OPENS, _OPENS_ATTRIBUTE, _STATEMENT, _GROUP, _ATTRIBUTE_GROUP = 0, 1, 2, 3, 4, 5
+_CLOSES, _CLOSES_BRACE, _CLOSES_SQUARE = -1, -2, -3
 _SEGMENT = "struct<first:int,last:int,start_line:int,end_line:int>"
 
 
 def tokens(source: Column) -> Column:
-    """Coarse tokens; joined they are the source plus one final newline.
+    """Statement-sized tokens; joined they are the source plus one final newline.
 
-    That newline makes the last token end in no bracket, whatever the file ends with.
+    That newline makes the last token end in no boundary, whatever the file ends with.
     """
     return F.regexp_extract_all(F.concat(source, F.lit("\n")), F.lit(_TOKEN), 0)
 
 
-def _token_codes(toks: Column) -> Column:
-    return F.transform(
-        toks,
-        lambda t: F.struct(
-            F.instr(F.lit(_BRACKETS), F.right(t, F.lit(1))).alias("code"),
-            count_newlines(t).cast("int").alias("newlines"),
-        ),
-    )
-
-
 def _trivia(token: Column) -> Column:
     return F.regexp_extract(token, _TRIVIA, 0)
 
 
-def _head(toks: Column, first: Column, last: Column) -> Column:
-    """Start of a segment with comments blanked, enough to tell kind and name."""
-    text = F.array_join(F.slice(toks, first + 1, F.least(last - first + 1, F.lit(8))), "")
-    bare = F.regexp_replace(text, _TRIVIA, "")
-    return F.regexp_replace(bare, _COMMENT, " ")
+def _with_codes(toks: Column) -> Column:
+    """Per token how it ends and how many lines it spans, so that the fold only compares."""
+
+    def coded(t: Column) -> Column:
+        code = (
+            F.when(F.endswith(t, F.lit("}")), F.when(t == "}", _CLOSES_BRACE).otherwise(_GROUP))
+            .when(F.endswith(t, F.lit(";")), _STATEMENT)
+            .when(
+                F.endswith(t, F.lit("]")),
+                F.when(t == "]", _CLOSES_SQUARE)
+                .when(F.rlike(t, F.lit(_ENDS_IN_ATTRIBUTE)), _ATTRIBUTE_GROUP)
+                .otherwise(_OTHER),
+            )
+            .when(t == ")", _CLOSES)
+            .when(t.isin("{", "(", "["), _OPENS)
+            .when(F.rlike(t, F.lit(rf"\A{_ATTRIBUTE}\z")), _OPENS_ATTRIBUTE)
+            .otherwise(_OTHER)
+        )
+        return F.struct(code.alias("code"), count_newlines(t).cast("int").alias("newlines"))
 
+    return F.transform(toks, coded)
 
-def _segments(toks: Column, level: int, start_line: Column) -> Column:
-    """Cut tokens at bracket depth ``level`` into ``struct<body, segments>``.
 
-    ``body`` is the token that opens depth ``level`` with a brace; token positions are
-    0-based.  A segment ends at a semicolon, at the bracket closing an attribute, or at a
-    closing brace unless it is a value's.
+def _segments(toks: Column, start_line: Column) -> Column:
+    """Cut tokens into statements; positions are 0-based, ``first`` and ``last`` inclusive.
+
+    Brackets that stand alone as a token opened or closed a group the regex could not
+    take whole; ``depth`` follows those.
     """
     start = F.struct(
         F.lit(0).alias("i"),
@@ -115,48 +163,38 @@ def _segments(toks: Column, level: int, start_line: Column) -> Column:
         F.lit(-1).alias("first"),
         F.lit(0).alias("first_line"),
         F.lit(False).alias("in_attribute"),
-        F.lit(-1).alias("body"),
         F.array().cast(f"array<{_SEGMENT}>").alias("segments"),
     )
 
     def step(acc: Column, tok: Column) -> Column:
-        code, i, depth = tok["code"], acc["i"], acc["depth"]
-        opens = code.between(1, 3)
-        after = F.greatest(
-            F.lit(0), depth + F.when(opens, 1).when(code > _SEMICOLON, -1).otherwise(0)
+        i, depth, code = acc["i"], acc["depth"], tok["code"]
+        opens = code.isin(_OPENS, _OPENS_ATTRIBUTE)
+        after = (
+            F.when(opens, depth + 1).when(code < 0, F.greatest(depth - 1, F.lit(0))).otherwise(depth)
         )
         begins = acc["first"] < 0
         first = F.when(begins, i).otherwise(acc["first"])
         first_line = F.when(
-            begins & (code > 0), acc["line"] + count_newlines(_trivia(F.get(toks, i)))
+            begins, acc["line"] + count_newlines(_trivia(F.get(toks, i)))
         ).otherwise(acc["first_line"])
         line = acc["line"] + tok["newlines"]
-
-        in_value = F.rlike(_head(toks, first, i), F.lit(_TO_SEMICOLON))
-        in_generics = F.rlike(F.get(toks, i + 1), F.lit(r"\A\s*[>,]"))
+        is_value = F.rlike(F.get(toks, first), F.lit(_TO_SEMICOLON))
         ends = (
-            F.when((code == _SEMICOLON) & (depth == level), True)
-            .when((code == _SQUARE_CLOSE) & (after == level), acc["in_attribute"])
-            .when(
-                (code == _BRACE_CLOSE) & (after == level) & (depth > level),
-                ~in_value & ~in_generics,
-            )
+            F.when(after > 0, False)
+            .when(code.isin(_STATEMENT, _ATTRIBUTE_GROUP), True)
+            .when(code.isin(_GROUP, _CLOSES_BRACE), ~is_value)
+            .when(code == _CLOSES_SQUARE, acc["in_attribute"])
             .otherwise(False)
         )
-        outside = (after < level) | (opens & (depth < level)) | (code == 0)
-        opens_attribute = F.rlike(F.get(toks, i), F.lit(r"#\s*!?\s*\[\z"))
         return F.struct(
             (i + 1).alias("i"),
             after.alias("depth"),
             line.alias("line"),
-            F.when(outside | ends, -1).otherwise(first).alias("first"),
+            F.when(ends, -1).otherwise(first).alias("first"),
             first_line.cast("int").alias("first_line"),
-            F.when(opens & (depth == level), (code == _SQUARE_OPEN) & opens_attribute)
+            F.when(opens & (depth == 0), code == _OPENS_ATTRIBUTE)
             .otherwise(acc["in_attribute"])
             .alias("in_attribute"),
-            F.when((acc["body"] < 0) & (code == _BRACE_OPEN) & (depth == level - 1), i)
-            .otherwise(acc["body"])
-            .alias("body"),
             F.when(
                 ends,
                 F.concat(
@@ -168,59 +206,46 @@ def _segments(toks: Column, level: int, start_line: Column) -> Column:
             .alias("segments"),
         )
 
-    return F.aggregate(
-        _token_codes(toks), start, step, lambda acc: F.struct(acc["body"], acc["segments"])
-    )
+    return F.aggregate(_with_codes(toks), start, step, lambda acc: acc["segments"])
 
 
 def _classified(toks: Column, segments: Column) -> Column:
     """Segments that are declarations, with kind, name, text and line coverage."""
 
-    def with_text(seg: Column) -> Column:
-        return F.struct(
-            seg["first"].alias("first"),
-            seg["last"].alias("last"),
-            seg["start_line"].alias("start_line"),
-            seg["end_line"].alias("end_line"),
-            _head(toks, seg["first"], seg["last"]).alias("head"),
-            F.regexp_replace(
-                F.array_join(F.slice(toks, seg["first"] + 1, seg["last"] - seg["first"] + 1), ""),
-                _TRIVIA,
-                "",
-            ).alias("text"),
-            _trivia(F.get(toks, seg["first"])).alias("trivia"),
-            F.get(toks, seg["last"] + 1).alias("following"),
-        )
-
     def with_kind(seg: Column) -> Column:
-        head = seg["head"]
+        head = F.get(toks, seg["first"])
         kind = (
             F.when(F.rlike(head, F.lit(_CONST)), "const")
             .when(F.rlike(head, F.lit(_MACRO)), "macro")
             .otherwise(F.regexp_extract(head, _ITEM, 1))
         )
+        return F.struct(seg.alias("seg"), kind.alias("kind"))
+
+    def with_text(part: Column) -> Column:
+        seg, kind = part["seg"], part["kind"]
+        head = F.get(toks, seg["first"])
         name = (
-            F.when(F.rlike(head, F.lit(_CONST)), F.regexp_extract(head, _CONST, 1))
-            .when(F.rlike(head, F.lit(_MACRO)), F.regexp_extract(head, _MACRO, 1))
+            F.when(kind == "impl", "")
+            .when(kind == "const", F.regexp_extract(head, _CONST, 1))
+            .when(kind == "macro", F.regexp_extract(head, _MACRO, 1))
             .otherwise(F.regexp_extract(head, _ITEM, 2))
         )
-        at_line_start = F.when(seg["trivia"] == "", seg["first"] == 0).otherwise(
-            F.endswith(seg["trivia"], F.lit("\n"))
+        trivia = _trivia(head)
+        text = F.array_join(F.slice(toks, seg["first"] + 1, seg["last"] - seg["first"] + 1), "")
+        at_line_start = F.when(trivia == "", seg["first"] == 0).otherwise(
+            F.endswith(trivia, F.lit("\n"))
         )
-        at_line_end = F.rlike(seg["following"], F.lit(r"\A\r?\n"))
+        at_line_end = F.rlike(F.get(toks, seg["last"] + 1), F.lit(r"\A\r?\n"))
+        start, end = seg["start_line"], seg["end_line"]
         return F.struct(
             kind.alias("kind"),
-            F.when(kind != "impl", name).otherwise("").alias("name"),
-            seg["first"].alias("first"),
-            seg["last"].alias("last"),
-            seg["start_line"].cast("long").alias("start_line"),
-            seg["end_line"].cast("long").alias("end_line"),
-            seg["text"].alias("text"),
+            name.alias("name"),
+            start.alias("start_line"),
+            end.alias("end_line"),
+            F.substr(text, F.length(trivia) + 1).alias("text"),
             # lines that lie wholly inside the item
-            F.when(at_line_start, seg["start_line"])
-            .otherwise(seg["start_line"] + 1)
-            .alias("covers_from"),
-            F.when(at_line_end, seg["end_line"]).otherwise(seg["end_line"] - 1).alias("covers_to"),
+            F.when(at_line_start, start).otherwise(start + 1).alias("covers_from"),
+            F.when(at_line_end, end).otherwise(end - 1).alias("covers_to"),
         )
 
     def is_item(item: Column) -> Column:
@@ -230,26 +255,23 @@ def _classified(toks: Column, segments: Column) -> Column:
             F.when(item["kind"].isin(_ENDS_BY_BRACE), by_brace)
             .when(item["kind"] == "type", ~by_brace & F.contains(item["text"], F.lit("=")))
             .when(item["kind"].isin(_ENDS_BY_SEMICOLON), ~by_brace)
-            .otherwise(item["kind"] != "")
+            .otherwise(True)
         )
 
-    return F.filter(F.transform(F.transform(segments, with_text), with_kind), is_item)
-
-
-def _chunk(start: Column, end: Column, name: Column, text: Column) -> Column:
-    return F.struct(
-        start.cast("long").alias("start_line"),
-        end.cast("long").alias("end_line"),
-        name.alias("item_name"),
-        text.alias("text"),
-    )
+    named = F.filter(F.transform(segments, with_kind), lambda part: part["kind"] != "")
+    return F.filter(F.transform(named, with_text), is_item)
 
 
 def _piece(item: Column, name: Column, whole_lines: bool) -> Column:
     return F.struct(
-        _chunk(item["start_line"], item["end_line"], name, item["text"]).alias("chunk"),
-        (item["start_line"] if whole_lines else item["covers_from"]).cast("int").alias("covers_from"),
-        (item["end_line"] if whole_lines else item["covers_to"]).cast("int").alias("covers_to"),
+        F.struct(
+            item["start_line"].cast("long").alias("start_line"),
+            item["end_line"].cast("long").alias("end_line"),
+            name.alias("item_name"),
+            item["text"].alias("text"),
+        ).alias("chunk"),
+        item["start_line" if whole_lines else "covers_from"].alias("covers_from"),
+        item["end_line" if whole_lines else "covers_to"].alias("covers_to"),
     )
 
 
@@ -276,39 +298,35 @@ def impl_name(header: Column) -> Column:
     return let(F.regexp_extract(header, _IMPL_HEAD, 1), of_subject)
 
 
-def _impl_pieces(toks: Column, item: Column) -> Column:
+def _impl_pieces(item: Column) -> Column:
     """A large impl block: one piece per member, or the whole block if it has none."""
 
-    def of_slice(own: Column) -> Column:
-        def of_cut(cut: Column) -> Column:
-            header = F.regexp_replace(
-                F.array_join(F.slice(own, 1, cut["body"] + 1), ""), _TRIVIA, ""
-            )
+    def of_parts(parts: Column) -> Column:
+        header, name = parts["header"], parts["name"]
+        body = F.substr(item["text"], F.length(header) + 1)
+        lead = item["start_line"] + count_newlines(header)
 
-            def of_name(name: Column) -> Column:
-                members = F.transform(
-                    F.filter(
-                        _classified(own, cut["segments"]), lambda m: m["kind"].isin(_MEMBER_KINDS)
-                    ),
-                    lambda m: _piece(
-                        m,
-                        F.concat(
-                            name,
-                            F.lit("::"),
-                            F.when(m["name"] != "", m["name"]).otherwise("unknown"),
-                        ),
-                        whole_lines=True,
-                    ),
-                )
-                whole = F.array(_piece(item, name, whole_lines=True))
-                return let(members, lambda ms: F.when(F.size(ms) > 0, ms).otherwise(whole))
+        def member(m: Column) -> Column:
+            own = F.when(m["name"] != "", m["name"]).otherwise("unknown")
+            return _piece(m, F.concat(name, F.lit("::"), own), whole_lines=True)
 
-            return let(impl_name(header), of_name)
+        def of_tokens(toks: Column) -> Column:
+            members = F.filter(
+                _classified(toks, _segments(toks, lead)), lambda m: m["kind"].isin(_MEMBER_KINDS)
+            )
+            return F.transform(members, member)
 
-        lead = item["start_line"] - count_newlines(_trivia(F.get(own, 0)))
-        return let(_segments(own, 1, lead), of_cut)
+        whole = F.array(_piece(item, name, whole_lines=True))
+        # The impl's own closing brace is the last character of the body.
+        inner = F.substr(body, F.lit(1), F.length(body) - 1)
+        return let(
+            let(tokens(inner), of_tokens), lambda ms: F.when(F.size(ms) > 0, ms).otherwise(whole)
+        )
 
-    return let(F.slice(toks, item["first"] + 1, item["last"] - item["first"] + 1), of_slice)
+    header = F.regexp_extract(item["text"], _TO_BODY, 0)
+    return let(
+        let(header, lambda h: F.struct(h.alias("header"), impl_name(h).alias("name"))), of_parts
+    )
 
 
 def _pieces(toks: Column) -> Column:
@@ -316,14 +334,11 @@ def _pieces(toks: Column) -> Column:
         large = (item["kind"] == "impl") & (
             item["end_line"] - item["start_line"] + 1 > LARGE_IMPL_LINES
         )
-        return F.when(large, _impl_pieces(toks, item)).otherwise(
+        return F.when(large, _impl_pieces(item)).otherwise(
             F.array(_piece(item, item_name(item), whole_lines=False))
         )
 
-    return let(
-        _segments(toks, 0, F.lit(1)),
-        lambda cut: F.flatten(F.transform(_classified(toks, cut["segments"]), of_item)),
-    )
+    return F.flatten(F.transform(_classified(toks, _segments(toks, F.lit(1))), of_item))
 
 
 def _preamble(lines: Column, pieces: Column) -> Column:
@@ -340,11 +355,11 @@ def _preamble(lines: Column, pieces: Column) -> Column:
     left = F.filter(F.array_except(every, covered), lambda n: ~is_blank(F.get(lines, n - 1)))
 
     def of_left(left: Column) -> Column:
-        chunk = _chunk(
-            F.get(left, F.lit(0)),
-            F.get(left, F.size(left) - 1),
-            F.lit("preamble"),
-            F.array_join(F.transform(left, lambda n: F.get(lines, n - 1)), "\n"),
+        chunk = F.struct(
+            F.get(left, F.lit(0)).cast("long").alias("start_line"),
+            F.get(left, F.size(left) - 1).cast("long").alias("end_line"),
+            F.lit("preamble").alias("item_name"),
+            F.array_join(F.transform(left, lambda n: F.get(lines, n - 1)), "\n").alias("text"),
         )
         return F.slice(F.array(chunk), 1, F.least(F.size(left), F.lit(1)))
 
@@ -353,14 +368,10 @@ def _preamble(lines: Column, pieces: Column) -> Column:
 
 def declaration_chunks(source: Column) -> Column:
     """``array<struct<start_line, end_line, item_name, text>>``, preamble first."""
-
-    def of_tokens(toks: Column) -> Column:
-        return let(
-            _pieces(toks),
-            lambda pieces: F.concat(
-                let(split_lines(source), lambda lines: _preamble(lines, pieces)),
-                F.transform(pieces, lambda p: p["chunk"]),
-            ),
-        )
-
-    return let(tokens(source), of_tokens)
+    return let(
+        let(tokens(source), _pieces),
+        lambda pieces: F.concat(
+            let(split_lines(source), lambda lines: _preamble(lines, pieces)),
+            F.transform(pieces, lambda p: p["chunk"]),
+        ),
+    )

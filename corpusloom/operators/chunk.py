@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import MAX_CHUNK_BYTES
@@ -60,15 +62,21 @@ def chunk_array(path: Column, source: Column, max_bytes: int = MAX_CHUNK_BYTES)
     )
 
 
-def chunk_files(files: DataFrame, max_bytes: int = MAX_CHUNK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+@lru_cache(maxsize=16)
+def _chunks_of_row(session: SparkSession, max_bytes: int) -> Column:
+    """The expression over ``file_path`` and ``source``, built once per session."""
+    return chunk_array(F.col("file_path"), F.col("source"), max_bytes)
+
+
+def chunk_files(
+    files: DataFrame, max_bytes: int = MAX_CHUNK_BYTES, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """``(file_path, source)`` rows to chunk rows, ``chunk_ord`` giving the order in a file.
 
     ``keep`` names further columns of ``files`` to carry along.
     """
     if max_bytes <= 0:
         raise ValueError("max_bytes must be positive")
-    path, source = F.col("file_path"), F.col("source")
-    exploded = files.select(
-        *keep, path, F.posexplode(chunk_array(path, source, max_bytes)).alias("chunk_ord", "c")
-    )
+    chunks = F.posexplode(_chunks_of_row(files.sparkSession, max_bytes))
+    exploded = files.select(*keep, "file_path", chunks.alias("chunk_ord", "c"))
     return exploded.select(*keep, "file_path", "chunk_ord", "c.*")
