@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from corpusloom.config import BROADCAST_BYTES, CELL_BYTES, TOP_K
 from corpusloom.functions.vectors import norm, matrix, top_k_of_batches
 from corpusloom.operators.search import (
     SmallVectors,
-    _partial_schema,
+    partial_schema_of,
     collect_if_small,
     grid_top_k,
     merge_top_k,
@@ -138,7 +139,7 @@ def ivf_search_batch(
 ) -> DataFrame:
     """``ivf_search`` for a table of queries; ``<query id>, rank, score, <id>``."""
     spark = index.sparkSession
-    schema = _partial_schema(index, queries, id_col, query_id_col)
+    schema = partial_schema_of(index, queries, id_col, query_id_col)
     dims = vector_length(queries, query_vec_col)
     if dims is None:
         return merge_top_k(spark.createDataFrame([], schema), k, id_col, query_id_col)
@@ -158,7 +159,7 @@ def ivf_search_batch(
         # At most nprobe rows per broadcast query.
         pairs = probes.toArrow()
         numbers = np.asarray(
-            [i.as_py() for i in pa.compute.index_in(pairs["query_id"], value_set=small.ids)], dtype=np.int64
+            [i.as_py() for i in pc.index_in(pairs["query_id"], value_set=small.ids)], dtype=np.int64
         )
         by_centroid: dict[int, np.ndarray] = {}
         centroid_of = pairs["centroid"].to_numpy()

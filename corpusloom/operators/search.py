@@ -65,7 +65,7 @@ def collect_if_small(
     return SmallVectors(rows.column(0).combine_chunks(), matrix(rows.column(1), dims))
 
 
-def _partial_schema(index: DataFrame, queries: DataFrame, id_col: str, query_id_col: str) -> T.StructType:
+def partial_schema_of(index: DataFrame, queries: DataFrame, id_col: str, query_id_col: str) -> T.StructType:
     return T.StructType(
         [
             T.StructField("query_id", queries.schema[query_id_col].dataType),
@@ -104,7 +104,7 @@ def search_batch(
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    partial_schema = _partial_schema(index, queries, id_col, query_id_col)
+    partial_schema = partial_schema_of(index, queries, id_col, query_id_col)
     dims = vector_length(queries, query_vec_col)
     if dims is None:
         partial = queries.sparkSession.createDataFrame([], partial_schema)
