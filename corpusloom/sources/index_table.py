@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.config import BROADCAST_BYTES
 from corpusloom.functions.text import external_id
 from corpusloom.schemas import INDEX_SCHEMA
 from corpusloom.session import cut_lineage
@@ -46,8 +47,44 @@ def merge_index(old: DataFrame, new: DataFrame, prune: bool = False) -> DataFram
     Nothing is deleted: a chunk whose lines moved leaves its old row behind.  ``prune``
     drops the old rows of every file that occurs in ``new``.
     """
-    key = "file_path" if prune else "external_id"
-    kept = old.join(new.select(key).distinct() if prune else new.select(key), key, "left_anti")
+    return _kept(old, _keys(new, prune), prune).select(*new.columns).unionByName(new)
+
+
+def _key(prune: bool) -> str:
+    return "file_path" if prune else "external_id"
+
+
+def _keys(rows: DataFrame, prune: bool) -> DataFrame:
+    keys = rows.select(_key(prune))
+    return keys.distinct() if prune else keys
+
+
+def _kept(old: DataFrame, replaced: DataFrame, prune: bool) -> DataFrame:
+    return old.join(replaced, _key(prune), "left_anti")
+
+
+def _fits(keys: DataFrame) -> bool:
+    """Whether the keys, as measured, are small enough to send everywhere."""
+    column = keys.columns[0]
+    size = keys.agg(F.sum(F.octet_length(column) + 32)).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
+
+
+def _merge_measured(old: DataFrame, new: DataFrame, prune: bool) -> DataFrame:
+    """``merge_index`` that moves the wide old rows over the network only if it must.
+
+    Few new keys, or few old keys that stay, are broadcast; only the narrow keys are
+    compared by shuffle.  When both are many, the plain join remains.
+    """
+    replaced = _keys(new, prune)
+    if _fits(replaced):
+        kept = _kept(old, F.broadcast(replaced), prune)
+    else:
+        staying = cut_lineage(_kept(_keys(old, prune), replaced, prune))
+        if _fits(staying):
+            kept = old.join(F.broadcast(staying), _key(prune), "left_semi")
+        else:
+            kept = _kept(old, replaced, prune)
     return kept.select(*new.columns).unionByName(new)
 
 
@@ -100,6 +137,7 @@ def upsert_index(spark: SparkSession, path: str, new: DataFrame, prune: bool = F
     version = current_version(spark, path)
     if new.isEmpty():
         return version
-    merged = merge_index(read_index(spark, path, version), new, prune) if version is not None else new
+    old = read_index(spark, path, version) if version is not None else None
+    merged = new if old is None else _merge_measured(old, new, prune)
     publish(merged, path, (version or 0) + 1)
     return (version or 0) + 1
