@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import MAX_CHUNK_BYTES
 from corpusloom.functions.declarations import declaration_chunks
 from corpusloom.functions.markdown import heading_sections
-from corpusloom.functions.text import is_blank, line_count, truncate_bytes
+from corpusloom.functions.text import is_blank, let, line_count, truncate_bytes
 from corpusloom.schemas import CHUNK_STRUCT
 
 _RAW = "array<struct<start_line:bigint,end_line:bigint,item_name:string,text:string>>"
@@ -62,21 +62,47 @@ def chunk_array(path: Column, source: Column, max_bytes: int = MAX_CHUNK_BYTES)
     )
 
 
+def last_per_range(chunks: Column) -> Column:
+    """Of a file's chunks with the same lines, the last one: what an upsert by id keeps.
+
+    Items that share both lines lie on one line and are neighbours; only the leading
+    preamble can share its lines with an item further on.
+    """
+
+    def same(a: Column, b: Column) -> Column:
+        return (a["start_line"] == b["start_line"]) & (a["end_line"] == b["end_line"])
+
+    def of_bound(chunks: Column) -> Column:
+        def stays(c: Column, i: Column) -> Column:
+            before_equal = F.coalesce(same(c, F.get(chunks, i + 1)), F.lit(False))
+            later = F.slice(chunks, 2, F.greatest(F.size(chunks) - 1, F.lit(0)))
+            return ~before_equal & ~((i == 0) & F.exists(later, lambda d: same(c, d)))
+
+        return F.filter(chunks, stays)
+
+    return let(chunks, of_bound)
+
+
 @lru_cache(maxsize=16)
-def _chunks_of_row(session: SparkSession, max_bytes: int) -> Column:
+def _chunks_of_row(session: SparkSession, max_bytes: int, unique: bool) -> Column:
     """The expression over ``file_path`` and ``source``, built once per session."""
-    return chunk_array(F.col("file_path"), F.col("source"), max_bytes)
+    chunks = chunk_array(F.col("file_path"), F.col("source"), max_bytes)
+    return last_per_range(chunks) if unique else chunks
 
 
 def chunk_files(
-    files: DataFrame, max_bytes: int = MAX_CHUNK_BYTES, keep: tuple[str, ...] = ()
+    files: DataFrame,
+    max_bytes: int = MAX_CHUNK_BYTES,
+    keep: tuple[str, ...] = (),
+    unique: bool = False,
 ) -> DataFrame:
     """``(file_path, source)`` rows to chunk rows, ``chunk_ord`` giving the order in a file.
 
-    ``keep`` names further columns of ``files`` to carry along.
+    ``keep`` names further columns of ``files`` to carry along.  With ``unique``, chunks of
+    a file that would be stored under the same id are reduced to the last.
     """
     if max_bytes <= 0:
         raise ValueError("max_bytes must be positive")
-    chunks = F.posexplode(_chunks_of_row(files.sparkSession, max_bytes))
+    chunks = F.posexplode(_chunks_of_row(files.sparkSession, max_bytes, unique))
     exploded = files.select(*keep, "file_path", chunks.alias("chunk_ord", "c"))
     return exploded.select(*keep, "file_path", "chunk_ord", "c.*")

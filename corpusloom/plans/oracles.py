@@ -249,6 +249,7 @@ SELECT 'parts/' || p_partkey || '.rs:1-1' AS external_id, 'B_' || p_partkey AS i
        'const B_' || p_partkey || ': u8 = 2;' AS text
 FROM part
 """
+ORACLES["last_write_wins_in_file"] = ORACLES["last_write_wins"]
 
 # Sources
 

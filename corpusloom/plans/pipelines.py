@@ -13,7 +13,7 @@ from corpusloom.operators.chunk import chunk_files
 from corpusloom.operators.embed import Embedder, HashEmbedder, embed_documents, embed_query
 from corpusloom.operators.search import attach_attributes, search
 from corpusloom.operators.stats import dry_run_by_root, dry_run_totals
-from corpusloom.sources.corpus import scan_corpus
+from corpusloom.sources.corpus import root_prefix, scan_corpus
 from corpusloom.sources.index_table import (
     index_rows,
     last_per_id,
@@ -27,9 +27,26 @@ def default_embedder(settings: Settings) -> Embedder:
     return HashEmbedder(settings.dimensions)
 
 
-def corpus_index_rows(files: DataFrame, embedder: Embedder, settings: Settings = Settings()) -> DataFrame:
-    """Files to index rows.  Ids are made unique before the model sees the texts."""
-    chunks = last_per_id(with_ids(chunk_files(files, settings.max_chunk_bytes)))
+def paths_are_unique(files: DataFrame) -> bool:
+    """Whether every file has its own path; reads and shuffles the paths only."""
+    return files.groupBy("file_path").count().where("count > 1").isEmpty()
+
+
+def corpus_index_rows(
+    files: DataFrame,
+    embedder: Embedder,
+    settings: Settings = Settings(),
+    unique_paths: bool = False,
+) -> DataFrame:
+    """Files to index rows.  Ids are made unique before the model sees the texts.
+
+    Equal ids within a file are resolved in its own row.  Only where two files may share a
+    path must all chunks be shuffled by id as well; with ``unique_paths`` there is no
+    shuffle from the files to the vectors.
+    """
+    chunks = with_ids(chunk_files(files, settings.max_chunk_bytes, unique=True))
+    if not unique_paths:
+        chunks = last_per_id(chunks)
     return index_rows(embed_documents(chunks, "text", embedder))
 
 
@@ -40,9 +57,13 @@ def index_files(
     settings: Settings = Settings(),
     embedder: Embedder | None = None,
     prune: bool = False,
+    unique_paths: bool | None = None,
 ) -> int | None:
     """Chunk, embed and upsert a corpus; the index version now current."""
-    rows = corpus_index_rows(files, embedder or default_embedder(settings), settings)
+    if unique_paths is None:
+        unique_paths = paths_are_unique(files)
+    embedder = embedder or default_embedder(settings)
+    rows = corpus_index_rows(files, embedder, settings, unique_paths)
     return upsert_index(spark, index_path, rows, prune)
 
 
@@ -53,8 +74,11 @@ def index_roots(
     embedder: Embedder | None = None,
     prune: bool = False,
 ) -> int | None:
+    """``index_files`` over directories; within one root the file system keeps paths unique."""
+    prefixes = [root_prefix(r.path) for r in settings.roots]
+    distinct = len(set(prefixes)) == len(prefixes)
     files = scan_corpus(spark, settings.roots)
-    return index_files(spark, files, index_path, settings, embedder, prune)
+    return index_files(spark, files, index_path, settings, embedder, prune, distinct)
 
 
 @dataclass(frozen=True)

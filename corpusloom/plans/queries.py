@@ -180,11 +180,23 @@ def preamble(spark, sf_dir):
 @registered
 def last_write_wins(spark, sf_dir):
     """Two constants on one line: preamble and both items share an id, the last one stays."""
+    return last_per_id(with_ids(chunk_files(constants(spark, sf_dir)))).select(
+        "external_id", "item_name", "text"
+    )
+
+
+@registered
+def last_write_wins_in_file(spark, sf_dir):
+    """The same, decided within each file's row."""
+    chunks = with_ids(chunk_files(constants(spark, sf_dir), unique=True))
+    return chunks.select("external_id", "item_name", "text")
+
+
+def constants(spark, sf_dir):
     key = F.col("p_partkey").cast("string")
     source = F.concat(F.lit("const A_"), key, F.lit(": u8 = 1; const B_"), key, F.lit(": u8 = 2;\n"))
     path = F.concat(F.lit("parts/"), key, F.lit(".rs"))
-    files = table_corpus(table(spark, sf_dir, "part"), path, source)
-    return last_per_id(with_ids(chunk_files(files))).select("external_id", "item_name", "text")
+    return table_corpus(table(spark, sf_dir, "part"), path, source)
 
 
 # Sources
