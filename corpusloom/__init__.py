@@ -1,5 +1,9 @@
 """Semantic corpus search on Spark: scan, chunk, embed, upsert, search."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from corpusloom.config import Settings, SourceRoot
 from corpusloom.operators.chunk import chunk_files
 from corpusloom.operators.embed import HashEmbedder, ModelEmbedder, embed_documents, embed_queries, embed_query
@@ -17,3 +21,6 @@ __all__ = [
     "search",
     "search_batch",
 ]
+
+# Functions of this package travel to the executors by value: nothing to install there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -100,7 +100,8 @@ def write_by_centroid(assigned: DataFrame, path: str, rows_per_file: int = ROWS_
         "_salt", F.pmod(F.xxhash64("external_id"), F.col("_files"))
     )
     spread = salted.repartition("centroid", "_salt").drop("_files", "_salt")
-    spread.write.partitionBy("centroid").mode("errorifexists").parquet(path)
+    writer = spread.write.partitionBy("centroid").option("maxRecordsPerFile", rows_per_file)
+    writer.mode("errorifexists").parquet(path)
 
 
 def ivf_search(
