@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,20 +84,47 @@ def word_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def token_hashes(tokens: Column) -> Column:
-    """The first nine hexadecimal digits of each token's MD5, as a number."""
-    return F.transform(
-        tokens, lambda t: F.conv(F.left(F.md5(t), F.lit(9)), 16, 10).cast("long")
-    )
+_SLICE_BYTES = 8 << 20  # text split into words at once
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of rows of bounded text size, at least one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        limit = (ends[start - 1] if start else 0) + _SLICE_BYTES
+        stop = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def _word_codes(words: pa.Array) -> np.ndarray:
+    """The first nine hexadecimal digits of each word's MD5; each distinct word hashed once."""
+    coded = words.dictionary_encode()
+    digests = [int(hashlib.md5(w.encode()).hexdigest()[:9], 16) for w in coded.dictionary.to_pylist()]
+    return np.array(digests, dtype=np.int64)[coded.indices.to_numpy()]
+
+
+def _hash_vectors(texts: pa.Array, dims: int) -> np.ndarray:
+    """Signed bucket counts of the words of lower-case texts, at unit length."""
+    split = pc.split_pattern_regex(pc.fill_null(texts, ""), "[^a-z0-9]+")
+    words, row = split.flatten(), pc.list_parent_indices(split).to_numpy()
+    filled = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    codes = _word_codes(words.filter(pa.array(filled)))
+    cell = row[filled] * dims + (codes >> 4) % dims
+    sums = np.bincount(cell, weights=1.0 - 2.0 * (codes & 1), minlength=len(texts) * dims)
+    sums = sums.reshape(len(texts), dims)
+    norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    return np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0).astype(np.float32)
 
 
 @dataclass(frozen=True)
 class HashEmbedder:
     """Feature hashing (Weinberger et al., 2009): signed bucket counts at unit length.
 
-    The first eight digits choose the bucket, the parity of the ninth the sign.  Tokens
-    are hashed by Spark expressions; only the numbers cross to numpy, whole batches at
-    once.  A text without tokens becomes the zero vector.
+    The first eight digits of a word's MD5 choose its bucket, the parity of the ninth its
+    sign.  Words are split, counted and scaled a batch at a time.  A text without words
+    becomes the zero vector.
     """
 
     dimensions: int = DIMENSIONS
@@ -104,22 +133,15 @@ class HashEmbedder:
         dims = self.dimensions
 
         @F.arrow_udf(VECTOR)
-        def spread(hashes: pa.Array) -> pa.Array:
-            lengths = hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            flat = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            cell = np.repeat(np.arange(len(lengths)), lengths) * dims + (flat >> 4) % dims
-            sums = np.bincount(cell, weights=1.0 - 2.0 * (flat & 1), minlength=len(lengths) * dims)
-            sums = sums.reshape(len(lengths), dims)
-            norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-            vectors = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
-            offsets = np.arange(0, len(lengths) * dims + 1, dims, dtype=np.int32)
-            return pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel().astype(np.float32)))
-
-        hashed = df.withColumn("_hashes", token_hashes(word_tokens(F.col(text_col))))
-        return (
-            hashed.withColumn("embedding", spread("_hashes"))
-            .withColumn("usage_tokens", F.size("_hashes").cast("long"))
-            .drop("_hashes")
+        def spread(texts: pa.Array) -> pa.Array:
+            parts = [_hash_vectors(part, dims).ravel() for part in _slices(texts)]
+            values = np.concatenate(parts) if parts else np.empty(0, np.float32)
+            offsets = np.arange(0, len(texts) * dims + 1, dims, dtype=np.int32)
+            return pa.ListArray.from_arrays(offsets, pa.array(values))
+
+        text = F.col(text_col)
+        return df.withColumn("embedding", spread(F.lower(text))).withColumn(
+            "usage_tokens", F.size(word_tokens(text)).cast("long")
         )
 
 
