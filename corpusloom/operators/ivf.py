@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.config import BROADCAST_BYTES, CELL_BYTES, TOP_K
-from corpusloom.functions.vectors import norm, matrix, top_k_of_batches
+from corpusloom.functions.vectors import is_zero, matrix, top_k_of_batches
 from corpusloom.operators.search import (
     SmallVectors,
     partial_schema_of,
@@ -33,7 +33,7 @@ def ivf_train(
     vectors: DataFrame, n_centroids: int, *, vec_col: str = "embedding", seed: int = 0, max_iter: int = 20
 ) -> DataFrame:
     """``centroid, embedding`` rows by k-means under cosine distance."""
-    usable = vectors.where(norm(F.col(vec_col)) > 0)
+    usable = vectors.where(~is_zero(F.col(vec_col)))
     features = usable.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     model = KMeans(k=n_centroids, distanceMeasure="cosine", seed=seed, maxIter=max_iter).fit(features)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.config import BROADCAST_BYTES, CELL_BYTES, TOP_K
-from corpusloom.functions.vectors import TopK, cosine, double_array, matrix, result_table, top_k_of_batches
+from corpusloom.functions.vectors import TopK, cosine_to, matrix, result_table, top_k_of_batches
 from corpusloom.session import cut_lineage
 
 
@@ -32,9 +32,9 @@ def search(
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    scored = index.select(
-        id_col, *carry, cosine(F.col(vec_col), double_array(query)).alias("score")
-    ).where("score is not null")
+    usable = index.where(F.col(vec_col).isNotNull())
+    scored = usable.select(id_col, *carry, cosine_to(query)(F.col(vec_col)).alias("score"))
+    scored = scored.where("score is not null")
     best = scored.orderBy(F.desc("score"), id_col).limit(k)
     # At most k rows are left, so one window over all of them is bounded.
     rank = F.row_number().over(Window.orderBy(F.desc("score"), id_col))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions.vectors import unit
+from corpusloom.functions.vectors import cosine, unit
 from corpusloom.operators import ivf
 from corpusloom.operators.search import search, search_batch
 
@@ -117,6 +117,16 @@ def test_unit_vectors(spark):
     assert values[0] == pytest.approx([0.6, 0.8]) and values[1] is None
 
 
+def test_cosine_of_columns(spark):
+    rows = [([3.0, 4.0], [4.0, 3.0]), ([1.0], [-2.0]), ([0.0, 0.0], [1.0, 1.0]), (None, None)]
+    df = spark.createDataFrame(rows, "a array<float>, b array<float>").coalesce(1)
+    values = [r["c"] for r in df.select(cosine("a", "b").alias("c")).collect()]
+    assert values[:2] == pytest.approx([0.96, -1.0]) and values[2:] == [None, None]
+    uneven = spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<float>, b array<float>")
+    with pytest.raises(Exception, match="vector lengths differ"):
+        uneven.select(cosine("a", "b")).collect()
+
+
 @pytest.fixture(scope="module")
 def assigned(spark, data):
     centroids = ivf.ivf_train(data[2], 6, seed=3, max_iter=4).cache()
