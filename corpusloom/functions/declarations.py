@@ -68,12 +68,13 @@ _INSIDE = _inside(_BRACKET_NESTING)
 
 
 def _run(tag: str) -> str:
-    """Text up to a boundary; a brace group before ``>`` or ``,`` is a generic argument."""
+    """Text up to a boundary; a brace group between ``<`` ``,`` ``=`` and ``>`` ``,`` is a
+    generic argument."""
     # The nested patterns carry named groups, so each use renames them.
     inside = [_INSIDE.replace("<n", f"<{tag}{use}n") for use in "abc"]
     return (
         rf"(?:{_SHEBANG}|{_plain(tag)}|#(?!\s*+!?\s*+\[)|\({inside[0]}\)|\[{inside[1]}\]"
-        rf"|\{{{inside[2]}\}}(?=\s*+[>,]))"
+        rf"|(?<=[<,=]\s{{0,40}})\{{{inside[2]}\}}(?=\s*+[>,]))"
     )
 
 

@@ -94,12 +94,11 @@ def ivf_assign(
 def write_by_centroid(assigned: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Parquet partitioned by centroid; a hot centroid is spread over as many files as it needs."""
     files = F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files")
-    # One row per centroid.
-    sizes = F.broadcast(assigned.groupBy("centroid").agg(files))
-    salted = assigned.join(sizes, "centroid").withColumn(
-        "_salt", F.pmod(F.xxhash64("external_id"), F.col("_files"))
-    )
-    spread = salted.repartition("centroid", "_salt").drop("_files", "_salt")
+    # One row per centroid, and one for the zero vectors, which have none.
+    sizes = F.broadcast(assigned.groupBy(F.col("centroid").alias("_of")).agg(files))
+    salt = F.pmod(F.xxhash64("external_id"), F.col("_files"))
+    salted = assigned.join(sizes, F.col("centroid").eqNullSafe(F.col("_of"))).withColumn("_salt", salt)
+    spread = salted.repartition("centroid", "_salt").drop("_of", "_files", "_salt")
     writer = spread.write.partitionBy("centroid").option("maxRecordsPerFile", rows_per_file)
     writer.mode("errorifexists").parquet(path)
 

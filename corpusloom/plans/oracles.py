@@ -66,7 +66,7 @@ WITH l AS (SELECT doc_id, {line_list('text')} AS lines FROM documents)
 SELECT doc_id, CAST(generate_subscripts(lines, 1) AS BIGINT) AS line_no, unnest(lines) AS line FROM l
 """
 
-ORACLES["line_byte_offsets"] = r"""
+ORACLES["line_offsets"] = r"""
 WITH l AS (
     SELECT doc_id, CASE WHEN text = '' THEN CAST([] AS VARCHAR[])
            ELSE string_split(regexp_replace(text, '\n\z', ''), chr(10)) END AS lines
@@ -128,7 +128,7 @@ SELECT file_path, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIG
 FROM sections WHERE {not_blank('text')}
 """
 
-ORACLES["chunks_per_headed_file"] = f"""
+ORACLES["chunks_per_file"] = f"""
 WITH {_HEADED}
 SELECT file_path, count(*) AS chunks FROM sections WHERE {not_blank('text')} GROUP BY file_path
 """
@@ -159,14 +159,14 @@ _MIXED_CUT = f"WITH {capped(_MIXED_ROWS, 48_000)}"
 
 ORACLES["mixed_chunks"] = f"{_MIXED_CUT} SELECT {_REPORT} FROM cut WHERE {not_blank('text')}"
 
-ORACLES["dry_run_roots"] = f"""
+ORACLES["dry_run_by_root"] = f"""
 {_MIXED_CUT}
 SELECT split_part(file_path, '/', 1) AS root, count(*) AS chunks,
        CAST(sum(strlen(text)) // 4 AS BIGINT) AS tokens
 FROM cut WHERE {not_blank('text')} GROUP BY root ORDER BY root
 """
 
-ORACLES["dry_run_total"] = f"""
+ORACLES["dry_run_totals"] = f"""
 {_MIXED_CUT}
 SELECT count(*) AS total_chunks,
        CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS total_characters,
@@ -274,7 +274,7 @@ SELECT 'not valid UTF-8' AS reason, count(*) AS files FROM documents WHERE doc_i
 
 # Reports
 
-ORACLES["embedding_batches"] = """
+ORACLES["batch_ids"] = """
 SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 128 AS BIGINT) AS batch_id FROM documents
 """
 
@@ -447,7 +447,7 @@ SELECT item_id, external_id, {_RANK.format('PARTITION BY item_id', 'external_id'
 FROM scored QUALIFY rank <= 5
 """
 
-ORACLES["rendered_hits"] = f"""
+ORACLES["render_hits"] = f"""
 {_FIRST_HITS},
 hits AS (
     SELECT *, CAST(row_number() OVER (ORDER BY score DESC, 'vec/' || vec_id) AS INTEGER) AS rank

@@ -40,7 +40,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def registered(query: Query) -> Query:
-    QUERIES[query.__name__] = query
+    """Register under the function's name; ``_query`` only tells it from the operator."""
+    QUERIES[query.__name__.removesuffix("_query")] = query
     return query
 
 
@@ -127,7 +128,7 @@ def split_lines(spark, sf_dir):
 
 
 @registered
-def line_byte_offsets(spark, sf_dir):
+def line_offsets_query(spark, sf_dir):
     return line_offsets(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
@@ -245,12 +246,12 @@ def scanned_paths(spark, sf_dir):
 
 
 @registered
-def dry_run_roots(spark, sf_dir):
+def dry_run_by_root_query(spark, sf_dir):
     return dry_run_by_root(chunk_files(documents_as(spark, sf_dir, mixed_path())))
 
 
 @registered
-def dry_run_total(spark, sf_dir):
+def dry_run_totals_query(spark, sf_dir):
     return dry_run_totals(chunk_files(documents_as(spark, sf_dir, mixed_path())))
 
 
@@ -272,12 +273,12 @@ def dry_run_all_tables(spark, sf_dir):
 
 
 @registered
-def chunks_per_headed_file(spark, sf_dir):
+def chunks_per_file_query(spark, sf_dir):
     return chunks_per_file(chunk_files(headed_documents(spark, sf_dir)))
 
 
 @registered
-def embedding_batches(spark, sf_dir):
+def batch_ids_query(spark, sf_dir):
     return batch_ids(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
@@ -444,7 +445,7 @@ def semantic_search(spark, sf_dir):
 
 
 @registered
-def rendered_hits(spark, sf_dir):
+def render_hits_query(spark, sf_dir):
     embeddings = table(spark, sf_dir, "embeddings")
     vec, label = F.col("vec_id").cast("string"), F.col("label").cast("string")
     index = embeddings.select(

@@ -169,9 +169,9 @@ def test_partial_probe_agrees_on_all_paths(data, assigned, nprobe):
 def test_probes_prune_partitions_and_hot_centroid_gets_several_files(spark, data, assigned, tmp_path):
     centroids, placed = assigned
     path = str(tmp_path / "ivf")
-    ivf.write_by_centroid(placed.where("centroid is not null"), path, rows_per_file=20)
+    ivf.write_by_centroid(placed, path, rows_per_file=20)
     stored = spark.read.parquet(path)
-    assert stored.count() == 300
+    assert stored.count() == 301 and stored.where("centroid is null").count() == 1
     hits = ivf.ivf_search(stored, centroids, [float(x) for x in data[1][3]], 10, nprobe=1)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "centroid" in plan.split("PartitionFilters: [")[1].split("]")[0]
