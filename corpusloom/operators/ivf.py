@@ -17,6 +17,7 @@ from corpusloom.config import BROADCAST_BYTES, CELL_BYTES, TOP_K
 from corpusloom.functions.vectors import is_zero, matrix, top_k_of_batches
 from corpusloom.operators.search import (
     SmallVectors,
+    bounded_broadcast,
     partial_schema_of,
     collect_if_small,
     grid_top_k,
@@ -25,6 +26,7 @@ from corpusloom.operators.search import (
     search_batch,
     vector_length,
 )
+from corpusloom.session import cut_lineage
 
 ROWS_PER_FILE = 1_000_000
 
@@ -94,10 +96,13 @@ def ivf_assign(
 def write_by_centroid(assigned: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Parquet partitioned by centroid; a hot centroid is spread over as many files as it needs."""
     files = F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files")
-    # One row per centroid, and one for the zero vectors, which have none.
-    sizes = F.broadcast(assigned.groupBy(F.col("centroid").alias("_of")).agg(files))
-    salt = F.pmod(F.xxhash64("external_id"), F.col("_files"))
-    salted = assigned.join(sizes, F.col("centroid").eqNullSafe(F.col("_of"))).withColumn("_salt", salt)
+    sizes = assigned.groupBy(F.col("centroid").alias("_of")).agg(files)
+    # Only centroids with more than one file: at most one row per rows_per_file index rows.
+    hot = bounded_broadcast(cut_lineage(sizes.where("_files > 1")))
+    # Zero vectors have no centroid, and may be many too.
+    joined = assigned.join(hot, F.col("centroid").eqNullSafe(F.col("_of")), "left")
+    salt = F.pmod(F.xxhash64("external_id"), F.coalesce("_files", F.lit(1)))
+    salted = joined.withColumn("_salt", salt)
     spread = salted.repartition("centroid", "_salt").drop("_of", "_files", "_salt")
     writer = spread.write.partitionBy("centroid").option("maxRecordsPerFile", rows_per_file)
     writer.mode("errorifexists").parquet(path)

@@ -129,6 +129,14 @@ def search_batch(
     return merge_top_k(partial, k, id_col, query_id_col)
 
 
+def bounded_broadcast(counts: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """A stored table of counts, marked for broadcast if its measured size allows that.
+
+    Beyond the bound the join shuffles, and adaptive execution splits its hot partitions.
+    """
+    return F.broadcast(counts) if counts.count() * row_bytes <= BROADCAST_BYTES else counts
+
+
 def grid_top_k(
     index: DataFrame,
     queries: DataFrame,
@@ -152,8 +160,9 @@ def grid_top_k(
         need = F.ceil(F.count("*") / rows_per_piece).cast("int")
         return df.groupBy("cell").agg(need.alias(name))
 
-    # One row per cell: at most the centroids, whose number the broadcast bound limits.
-    grid = F.broadcast(pieces(index, "index_pieces").join(pieces(queries, "query_pieces"), "cell"))
+    # One row per cell, used by both sides.
+    cells = pieces(index, "index_pieces").join(pieces(queries, "query_pieces"), "cell")
+    grid = bounded_broadcast(cut_lineage(cells))
 
     def dealt(df: DataFrame, key: str, own: str, own_name: str, other: str, other_name: str) -> DataFrame:
         number = F.pmod(F.xxhash64(key), F.col(own)).cast("int")
@@ -174,8 +183,8 @@ def grid_top_k(
             return pa.table({"query_id": asked["query_id"][:0], "score": none, "id": rows["id"][:0]})
         return result_table(top, asked["query_id"].combine_chunks())
 
-    cells = ["cell", "i", "q"]
-    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(score, partial_schema)
+    keys = ["cell", "i", "q"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, partial_schema)
 
 
 def attach_attributes(hits: DataFrame, index: DataFrame, id_col: str = "external_id", vec_col: str = "embedding") -> DataFrame:
