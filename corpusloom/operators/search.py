@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from corpusloom.config import BROADCAST_BYTES, CELL_BYTES, TOP_K
 from corpusloom.functions.vectors import TopK, cosine_to, matrix, result_table, top_k_of_batches
-from corpusloom.session import cut_lineage
+from corpusloom.session import cut_lineage, stored
 
 
 def search(
@@ -154,7 +154,7 @@ def grid_top_k(
     rows_per_piece = max(1, cell_bytes // (8 * dims))
     index = index.where("vec is not null and id is not null")
     # Queries are read three times here, and may come from a model.
-    queries = cut_lineage(queries.where("vec is not null"))
+    queries = stored(queries.where("vec is not null"))
 
     def pieces(df: DataFrame, name: str) -> DataFrame:
         need = F.ceil(F.count("*") / rows_per_piece).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import BROADCAST_BYTES
 from corpusloom.functions.text import external_id
 from corpusloom.schemas import INDEX_SCHEMA
-from corpusloom.session import cut_lineage
+from corpusloom.session import cut_lineage, stored
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def upsert_index(spark: SparkSession, path: str, new: DataFrame, prune: bool = F
     ``new`` is finished and stored before the index is touched, so a failing model leaves
     the index as it was and no model call is repeated.  An empty ``new`` changes nothing.
     """
-    new = cut_lineage(new)
+    new = stored(new)
     version = current_version(spark, path)
     if new.isEmpty():
         return version
