@@ -29,7 +29,8 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _row_sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """Sums per row in element order, so that equal rows have equal sums."""
-    return np.bincount(row, weights=values, minlength=rows)
+    # Without any value bincount returns integers.
+    return np.bincount(row, weights=values, minlength=rows).astype(np.float64, copy=False)
 
 
 @F.arrow_udf(T.DoubleType())

@@ -105,15 +105,34 @@ def _word_codes(words: pa.Array) -> np.ndarray:
     return np.array(digests, dtype=np.int64)[coded.indices.to_numpy()]
 
 
+_WORD_BYTES = b"abcdefghijklmnopqrstuvwxyz0123456789"
+_OTHERS_TO_SPACE = bytes(b if b in _WORD_BYTES else 32 for b in range(256))
+
+
+def _split_words(texts: pa.Array) -> pa.Array:
+    """``[a-z0-9]+`` runs per text, with empty strings in between.
+
+    All bytes of other characters turn into spaces, in one step over the whole buffer.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32, len(texts) + 1, 4 * texts.offset)
+    spaced = bytes(memoryview(data)[at[0] : at[-1]] if data else b"").translate(_OTHERS_TO_SPACE)
+    start = pa.py_buffer((at - at[0]).tobytes())
+    plain = pa.StringArray.from_buffers(len(texts), start, pa.py_buffer(spaced))
+    return pc.ascii_split_whitespace(plain)
+
+
 def _hash_vectors(texts: pa.Array, dims: int) -> np.ndarray:
     """Signed bucket counts of the words of lower-case texts, at unit length."""
-    split = pc.split_pattern_regex(pc.fill_null(texts, ""), "[^a-z0-9]+")
+    split = _split_words(texts)
     words, row = split.flatten(), pc.list_parent_indices(split).to_numpy()
     filled = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
     codes = _word_codes(words.filter(pa.array(filled)))
     cell = row[filled] * dims + (codes >> 4) % dims
     sums = np.bincount(cell, weights=1.0 - 2.0 * (codes & 1), minlength=len(texts) * dims)
-    sums = sums.reshape(len(texts), dims)
+    # Without any word bincount returns integers.
+    sums = sums.reshape(len(texts), dims).astype(np.float64)
     norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
     return np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0).astype(np.float32)
 

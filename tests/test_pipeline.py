@@ -315,3 +315,19 @@ def test_render(spark):
     bare = render_hits(hits.select("rank", "score", "external_id")).orderBy("rank").collect()
     assert bare[0]["rendered"] == "Result 1 (score: 0.9234)\n  File: x:0-0\n  ---\n  ---\n"
     assert render_report(hits.where("false")) == "No results found.\n"
+
+
+def test_word_vectors_of_sliced_batches():
+    import pyarrow as pa
+
+    from corpusloom.operators.embed import _hash_vectors, _slices
+
+    texts = ["", None, " a  b", "über-straße 9", "x" * 50, "...", "a,b;c\n", "naïve"] * 3
+    whole = pa.array(texts)
+    expected = [hashed(t or "", 8) for t in texts]
+    for part, at in ((whole, 0), (whole.slice(3, 7), 3), (whole.slice(5, 0), 5), (pa.array(texts, pa.large_string()), 0)):
+        got = _hash_vectors(part, 8)
+        assert got.shape == (len(part), 8)
+        assert np.allclose(got, np.array(expected[at : at + len(part)]).reshape(-1, 8), atol=1e-6)
+    assert sum(len(p) for p in _slices(whole)) == len(texts)
+    assert not _hash_vectors(pa.array(["", "...", None]), 8).any()
