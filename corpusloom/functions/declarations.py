@@ -17,7 +17,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.config import ITEM_NAME_CHARS, LARGE_IMPL_LINES
-from corpusloom.functions.text import count_newlines, is_blank, let, split_lines, trim_all, unix_newlines
+from corpusloom.functions.text import (
+    count_newlines,
+    gather,
+    is_blank,
+    let,
+    split_lines,
+    trim_all,
+    unix_newlines,
+)
 
 _COMMENT_NESTING = 4
 _GENERICS_NESTING = 6
@@ -113,6 +121,7 @@ _MEMBER_KINDS = ["fn", "const", "type"]
 # Token codes: how a token ends.
 _OTHER, _OPENS, _OPENS_ATTRIBUTE, _STATEMENT, _GROUP, _ATTRIBUTE_GROUP = 0, 1, 2, 3, 4, 5
 _CLOSES, _CLOSES_BRACE, _CLOSES_SQUARE = -1, -2, -3
+_RECENT = 256
 _SEGMENT = "struct<first:int,last:int,start_line:int,end_line:int>"
 
 
@@ -157,6 +166,7 @@ def _segments(toks: Column, start_line: Column) -> Column:
     Brackets that stand alone as a token opened or closed a group the regex could not
     take whole; ``depth`` follows those.
     """
+    none = F.array().cast(f"array<{_SEGMENT}>")
     start = F.struct(
         F.lit(0).alias("i"),
         F.lit(0).alias("depth"),
@@ -164,7 +174,8 @@ def _segments(toks: Column, start_line: Column) -> Column:
         F.lit(-1).alias("first"),
         F.lit(0).alias("first_line"),
         F.lit(False).alias("in_attribute"),
-        F.array().cast(f"array<{_SEGMENT}>").alias("segments"),
+        none.alias("recent"),
+        none.alias("segments"),
     )
 
     def step(acc: Column, tok: Column) -> Column:
@@ -187,6 +198,9 @@ def _segments(toks: Column, start_line: Column) -> Column:
             .when(code == _CLOSES_SQUARE, acc["in_attribute"])
             .otherwise(False)
         )
+        # Appending copies an array, so segments collect in a short one first.
+        full = F.size(acc["recent"]) >= _RECENT
+        found = F.array(F.struct(first, i, first_line, line).cast(_SEGMENT))
         return F.struct(
             (i + 1).alias("i"),
             after.alias("depth"),
@@ -196,18 +210,17 @@ def _segments(toks: Column, start_line: Column) -> Column:
             F.when(opens & (depth == 0), code == _OPENS_ATTRIBUTE)
             .otherwise(acc["in_attribute"])
             .alias("in_attribute"),
-            F.when(
-                ends,
-                F.concat(
-                    acc["segments"],
-                    F.array(F.struct(first, i, first_line, line).cast(_SEGMENT)),
-                ),
-            )
+            F.when(ends, F.when(full, none).otherwise(F.concat(acc["recent"], found)))
+            .otherwise(acc["recent"])
+            .alias("recent"),
+            F.when(full & ends, F.concat(acc["segments"], acc["recent"], found))
             .otherwise(acc["segments"])
             .alias("segments"),
         )
 
-    return F.aggregate(_with_codes(toks), start, step, lambda acc: acc["segments"])
+    return F.aggregate(
+        _with_codes(toks), start, step, lambda acc: F.concat(acc["segments"], acc["recent"])
+    )
 
 
 def _classified(toks: Column, segments: Column) -> Column:
@@ -232,7 +245,7 @@ def _classified(toks: Column, segments: Column) -> Column:
             .otherwise(F.regexp_extract(head, _ITEM, 2))
         )
         trivia = _trivia(head)
-        text = F.array_join(F.slice(toks, seg["first"] + 1, seg["last"] - seg["first"] + 1), "")
+        text = F.array_join(gather(toks, seg["first"], seg["last"]), "")
         at_line_start = F.when(trivia == "", seg["first"] == 0).otherwise(
             F.endswith(trivia, F.lit("\n"))
         )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import let, split_lines, trim_all
+from corpusloom.functions.text import gather, let, split_lines, trim_all
 
 
 def is_heading(line: Column) -> Column:
@@ -38,7 +38,7 @@ def heading_sections(path: Column, source: Column) -> Column:
                     (start + 1).cast("long").alias("start_line"),
                     stop.cast("long").alias("end_line"),
                     F.coalesce(title, path).alias("item_name"),
-                    F.array_join(F.slice(lines, start + 1, stop - start), "\n").alias("text"),
+                    F.array_join(gather(lines, start, stop - 1), "\n").alias("text"),
                 )
 
             return F.transform(starts, section)

@@ -21,6 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def gather(items: Column, first: Column, last: Column) -> Column:
+    """Elements ``first`` to ``last``, 0-based; ``slice`` would walk the whole array each time."""
+    return F.transform(F.sequence(first, last), lambda i: F.get(items, i))
+
+
 def unix_newlines(s: Column) -> Column:
     return F.replace(s, F.lit("\r\n"), F.lit("\n"))
 
