@@ -121,7 +121,7 @@ _MEMBER_KINDS = ["fn", "const", "type"]
 # Token codes: how a token ends.
 _OTHER, _OPENS, _OPENS_ATTRIBUTE, _STATEMENT, _GROUP, _ATTRIBUTE_GROUP = 0, 1, 2, 3, 4, 5
 _CLOSES, _CLOSES_BRACE, _CLOSES_SQUARE = -1, -2, -3
-_RECENT = 256
+_BLOCK = 256
 _SEGMENT = "struct<first:int,last:int,start_line:int,end_line:int>"
 
 
@@ -164,9 +164,10 @@ def _segments(toks: Column, start_line: Column) -> Column:
     """Cut tokens into statements; positions are 0-based, ``first`` and ``last`` inclusive.
 
     Brackets that stand alone as a token opened or closed a group the regex could not
-    take whole; ``depth`` follows those.
+    take whole; ``depth`` follows those.  A fold copies what it has collected at every
+    step, so tokens are taken in blocks: the state at each block's start comes first, and
+    segments are collected block by block.
     """
-    none = F.array().cast(f"array<{_SEGMENT}>")
     start = F.struct(
         F.lit(0).alias("i"),
         F.lit(0).alias("depth"),
@@ -174,11 +175,10 @@ def _segments(toks: Column, start_line: Column) -> Column:
         F.lit(-1).alias("first"),
         F.lit(0).alias("first_line"),
         F.lit(False).alias("in_attribute"),
-        none.alias("recent"),
-        none.alias("segments"),
     )
 
-    def step(acc: Column, tok: Column) -> Column:
+    def step(acc: Column, tok: Column) -> tuple[Column, Column, Column]:
+        """The next state, whether a segment ends here, and that segment."""
         i, depth, code = acc["i"], acc["depth"], tok["code"]
         opens = code.isin(_OPENS, _OPENS_ATTRIBUTE)
         after = (
@@ -198,10 +198,7 @@ def _segments(toks: Column, start_line: Column) -> Column:
             .when(code == _CLOSES_SQUARE, acc["in_attribute"])
             .otherwise(False)
         )
-        # Appending copies an array, so segments collect in a short one first.
-        full = F.size(acc["recent"]) >= _RECENT
-        found = F.array(F.struct(first, i, first_line, line).cast(_SEGMENT))
-        return F.struct(
+        state = F.struct(
             (i + 1).alias("i"),
             after.alias("depth"),
             line.alias("line"),
@@ -210,17 +207,41 @@ def _segments(toks: Column, start_line: Column) -> Column:
             F.when(opens & (depth == 0), code == _OPENS_ATTRIBUTE)
             .otherwise(acc["in_attribute"])
             .alias("in_attribute"),
-            F.when(ends, F.when(full, none).otherwise(F.concat(acc["recent"], found)))
-            .otherwise(acc["recent"])
-            .alias("recent"),
-            F.when(full & ends, F.concat(acc["segments"], acc["recent"], found))
-            .otherwise(acc["segments"])
-            .alias("segments"),
         )
+        return state, ends, F.struct(first, i, first_line, line).cast(_SEGMENT)
 
-    return F.aggregate(
-        _with_codes(toks), start, step, lambda acc: F.concat(acc["segments"], acc["recent"])
-    )
+    def collect(acc: Column, tok: Column) -> Column:
+        state, ends, segment = step(acc["state"], tok)
+        found = acc["segments"]
+        return F.struct(
+            state.alias("state"),
+            F.when(ends, F.concat(found, F.array(segment))).otherwise(found).alias("segments"),
+        )
+
+    def of_codes(codes: Column) -> Column:
+        blocks = F.floor((F.size(codes) - 1) / _BLOCK).cast("int")  # number of the last one
+
+        def block(n: Column) -> Column:
+            last = F.least((n + 1) * _BLOCK, F.size(codes)) - 1
+            return gather(codes, n * _BLOCK, last)
+
+        def next_start(states: Column, n: Column) -> Column:
+            reached = F.aggregate(block(n), F.get(states, n), lambda acc, tok: step(acc, tok)[0])
+            return F.concat(states, F.array(reached))
+
+        complete = F.filter(F.sequence(F.lit(0), blocks), lambda n: n < blocks)
+
+        def of_states(states: Column) -> Column:
+            def segments_of(state: Column, n: Column) -> Column:
+                empty = F.array().cast(f"array<{_SEGMENT}>")
+                begin = F.struct(state.alias("state"), empty.alias("segments"))
+                return F.aggregate(block(n), begin, collect, lambda acc: acc["segments"])
+
+            return F.flatten(F.transform(states, segments_of))
+
+        return let(F.aggregate(complete, F.array(start), next_start), of_states)
+
+    return let(_with_codes(toks), of_codes)
 
 
 def _classified(toks: Column, segments: Column) -> Column:
