@@ -206,3 +206,16 @@ def test_bad_cap_is_rejected(spark):
     files = spark.createDataFrame([("a", "b")], "file_path string, source string")
     with pytest.raises(ValueError):
         chunk_files(files, max_bytes=0)
+
+
+@pytest.mark.parametrize("lead", ["", "use a;\n"])
+def test_many_items_across_fold_blocks(spark, lead):
+    """Two tokens per constant, so with and without a lead some block cuts one in half."""
+    source = lead + "".join(f"const C{i}: S = S {{ a: {i} }};\n" for i in range(700))
+    files = spark.createDataFrame([("a.rs", source)], "file_path string, source string")
+    at = 1 + bool(lead)
+    items = [r for r in chunk_files(files).orderBy("chunk_ord").collect() if r["item_name"] != "preamble"]
+    assert [(r["item_name"], r["start_line"], r["end_line"]) for r in items] == [
+        (f"C{i}", i + at, i + at) for i in range(700)
+    ]
+    assert items[699]["text"] == "const C699: S = S { a: 699 };"
