@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as registry
 from compare import differences, duck
+from corpusloom.plans.oracles import ORACLES
+from corpusloom.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 NO_SQL = {"scanned_paths"}
@@ -16,7 +18,7 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     query, sql = registry.queries()[name], registry.oracle_sql().get(name)
     if name in NO_SQL:
@@ -30,4 +32,6 @@ def test_entry(spark):
 
 
 def test_every_sql_has_a_query():
-    assert set(registry.oracle_sql()) == set(registry.queries()) - NO_SQL
+    assert set(ORACLES) == set(QUERIES) - NO_SQL
+    assert set(QUERIES) <= set(registry.queries())
+    assert set(registry.oracle_sql()) <= set(registry.queries())
