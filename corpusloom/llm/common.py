@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import checkpoint_dir
@@ -56,6 +56,23 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def numbered(df: DataFrame, order: list[Column], group: list[str], name: str, parts: int) -> DataFrame:
+    """``df`` with each row's place, from 1, in its group; ``group`` must come first in ``order``.
+
+    Rows are ranged over ``parts`` partitions, so a hot group is split; places within a partition
+    and counts of earlier partitions add up.  Staged: every reader sees the same places.
+    """
+    at = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", at)
+    ranged = staged(ranged, "ranged").withColumn("__part", F.shiftright("__at", 33))
+    runs = ranged.groupBy("__part", *group).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    joined = ranged.join(runs, ["__part", *group])
+    place = (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias(name)
+    return joined.select(*df.columns, place)
+
+
 # Texts as bytes
 
 

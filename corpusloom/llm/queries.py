@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import best_fit, token_orc
+from corpusloom.llm import best_fit, lsh_forest, mixing, token_orc
 from corpusloom.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,54 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_digests(spark, path)
 
 
+@registered
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+ORACLES["op3_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS name,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents
+), totals AS (
+  SELECT no_source, name, sum(size)::BIGINT AS source_size FROM sized GROUP BY ALL
+), weighed AS (
+  SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY no_source, name)) - 1) % 3 + 1] AS weight,
+    sum(source_size) OVER () AS total
+  FROM totals
+), filled AS (
+  SELECT *,
+    coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, no_source, name
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS capped,
+    sum(weight) OVER (ORDER BY 2 * source_size / weight, no_source, name
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS open
+  FROM weighed
+), level AS (
+  SELECT max(total) AS total, arg_min((1.5::DOUBLE * total - capped) / open, capped) AS level FROM filled
+  WHERE 2 * source_size >= weight * ((1.5::DOUBLE * total - capped) / open)
+), targets AS (
+  SELECT no_source, name, source_size, least((2 * source_size)::DOUBLE, weight * level) AS target
+  FROM weighed, level
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY no_source, name ORDER BY size DESC, doc_id NULLS FIRST) AS place,
+    coalesce(CASE WHEN source_size > 0 THEN floor(target * 16777216 / source_size)::BIGINT END, 0) AS rate,
+    ('0x' || substr(md5('0:' || no_source::VARCHAR || ':' || name), 1, 6))::BIGINT AS start
+  FROM sized JOIN targets USING (no_source, name)
+)
+SELECT doc_id, size, source_size, target,
+  ((place * rate + start) // 16777216 - ((place - 1) * rate + start) // 16777216)::BIGINT AS copies,
+  ((place * rate + start) // 16777216 - ((place - 1) * rate + start) // 16777216)::BIGINT * size AS taken
+FROM placed
+"""
+
+
+@registered
+def op4_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 @registered
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(best_fit.token_pieces(table(spark, sf_dir, "documents")))
