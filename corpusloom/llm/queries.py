@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import best_fit, lsh_forest, mixing, token_orc
-from corpusloom.llm.common import shared_path, table
+from corpusloom.llm import best_fit, language_bitmask, lsh_forest, mixing, token_orc
+from corpusloom.llm.common import fold, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,11 @@ def op4_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(best_fit.token_pieces(table(spark, sf_dir, "documents")))
+
+
+@registered
+def op9_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = language_bitmask.train(language_bitmask.training_rows(docs))
+    found = language_bitmask.identify(docs.select("doc_id", "text"), filters)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "coverage")
