@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import best_fit, language_bitmask, lsh_forest, mixing, token_orc
+from corpusloom.llm import best_fit, language_bitmask, lsh_forest, mixing, rp_forest, token_orc
 from corpusloom.llm.common import fold, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,11 @@ def op4_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+@registered
+def op7_rp_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @registered
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(best_fit.token_pieces(table(spark, sf_dir, "documents")))
