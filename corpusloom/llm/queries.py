@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import best_fit, language_bitmask, lsh_forest, mixing, rp_forest, token_orc
+from corpusloom.llm import best_fit, language_bitmask, lsh_forest, mixing, rp_forest, token_orc, warc_chunks
 from corpusloom.llm.common import fold, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,14 @@ def op4_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+@registered
+def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    segments = warc_chunks.archive(table(spark, sf_dir, "pages"), path)
+    read = warc_chunks.read_chunks(spark, path, segments, with_data=False).where("last")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @registered
 def op7_rp_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
