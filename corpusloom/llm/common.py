@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import checkpoint_dir
@@ -221,7 +221,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two steps that keep connectivity: every node hands its larger neighbours to the
     smallest node it knows, then its smaller ones.  Rounds grow with the logarithm of the
     diameter.  Only minima are aggregated, and the join back is one Spark can split, so a node
-    with very many neighbours is no hot task.  Every round is staged.
+    with very many neighbours is no hot task.  Every step is staged, and counted as it is written.
     """
 
     def minima(pairs: DataFrame) -> DataFrame:
@@ -230,24 +230,26 @@ def components(edges: DataFrame) -> DataFrame:
         least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         return least.select((F.col("u") + F.lit(0)).alias("u"), "m")
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def held(pairs: DataFrame, rows: int) -> tuple[DataFrame, tuple[int, int]]:
+        seen = Observation()
+        mark = F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))
+        watched = pairs.observe(seen, F.count("*").alias("n"), mark.alias("mark"))
+        kept = staged(watched.coalesce(max(12, rows >> 19)), "edges")
+        return kept, (seen.get["n"], seen.get["mark"])
 
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    pairs = staged(pairs.where("u <> v").distinct(), "edges")
-    known = state(pairs)
+    pairs, known = held(pairs.where("u <> v").distinct(), edges.sparkSession.sparkContext.defaultParallelism << 21)
     while known[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(minima(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.where("u <> v").distinct(), "edges")
+        large, _ = held(large.where("u <> v"), known[0])
         low = minima(large)
         small = (
             large.join(low, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
         )
-        pairs = staged(small.where("u <> v").distinct(), "edges")
-        now = state(pairs)
+        pairs, now = held(small.where("u <> v").distinct(), known[0])
         if now == known:
             break
         known = now

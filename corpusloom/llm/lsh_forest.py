@@ -77,12 +77,12 @@ def trie_keys(grams: np.ndarray, factors: np.ndarray, trees: int, depth: int) ->
 
 
 def tile_links(
-    sets: list[np.ndarray], weights: np.ndarray, blocks: np.ndarray, share: Fraction
+    sets: list[np.ndarray], weights: np.ndarray, blocks: np.ndarray, cross: bool, share: Fraction
 ) -> tuple[np.ndarray, np.ndarray]:
-    """For the classes of one tile: linked documents, and the parent in a spanning forest.
+    """For the classes of one tile: linked documents, and the first class reached over links.
 
     Overlaps of all pairs are counted at once, as products of membership blocks.  In a tile of
-    two blocks only pairs between the blocks count.
+    two blocks (``cross``) only pairs between the blocks count.
     """
     n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
     owner = np.repeat(np.arange(n), sizes)
@@ -104,7 +104,7 @@ def tile_links(
     union = sizes[:, None] + sizes[None, :] - overlap
     linked = overlap * share.denominator >= union * share.numerator
     np.fill_diagonal(linked, False)
-    if blocks.min() != blocks.max():
+    if cross:
         linked &= blocks[:, None] != blocks[None, :]
     parent = np.arange(n)
     seen = np.zeros(n, bool)
@@ -115,7 +115,7 @@ def tile_links(
         while front:
             at = front.pop()
             near = np.flatnonzero(linked[at] & ~seen)
-            parent[near], seen[near] = at, True
+            parent[near], seen[near] = start, True
             front.extend(near.tolist())
     return linked @ weights, parent
 
@@ -142,7 +142,8 @@ def near_duplicates(
 
     Tries are grouped by prefix; members of a group hang on its smallest member, and connected
     groups are verified exactly in tiles of at most two blocks of classes, so no group, however
-    large, meets in one task, and no pairs are written: a tile returns sums and a spanning forest.
+    large, meets in one task, and no pairs are written: a tile returns sums and the smallest
+    class each one reaches; only groups of several tiles are connected again.
     """
     spark = docs.sparkSession
     share = Fraction(str(threshold))
@@ -232,43 +233,44 @@ def near_duplicates(
     )
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     placed = sets.withColumn("other", other).select(
-        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n_docs", "grams"
+        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "blocks", "node", "n_docs", "grams"
     )
     parts = part_count(spark, groups.count(), 4096)
     placed = placed.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
-        current = None
+        current, several = None, 0  # several: the group has more than one tile
 
         def links() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                nodes = np.array(list(held), np.int64)
-                blocks, weights, sets = zip(*held.values())
-                n_links, parent = tile_links(list(sets), np.array(weights, np.int64), np.array(blocks), share)
+                nodes = np.array(sorted(held), np.int64)
+                blocks, weights, sets = zip(*(held[node] for node in nodes.tolist()))
+                n_links, parent = tile_links(list(sets), np.array(weights, np.int64), np.array(blocks), current[1] != current[2], share)
                 at = np.flatnonzero(n_links)
                 if len(at):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, pa.int64()) for x in (nodes[at], n_links[at], nodes[parent[at]])],
-                        names=["node", "n_links", "parent"],
+                        [pa.array(x, pa.int64()) for x in (nodes[at], n_links[at], nodes[parent[at]], np.full(len(at), several))],
+                        names=["node", "n_links", "parent", "several"],
                     )
 
         for batch in batches:
             tile = zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j")))
-            nodes, blocks, weights = (batch.column(c).to_pylist() for c in ("node", "block", "n_docs"))
+            nodes, blocks, weights, counts = (batch.column(c).to_pylist() for c in ("node", "block", "n_docs", "blocks"))
             grams = batch.column("grams")
             for row, name in enumerate(tile):
                 if name != current:
                     yield from links()
-                    held, current = {}, name
+                    held, current, several = {}, name, int(counts[row] > 1)
                 if nodes[row] not in held:
                     value = np.frombuffer(grams[row].as_buffer(), "<u8").copy()
                     held[nodes[row]] = (blocks[row], weights[row], value)
         yield from links()
 
-    verified = staged(placed.mapInArrow(verify, "node long, n_links long, parent long"), "links")
+    verified = staged(placed.mapInArrow(verify, "node long, n_links long, parent long, several long"), "links")
     linked = verified.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    found = components(verified.where("node <> parent").select(F.col("node").alias("a"), F.col("parent").alias("b")))
+    found = components(verified.where("several > 0").select(F.col("node").alias("a"), F.col("parent").alias("b")))
+    found = found.unionByName(verified.where("several = 0").select("node", F.col("parent").alias("root")))
     # Labels, back to every document.
     named = classes.select("node", "digest", "n_docs", "copy_id").join(found, "node", "left").join(linked, "node", "left")
     named = staged(named.withColumn("root", F.coalesce("root", "node")), "named")
