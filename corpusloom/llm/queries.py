@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import best_fit, language_bitmask, lsh_forest, mixing, rp_forest, token_orc, warc_chunks
+from corpusloom.llm import best_fit, interpolated_lm, language_bitmask, lsh_forest, mixing, rp_forest, token_orc, warc_chunks
 from corpusloom.llm.common import fold, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,11 @@ def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@registered
+def op6_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op7_rp_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
