@@ -11,7 +11,7 @@ WEIGHTS = (5, 2, 1)  # by source in code point order, repeating
 SHARE = 1.5  # the mix's words, as a share of all words
 MOST = 2  # times a source's words at most
 UNIT = 24  # expected copies are counted in units of 2 ** -UNIT
-ROWS_EACH = 1 << 17
+ROWS_EACH = 1 << 14
 
 
 def word_count(text: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import best_fit, interpolated_lm, language_bitmask, lsh_forest, mixing, rp_forest, token_orc, warc_chunks
+from corpusloom.llm import best_fit, interpolated_lm, language_bitmask, lsh_forest, mixing, order_minhash, rp_forest, token_orc, warc_chunks
 from corpusloom.llm.common import fold, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_digests(spark, path)
 
 
+@registered
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
