@@ -188,6 +188,29 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[
     return np.concatenate(found), np.concatenate(([0], np.cumsum(counts)))
 
 
+def text_blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row range, bytes and offsets of at most about ``SLICE_BYTES``: for sums over a text.
+
+    A longer text comes in several blocks, cut after a space; where a whole block has none, it is
+    cut between characters.
+    """
+    for low, high in slices(offsets):
+        part, local = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        at = 0
+        while len(part) > SLICE_BYTES and at < len(part):
+            to = min(at + SLICE_BYTES, len(part))
+            if to < len(part):
+                spaces = np.flatnonzero(part[at:to] == 0x20)
+                if len(spaces):
+                    to = at + int(spaces[-1]) + 1
+                while to < len(part) and part[to] & 0xC0 == 0x80:
+                    to -= 1
+            yield low, high, part[at:to], np.array([0, to - at])
+            at = to
+        if len(part) <= SLICE_BYTES:
+            yield low, high, part, local
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An index of each distinct key, keys ascending, and for every element its key's number."""
     order = np.argsort(keys, kind="stable")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import SLICE_BYTES, distinct, fold, mixed, slices, staged, text_bytes, worker_state
+from corpusloom.llm.common import distinct, fold, mixed, staged, text_blocks, text_bytes, worker_state
 
 LENGTHS = (3, 4)  # characters of an n-gram
 SLOT_BITS, HASHES = 20, 3  # 2 ** 20 slots; three slots an n-gram, from 60 bits of its hash
@@ -35,26 +35,11 @@ def _letters() -> np.ndarray:
 def gram_blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row range, n-gram hashes and text number (from the range's start) of each n-gram.
 
-    N-grams stay within a word and its two borders.  A text of more than ``SLICE_BYTES`` comes in
-    blocks cut between words (within a word only where a whole block has no white space).
+    N-grams stay within a word and its two borders, so long texts may come in blocks.
     """
     letters = worker_state("letters", _letters)
-    for low, high in slices(offsets):
-        part, local = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-        if len(part) <= SLICE_BYTES:
-            yield low, high, *_grams(part, local, letters)
-            continue
-        at = 0
-        while at < len(part):
-            to = min(at + SLICE_BYTES, len(part))
-            if to < len(part):
-                spaces = np.flatnonzero(part[at:to] == 0x20)
-                if len(spaces):
-                    to = at + int(spaces[-1]) + 1
-                while to < len(part) and part[to] & 0xC0 == 0x80:
-                    to -= 1
-            yield low, high, *_grams(part[at:to], np.array([0, to - at]), letters)
-            at = to
+    for low, high, part, local in text_blocks(data, offsets):
+        yield low, high, *_grams(part, local, letters)
 
 
 def _grams(part: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import best_fit, interpolated_lm, language_bitmask, lsh_forest, mixing, order_minhash, rp_forest, token_orc, warc_chunks
+from corpusloom.llm import best_fit, cotraining, interpolated_lm, language_bitmask, lsh_forest, mixing, order_minhash, rp_forest, token_orc, warc_chunks
 from corpusloom.llm.common import fold, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op9_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = language_bitmask.train(language_bitmask.training_rows(docs))
     found = language_bitmask.identify(docs.select("doc_id", "text"), filters)
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "coverage")
+
+
+@registered
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "score", "keep", "text_score", "metadata_score")
