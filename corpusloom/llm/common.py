@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import sys
+import time
 import types
 import uuid
 from collections.abc import Iterator
@@ -41,8 +42,10 @@ def staged(df: DataFrame, kind: str = "stage") -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of steps whose results are staged."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # plans go first, then the shuffles they held; the cleaner has its own thread
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def part_count(spark: SparkSession, rows: int, rows_each: int) -> int:

@@ -77,6 +77,18 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(cut, CHUNKS)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane: planes of zeros vanish when Spark compresses."""
+    kind = values.dtype.newbyteorder("<")
+    return values.astype(kind).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(blob, np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(np.dtype(kind).newbyteorder("<")).ravel()
+
+
 class Chunk:
     """A chunk's tokens, and the sorted distinct keys its counts are asked for by."""
 
@@ -127,27 +139,27 @@ def corpus_counts(chunks: DataFrame, buckets: int) -> DataFrame:
                     n = len(spans)
                     columns = [pa.array(bucket[edges[:-1]].astype(np.int64)), pa.array([row["chunk"]] * n, pa.int64())]
                     columns += [pa.array([row["role"]] * n, pa.int32()), pa.array([kind] * n, pa.int32())]
-                    columns.append(pa.array([keys[a:b].astype("<u8").tobytes() for a, b in spans], pa.binary()))
-                    columns.append(pa.array([counts[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()))
+                    columns.append(pa.array([packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()))
+                    columns.append(pa.array([packed(counts[a:b].astype(np.uint32)) for a, b in spans], pa.binary()))
                     yield pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "role", "kind", "keys", "counts"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, current = [], None
 
         def sums() -> Iterator[pa.RecordBatch]:
-            parts = [np.frombuffer(r["keys"], "<u8") for r in held]
+            parts = [np.cumsum(unpacked(r["keys"], np.uint64), dtype=np.uint64) for r in held]
             keys = np.concatenate(parts)
             first, inverse = distinct(keys)
             role = np.repeat([r["role"] for r in held], [len(p) for p in parts])
-            counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in held]).astype(np.int64)
-            every = np.bincount(inverse, np.where(role != HELD_OUT, counts, 0), len(first)).astype("<u4")
-            counted = np.bincount(inverse, np.where(role == COUNTED, counts, 0), len(first)).astype("<u4")
+            counts = np.concatenate([unpacked(r["counts"], np.uint32) for r in held]).astype(np.int64)
+            every = np.bincount(inverse, np.where(role != HELD_OUT, counts, 0), len(first)).astype(np.uint32)
+            counted = np.bincount(inverse, np.where(role == COUNTED, counts, 0), len(first)).astype(np.uint32)
             ends = np.cumsum([len(p) for p in parts])
             rows = []
             for r, a, b in zip(held, ends - [len(p) for p in parts], ends):
                 own = inverse[a:b]
-                two = counted[own].tobytes() if r["role"] == TUNING else b""
-                rows.append((r["chunk"], r["role"], r["kind"], current[0], every[own].tobytes(), two, 0, 0))
+                two = packed(counted[own]) if r["role"] == TUNING else b""
+                rows.append((r["chunk"], r["role"], r["kind"], current[0], packed(every[own]), two, 0, 0))
             if current[1] == 0:
                 real = keys[first] != BEGIN
                 rows.append((None, 0, 0, current[0], b"", b"", int((every[real] > 0).sum()), int((counted[real] > 0).sum())))
@@ -188,7 +200,7 @@ def with_counts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tupl
     def finished(head: dict, blobs: list[list[bytes]]):
         chunk = Chunk(head)
         (words, _), (pairs, _) = chunk.asked()
-        single, double = (np.frombuffer(b"".join(x), "<u4").astype(np.float64) for x in blobs)
+        single, double = (np.concatenate([unpacked(b, np.uint32) for b in x]).astype(np.float64) for x in blobs)
         look = lambda keys, counts, wanted: counts[np.searchsorted(keys, wanted)]
         return chunk, look(pairs, double, chunk.pairs), look(words, single, chunk.before), look(words, single, chunk.hashes)
 
