@@ -76,7 +76,7 @@ def mix(
     sizes = rows.groupBy(*group).agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most)
     unit = 1 << UNIT
-    rate = F.floor(F.col("target") * unit / F.col("source_size"))
+    rate = F.floor(F.try_divide(F.col("target") * unit, F.col("source_size")))
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("no_source").cast("string"), F.lit(":"), F.col("name")))
     offset = F.conv(F.substring(draw, 1, UNIT // 4), 16, 10).cast("long")
     targets = targets.withColumns({"rate": F.coalesce(rate, F.lit(0)), "start": offset}).drop("weight")

@@ -1,0 +1,45 @@
+"""The registered queries, and the pipeline against its parts."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+
+import brute
+import corpus_pipeline
+from compare import differences, duck
+from corpusloom.llm.queries import ORACLES, QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    if name in ORACLES:
+        assert differences(spark, duck(SF_DIR), QUERIES[name], ORACLES[name], SF_DIR) is None
+    else:
+        assert QUERIES[name](spark, SF_DIR).count() > 0
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    frames = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        frames.append(corpus_pipeline.staged(stage(spark, frames[-1], SF_DIR), name))
+    start, quality, language, unique, mixed, packed = (f.toPandas() for f in frames)
+    assert all(list(f.columns) == docs.columns for f in frames[:-1])
+    assert set(language.doc_id) <= set(quality.doc_id) <= set(start.doc_id)
+    assert all(any(c.isalpha() for c in t or "") for t in language.text)
+    classes = brute.near_duplicates(list(zip(language.doc_id.tolist(), language.text)))
+    assert Counter(unique.doc_id) == Counter(d for d, least, _ in classes if d == least)
+    assert set(mixed.doc_id) <= set(unique.doc_id) and mixed.doc_id.value_counts().max() <= 2
+    whole = packed[packed.piece == 0].groupby("doc_id").size()
+    assert whole.to_dict() == mixed.groupby("doc_id").size().to_dict()
+    assert packed.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF_DIR}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
