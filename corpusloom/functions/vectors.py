@@ -33,16 +33,33 @@ def _row_sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.bincount(row, weights=values, minlength=rows).astype(np.float64, copy=False)
 
 
+def usable(lengths: np.ndarray) -> np.ndarray:
+    """Vectors of these lengths can be compared: not zero, and every value is finite."""
+    return (lengths > 0) & np.isfinite(lengths)
+
+
+def vector_lengths(vectors: np.ndarray) -> np.ndarray:
+    """In double; a value that is null, NaN or infinite makes the length so."""
+    wide = vectors.astype(np.float64, copy=False)
+    return np.sqrt((wide * wide).sum(axis=1))
+
+
+def exact_cosines(a: np.ndarray, b: np.ndarray, a_lengths, b_lengths) -> np.ndarray:
+    """Row by row, in double from the stored values, in one summation order: every search scores
+    by this, so equal vectors score equally whatever path brought them together."""
+    return (a.astype(np.float64, copy=False) * b.astype(np.float64, copy=False)).sum(axis=1) / (a_lengths * b_lengths)
+
+
 @F.arrow_udf(T.DoubleType())
 def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Cosine similarity of two vector columns; null when either vector is zero or null."""
+    """Cosine similarity of two vector columns; null when either is zero, null or not finite."""
     (x, row, lengths), (y, _, others) = _flat(a), _flat(b)
     if not np.array_equal(lengths, others):
         raise ValueError("vector lengths differ")
     n = len(lengths)
     scale = np.sqrt(_row_sums(x * x, row, n)) * np.sqrt(_row_sums(y * y, row, n))
     score = np.divide(_row_sums(x * y, row, n), scale, out=np.zeros(n), where=scale > 0)
-    return pa.array(score, mask=scale == 0)
+    return pa.array(score, mask=~usable(scale))
 
 
 @F.arrow_udf(VECTOR)
@@ -61,28 +78,33 @@ def is_zero(column: Column) -> Column:
 
 
 def cosine_to(query: Sequence[float]) -> Callable[[Column | str], Column]:
-    """Cosine similarity of a vector column to one fixed vector; null for a zero vector."""
+    """Cosine similarity of a vector column to one fixed vector; null if one is zero or not finite."""
     q = np.asarray(query, dtype=np.float64)
-    length = float(np.sqrt((q * q).sum()))
+    length = vector_lengths(q[None])[0]
 
     @F.arrow_udf(T.DoubleType())
     def score(column: pa.Array) -> pa.Array:
         vectors = matrix(column, len(q))
-        scale = np.sqrt(np.einsum("ij,ij->i", vectors, vectors)) * length
-        products = np.einsum("ij,j->i", vectors, q)
-        values = np.divide(products, scale, out=np.zeros(len(products)), where=scale > 0)
-        return pa.array(values, mask=scale == 0)
+        lengths = vector_lengths(vectors)
+        live = usable(lengths) & usable(np.full(len(lengths), length))
+        values = np.zeros(len(lengths))
+        values[live] = exact_cosines(q[None], vectors[live], length, lengths[live])
+        return pa.array(values, mask=~live)
 
     return score
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dims: int, dtype=np.float64) -> np.ndarray:
-    """A list column as a dense matrix; any other row length is an error."""
+    """A list column as a dense matrix; any other row length is an error.
+
+    Without ``dtype`` values keep their stored type.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) and not pc.all(pc.equal(column.value_lengths(), dims)).as_py():
         raise ValueError(f"vector lengths differ from {dims}")
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(dtype, copy=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    return values if dtype is None else values.astype(dtype, copy=False)
 
 
 class TopK:
@@ -94,8 +116,8 @@ class TopK:
     """
 
     def __init__(self, queries: np.ndarray, k: int):
-        norms = np.linalg.norm(queries, axis=1)
-        self.live = np.flatnonzero(norms > 0)
+        norms = vector_lengths(queries)
+        self.live = np.flatnonzero(usable(norms))
         self.queries, self.norms, self.k = queries, norms, k
         self.unit = np.zeros(queries.shape, dtype=np.float32)
         self.unit[self.live] = queries[self.live] / norms[self.live, None]
@@ -106,8 +128,8 @@ class TopK:
     def add(self, ids: pa.Array, vectors: np.ndarray, only: np.ndarray | None = None) -> None:
         """Score rows against all live queries, or only against those numbered ``only``."""
         asked = self.live if only is None else only[np.isin(only, self.live)]
-        norms = np.linalg.norm(vectors.astype(np.float64), axis=1)
-        rows = np.flatnonzero(norms > 0)
+        norms = vector_lengths(vectors)
+        rows = np.flatnonzero(usable(norms))
         step = max(1, _BLOCK_CELLS // max(1, len(asked)))
         for lo in range(0, len(rows), step):
             self._add_block(ids, vectors, norms, rows[lo : lo + step], asked)
@@ -126,8 +148,8 @@ class TopK:
         exact = np.empty(len(q))
         for lo in range(0, len(q), 65_536):
             part = slice(lo, lo + 65_536)
-            products = self.queries[q[part]] * vectors[r[part]].astype(np.float64)
-            exact[part] = products.sum(axis=1) / (self.norms[q[part]] * norms[r[part]])
+            at, to = q[part], r[part]
+            exact[part] = exact_cosines(self.queries[at], vectors[to], self.norms[at], norms[to])
         found = pa.table({"q": q, "score": exact, "id": ids.take(pa.array(r))})
         self._keep(found if self.best is None else pa.concat_tables([self.best, found]))
 
@@ -156,7 +178,7 @@ def top_k_of_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = TopK(queries, k)
         for batch in batches:
-            vectors = matrix(batch.column(1), queries.shape[1], np.float32)
+            vectors = matrix(batch.column(1), queries.shape[1], None)
             if probes is None:
                 top.add(batch.column(0), vectors)
                 continue
@@ -172,10 +194,14 @@ def top_k_of_batches(
     return run
 
 
-def result_table(top: TopK, query_ids: pa.Array) -> pa.Table:
+def result_table(top: TopK, query_ids: pa.Array, numbers: pa.Array | None = None) -> pa.Table:
+    """Hits by the query's number, which tells apart queries that share an id or have none."""
     best = top.best
+    if numbers is None:
+        numbers = pa.array(np.arange(len(query_ids)), pa.int64())
     return pa.table(
         {
+            "query": numbers.take(best["q"].combine_chunks()),
             "query_id": query_ids.take(best["q"].combine_chunks()),
             "score": best["score"],
             "id": best["id"],

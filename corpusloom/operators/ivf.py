@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.config import BROADCAST_BYTES, CELL_BYTES, TOP_K
-from corpusloom.functions.vectors import is_zero, matrix, top_k_of_batches
+from corpusloom.functions.vectors import TopK, is_zero, matrix, top_k_of_batches
 from corpusloom.operators.search import (
     SmallVectors,
     bounded_broadcast,
@@ -26,9 +25,10 @@ from corpusloom.operators.search import (
     search_batch,
     vector_length,
 )
-from corpusloom.session import cut_lineage
+from corpusloom.session import cut_lineage, stored
 
 ROWS_PER_FILE = 1_000_000
+PROBE_BYTES = 32  # of one query and centroid pair, collected and sent with the queries
 
 
 def ivf_train(
@@ -50,18 +50,17 @@ def _small_centroids(centroids: DataFrame, max_bytes: int) -> SmallVectors | Non
 
 
 def nearest_centroid(vec: Column | str, centroids: SmallVectors) -> Column:
-    """Number of the most similar centroid, the smallest on ties; null for a zero vector."""
-    numbers = centroids.ids.to_numpy(zero_copy_only=False)
-    lengths = np.linalg.norm(centroids.vectors, axis=1)
-    live = lengths > 0
-    numbers, table = numbers[live], centroids.vectors[live] / lengths[live, None]
-    dims = table.shape[1]
+    """Number of the most similar centroid, the smallest on ties; null for a vector that has none."""
+    numbers, table = centroids.ids, centroids.vectors
 
     @F.arrow_udf(T.IntegerType())
     def assign(column: pa.Array) -> pa.Array:
-        vectors = matrix(column, dims)
-        best = numbers[np.argmax(vectors @ table.T, axis=1)]
-        return pa.array(best, pa.int32(), mask=~vectors.any(axis=1))
+        top = TopK(matrix(column, table.shape[1]), 1)
+        top.add(numbers, table)
+        found = np.full(len(column), -1)
+        if top.best is not None:
+            found[top.best["q"].to_numpy()] = top.best["id"].to_numpy()
+        return pa.array(found, pa.int32(), mask=found < 0)
 
     return assign(vec)
 
@@ -75,33 +74,44 @@ def ivf_assign(
     broadcast_bytes: int = BROADCAST_BYTES,
     cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
-    """``vectors`` with their ``centroid``; no shuffle while the centroids fit the bound."""
+    """``vectors`` with their ``centroid``; no shuffle while the centroids fit the bound.
+
+    Both ways score alike and go by rows: repeated and null ids keep their own centroid.  Rows
+    without a vector are left out; zero and non-finite vectors have no centroid.
+    """
     small = _small_centroids(centroids, broadcast_bytes)
     usable = vectors.where(F.col(vec_col).isNotNull())
     if small is not None:
         return usable.withColumn("centroid", nearest_centroid(vec_col, small))
+    numbered = stored(usable.withColumn("_row", F.monotonically_increasing_id()))
     nearest = search_batch(
         centroids,
-        usable,
+        numbered,
         1,
         id_col="centroid",
-        query_id_col=id_col,
+        query_id_col="_row",
         query_vec_col=vec_col,
         broadcast_bytes=broadcast_bytes,
         cell_bytes=cell_bytes,
     )
-    return usable.join(nearest.select(id_col, "centroid"), id_col, "left")
+    return numbered.join(nearest.select("_row", "centroid"), "_row", "left").drop("_row")
 
 
-def write_by_centroid(assigned: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Parquet partitioned by centroid; a hot centroid is spread over as many files as it needs."""
+def write_by_centroid(
+    assigned: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, id_col: str = "external_id"
+) -> None:
+    """Parquet partitioned by centroid; a hot centroid is spread over as many files as it needs.
+
+    The assignment is stored once before it is counted and written.
+    """
+    assigned = stored(assigned)
     files = F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files")
     sizes = assigned.groupBy(F.col("centroid").alias("_of")).agg(files)
     # Only centroids with more than one file: at most one row per rows_per_file index rows.
     hot = bounded_broadcast(cut_lineage(sizes.where("_files > 1")))
     # Zero vectors have no centroid, and may be many too.
     joined = assigned.join(hot, F.col("centroid").eqNullSafe(F.col("_of")), "left")
-    salt = F.pmod(F.xxhash64("external_id"), F.coalesce("_files", F.lit(1)))
+    salt = F.pmod(F.xxhash64(id_col), F.coalesce("_files", F.lit(1)))
     salted = joined.withColumn("_salt", salt)
     spread = salted.repartition("centroid", "_salt").drop("_of", "_files", "_salt")
     writer = spread.write.partitionBy("centroid").option("maxRecordsPerFile", rows_per_file)
@@ -143,43 +153,55 @@ def ivf_search_batch(
     cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """``ivf_search`` for a table of queries; ``<query id>, rank, score, <id>``."""
-    spark = index.sparkSession
+    if centroids.count() <= nprobe:  # all are probed: rows without a centroid are never found
+        return search_batch(
+            index,
+            queries,
+            k,
+            id_col=id_col,
+            vec_col=vec_col,
+            query_id_col=query_id_col,
+            query_vec_col=query_vec_col,
+            broadcast_bytes=broadcast_bytes,
+            cell_bytes=cell_bytes,
+        )
     schema = partial_schema_of(index, queries, id_col, query_id_col)
     dims = vector_length(queries, query_vec_col)
     if dims is None:
-        return merge_top_k(spark.createDataFrame([], schema), k, id_col, query_id_col)
+        return merge_top_k(index.sparkSession.createDataFrame([], schema), k, id_col, query_id_col)
+    # Queries go by rows, so repeated and null ids are told apart, and may come from a model.
+    asked = queries.where(F.col(query_vec_col).isNotNull())
+    asked = asked.select(F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("vec"))
+    asked = stored(asked.withColumn("query", F.monotonically_increasing_id()))
     probes = search_batch(
         centroids,
-        queries,
+        asked,
         nprobe,
         id_col="centroid",
-        query_id_col=query_id_col,
-        query_vec_col=query_vec_col,
+        query_id_col="query",
+        query_vec_col="vec",
         broadcast_bytes=broadcast_bytes,
         cell_bytes=cell_bytes,
-    ).select(F.col(query_id_col).alias("query_id"), "centroid")
-    small = collect_if_small(queries, query_id_col, query_vec_col, dims, broadcast_bytes)
+    ).select("query", "centroid")
+    small = collect_if_small(asked, "query", "vec", dims, broadcast_bytes)
     rows = index.where(F.col(vec_col).isNotNull())
-    if small is not None:
-        # At most nprobe rows per broadcast query.
+    if small is not None and len(small.ids) * nprobe * PROBE_BYTES <= broadcast_bytes:
         pairs = probes.toArrow()
-        numbers = np.asarray(
-            [i.as_py() for i in pc.index_in(pairs["query_id"], value_set=small.ids)], dtype=np.int64
-        )
-        by_centroid: dict[int, np.ndarray] = {}
-        centroid_of = pairs["centroid"].to_numpy()
-        for centroid in np.unique(centroid_of):
-            by_centroid[int(centroid)] = np.sort(numbers[centroid_of == centroid])
+        order = np.argsort(small.ids.to_numpy())
+        at = np.searchsorted(small.ids.to_numpy(), pairs["query"].to_numpy(), sorter=order)
+        numbers, centroid_of = order[at], pairs["centroid"].to_numpy()
+        by_centroid = {int(c): np.sort(numbers[centroid_of == c]) for c in np.unique(centroid_of)}
         probed = rows.where(F.col("centroid").isin(list(by_centroid)))
         kernel = top_k_of_batches(small.ids, small.vectors, k, by_centroid)
-        partial = probed.select(id_col, vec_col, "centroid").mapInArrow(kernel, schema)
+        number = T.StructType([schema["query"], T.StructField("query_id", T.LongType()), *schema.fields[2:]])
+        partial = probed.select(id_col, vec_col, "centroid").mapInArrow(kernel, number)
+        partial = partial.drop("query").withColumnRenamed("query_id", "query")
+        partial = partial.join(asked.select("query", "query_id"), "query")
     else:
-        asked = queries.select(
-            F.col(query_id_col).alias("query_id"), F.col(query_vec_col).alias("vec")
-        ).join(probes, "query_id")
+        met = asked.join(probes, "query")
         partial = grid_top_k(
             rows.select(F.col("centroid").alias("cell"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec")),
-            asked.select(F.col("centroid").alias("cell"), "query_id", "vec"),
+            met.select(F.col("centroid").alias("cell"), "query", "query_id", "vec"),
             k,
             dims,
             schema,

@@ -28,16 +28,17 @@ def search(
     """The ``k`` rows most similar to ``query``: ``rank, score, <id>`` and ``carry`` columns.
 
     Only the id, the vector and ``carry`` are read.  Every partition keeps its own best
-    ``k`` before they are merged; ties fall to the smaller id.
+    ``k`` before they are merged; ties fall to the smaller id, null ids last.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     usable = index.where(F.col(vec_col).isNotNull())
     scored = usable.select(id_col, *carry, cosine_to(query)(F.col(vec_col)).alias("score"))
     scored = scored.where("score is not null")
-    best = scored.orderBy(F.desc("score"), id_col).limit(k)
+    order = [F.desc("score"), F.asc_nulls_last(id_col)]
+    best = scored.orderBy(*order).limit(k)
     # At most k rows are left, so one window over all of them is bounded.
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), id_col))
+    rank = F.row_number().over(Window.orderBy(*order))
     return best.select(rank.alias("rank"), "score", id_col, *carry)
 
 
@@ -68,6 +69,7 @@ def collect_if_small(
 def partial_schema_of(index: DataFrame, queries: DataFrame, id_col: str, query_id_col: str) -> T.StructType:
     return T.StructType(
         [
+            T.StructField("query", T.LongType()),
             T.StructField("query_id", queries.schema[query_id_col].dataType),
             T.StructField("score", T.DoubleType()),
             T.StructField("id", index.schema[id_col].dataType),
@@ -76,8 +78,8 @@ def partial_schema_of(index: DataFrame, queries: DataFrame, id_col: str, query_i
 
 
 def merge_top_k(partial: DataFrame, k: int, id_col: str, query_id_col: str) -> DataFrame:
-    """Best ``k`` per query out of the partial lists, ranked."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    """Best ``k`` per query row out of the partial lists, ranked."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(
         F.col("query_id").alias(query_id_col), "rank", "score", F.col("id").alias(id_col)
@@ -101,6 +103,10 @@ def search_batch(
     Queries within ``broadcast_bytes`` travel to the index: one pass over it, each task
     keeping ``k`` rows per query, and only those are shuffled.  More queries than that are
     dealt into a grid of bounded cells (see ``grid_top_k``).
+
+    On both ways every query row is a search of its own, also under a repeated or null id; index
+    rows with a null id are found, last among ties; repeated index rows are found each; vectors
+    that are null, zero or hold a null or non-finite value are never found and find nothing.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -118,6 +124,7 @@ def search_batch(
             index.select(F.lit(0).alias("cell"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec")),
             queries.select(
                 F.lit(0).alias("cell"),
+                F.monotonically_increasing_id().alias("query"),
                 F.col(query_id_col).alias("query_id"),
                 F.col(query_vec_col).alias("vec"),
             ),
@@ -145,14 +152,14 @@ def grid_top_k(
     partial_schema: T.StructType,
     cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
-    """Partial top-k lists of ``(cell, id, vec)`` rows for ``(cell, query_id, vec)`` queries.
+    """Partial top-k lists of ``(cell, id, vec)`` rows for ``(cell, query, query_id, vec)`` queries.
 
     Within a cell both sides are dealt by hash into pieces of bounded size; every index
     piece meets every query piece of its cell in one group.  A cell that holds a third of
     all rows only gets more pieces, and no pair of rows is ever emitted.
     """
     rows_per_piece = max(1, cell_bytes // (8 * dims))
-    index = index.where("vec is not null and id is not null")
+    index = index.where("vec is not null")
     # Queries are read three times here, and may come from a model.
     queries = stored(queries.where("vec is not null"))
 
@@ -164,24 +171,27 @@ def grid_top_k(
     cells = pieces(index, "index_pieces").join(pieces(queries, "query_pieces"), "cell")
     grid = bounded_broadcast(cut_lineage(cells))
 
-    def dealt(df: DataFrame, key: str, own: str, own_name: str, other: str, other_name: str) -> DataFrame:
-        number = F.pmod(F.xxhash64(key), F.col(own)).cast("int")
+    def dealt(df: DataFrame, keys: list[str], own: str, own_name: str, other: str, other_name: str) -> DataFrame:
+        # The vector takes part: rows under one id, or none, spread as well.
+        number = F.pmod(F.xxhash64(*keys, "vec"), F.col(own)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         return (
             df.join(grid, "cell")
-            .select("cell", key, "vec", number.alias(own_name), every.alias(other_name))
+            .select("cell", *keys, "vec", number.alias(own_name), every.alias(other_name))
         )
 
-    left = dealt(index, "id", "index_pieces", "i", "query_pieces", "q")
-    right = dealt(queries, "query_id", "query_pieces", "q", "index_pieces", "i")
+    left = dealt(index, ["id"], "index_pieces", "i", "query_pieces", "q")
+    right = dealt(queries, ["query", "query_id"], "query_pieces", "q", "index_pieces", "i")
 
     def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
         top = TopK(matrix(asked["vec"], dims), k)
-        top.add(rows["id"].combine_chunks(), matrix(rows["vec"], dims, np.float32))
+        top.add(rows["id"].combine_chunks(), matrix(rows["vec"], dims, None))
         if top.best is None:
             none = pa.array([], pa.float64())
-            return pa.table({"query_id": asked["query_id"][:0], "score": none, "id": rows["id"][:0]})
-        return result_table(top, asked["query_id"].combine_chunks())
+            return pa.table(
+                {"query": asked["query"][:0], "query_id": asked["query_id"][:0], "score": none, "id": rows["id"][:0]}
+            )
+        return result_table(top, asked["query_id"].combine_chunks(), asked["query"].combine_chunks())
 
     keys = ["cell", "i", "q"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, partial_schema)

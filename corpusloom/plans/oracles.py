@@ -462,3 +462,7 @@ SELECT rank,
        '  ---' || chr(10) AS rendered
 FROM hits
 """
+
+ORACLES["topk_batch_grid"] = ORACLES["topk_batch"]
+ORACLES["centroid_assign_grid"] = ORACLES["centroid_assign"]
+ORACLES["ivf_probe_batch_grid"] = ORACLES["ivf_probe_batch"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +17,7 @@ from corpusloom.functions.render import render_hits
 from corpusloom.functions.vectors import unit
 from corpusloom.operators.chunk import chunk_files
 from corpusloom.operators.embed import HashEmbedder, ModelEmbedder, embed_documents, embed_queries, token_usage
-from corpusloom.operators.ivf import ivf_assign, ivf_search, ivf_search_batch, ivf_train
+from corpusloom.operators.ivf import ivf_assign, ivf_search, ivf_search_batch, ivf_train, write_by_centroid
 from corpusloom.operators.lines import line_offsets, lines
 from corpusloom.operators.search import attach_attributes, search, search_batch
 from corpusloom.operators.stats import (
@@ -30,12 +31,14 @@ from corpusloom.operators.stats import (
 )
 from corpusloom.plans.pipelines import corpus_index_rows
 from corpusloom.sources.corpus import decode, scan_roots, skipped, table_corpus, union_corpora
+from corpusloom.session import checkpoint_dir, stored
 from corpusloom.sources.index_table import last_per_id, merge_index, with_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 HASH_DIMS = 64
 SMALL_CAP = 2_000
+TINY_BOUNDS = {"broadcast_bytes": 64, "cell_bytes": 128 * 8 * HASH_DIMS}  # cells of 128 vectors
 QUERIES: dict[str, Query] = {}
 
 
@@ -386,6 +389,14 @@ def topk_batch(spark, sf_dir):
     return rounded(hits, "query_id", "vec_id")
 
 
+@registered
+def topk_batch_grid(spark, sf_dir):
+    """``topk_batch`` with bounds so small that both sides are dealt into cells."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    hits = search_batch(embeddings, vector_queries(embeddings), 10, id_col="vec_id", **TINY_BOUNDS)
+    return rounded(hits, "query_id", "vec_id")
+
+
 @registered
 def unit_vectors(spark, sf_dir):
     scaled = table(spark, sf_dir, "embeddings").select("vec_id", unit(F.col("embedding")).alias("u"))
@@ -406,21 +417,46 @@ def centroid_assign(spark, sf_dir):
     return assigned.select("vec_id", "centroid")
 
 
+@registered
+def centroid_assign_grid(spark, sf_dir):
+    embeddings = table(spark, sf_dir, "embeddings")
+    centroids = stored(label_centroids(embeddings))
+    assigned = ivf_assign(embeddings, centroids, id_col="vec_id", **TINY_BOUNDS)
+    return assigned.select("vec_id", "centroid")
+
+
+def centroid_index(spark, embeddings: DataFrame, centroids: DataFrame) -> DataFrame:
+    """The vectors as a stored table partitioned by centroid, which probes prune."""
+    path = f"{checkpoint_dir(spark)}/centroids-{uuid.uuid4().hex}"
+    write_by_centroid(ivf_assign(embeddings, centroids, id_col="vec_id"), path, id_col="vec_id")
+    return spark.read.parquet(path)
+
+
 @registered
 def ivf_probe(spark, sf_dir):
     embeddings = table(spark, sf_dir, "embeddings")
-    centroids = label_centroids(embeddings)
-    assigned = ivf_assign(embeddings, centroids, id_col="vec_id")
-    hits = ivf_search(assigned, centroids, first_vector(embeddings), 10, nprobe=3, id_col="vec_id")
+    centroids = stored(label_centroids(embeddings))
+    index = centroid_index(spark, embeddings, centroids)
+    hits = ivf_search(index, centroids, first_vector(embeddings), 10, nprobe=3, id_col="vec_id")
     return rounded(hits, "vec_id")
 
 
 @registered
 def ivf_probe_batch(spark, sf_dir):
     embeddings = table(spark, sf_dir, "embeddings")
-    centroids = label_centroids(embeddings)
-    assigned = ivf_assign(embeddings, centroids, id_col="vec_id")
-    hits = ivf_search_batch(assigned, centroids, vector_queries(embeddings), 10, nprobe=3, id_col="vec_id")
+    centroids = stored(label_centroids(embeddings))
+    index = centroid_index(spark, embeddings, centroids)
+    hits = ivf_search_batch(index, centroids, vector_queries(embeddings), 10, nprobe=3, id_col="vec_id")
+    return rounded(hits, "query_id", "vec_id")
+
+
+@registered
+def ivf_probe_batch_grid(spark, sf_dir):
+    embeddings = table(spark, sf_dir, "embeddings")
+    centroids = stored(label_centroids(embeddings))
+    index = centroid_index(spark, embeddings, centroids)
+    queries = vector_queries(embeddings)
+    hits = ivf_search_batch(index, centroids, queries, 10, nprobe=3, id_col="vec_id", **TINY_BOUNDS)
     return rounded(hits, "query_id", "vec_id")
 
 
