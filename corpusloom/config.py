@@ -17,7 +17,6 @@ TOP_K = 10  # hits per query
 # Size bounds of what may be sent to every executor (ours).
 BROADCAST_BYTES = 64 << 20  # query or centroid matrix held by each Python worker
 CELL_BYTES = 32 << 20  # one side of one scoring cell beyond that bound
-MAX_GLOB_PATTERNS = 2_000  # patterns folded into one predicate
 
 
 @dataclass(frozen=True)

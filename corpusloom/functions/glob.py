@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.config import MAX_GLOB_PATTERNS
+PATTERNS_EACH = 500
 
 _PARTS = re.compile(
     r"(?P<stars>\*+)|(?P<any>\?)|\[(?P<negated>!?+)(?P<members>.[^\]]*)\]|(?P<char>.)", re.S
@@ -62,10 +63,11 @@ def glob_to_regex(pattern: str) -> str:
 
 
 def matches_any(rel: Column, patterns: Sequence[str]) -> Column:
-    if len(patterns) > MAX_GLOB_PATTERNS:
-        raise ValueError(f"more than {MAX_GLOB_PATTERNS} patterns")
-    regexes = [glob_to_regex(p) for p in patterns]
-    return F.rlike(rel, F.lit("|".join(f"(?:{r})" for r in regexes)))
+    """One regular expression for every ``PATTERNS_EACH`` patterns; there may be any number."""
+    regexes = [f"(?:{glob_to_regex(p)})" for p in patterns]
+    starts = range(0, max(len(regexes), 1), PATTERNS_EACH)
+    parts = [F.rlike(rel, F.lit("|".join(regexes[i : i + PATTERNS_EACH]) or r"\A\z.")) for i in starts]
+    return reduce(Column.__or__, parts)
 
 
 def path_filter(rel: Column, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
@@ -79,8 +81,5 @@ def filter_paths(df: DataFrame, rel_col: str, include: Sequence[str] = (), exclu
 
 
 def patterns_of(table: DataFrame, column: str) -> list[str]:
-    """Patterns kept in a table, for ``filter_paths``; refuses more than one predicate can hold."""
-    rows = table.select(column).distinct().limit(MAX_GLOB_PATTERNS + 1).collect()
-    if len(rows) > MAX_GLOB_PATTERNS:
-        raise ValueError(f"more than {MAX_GLOB_PATTERNS} patterns")
-    return sorted(r[0] for r in rows)
+    """Patterns kept in a table, for ``filter_paths``: configuration, read by the driver."""
+    return sorted(r[0] for r in table.select(column).where(F.col(column).isNotNull()).distinct().collect())

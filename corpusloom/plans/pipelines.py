@@ -36,14 +36,16 @@ def corpus_index_rows(
     files: DataFrame,
     embedder: Embedder,
     settings: Settings = Settings(),
-    unique_paths: bool = False,
+    unique_paths: bool | None = None,
 ) -> DataFrame:
     """Files to index rows.  Ids are made unique before the model sees the texts.
 
     Equal ids within a file are resolved in its own row.  Only where two files may share a
-    path must all chunks be shuffled by id as well; with ``unique_paths`` there is no
-    shuffle from the files to the vectors.
+    path must all chunks be shuffled by id as well; with ``unique_paths`` (measured, on the
+    paths alone, if not given) there is no shuffle from the files to the vectors.
     """
+    if unique_paths is None:
+        unique_paths = paths_are_unique(files)
     chunks = with_ids(chunk_files(files, settings.max_chunk_bytes, unique=True))
     if not unique_paths:
         chunks = last_per_id(chunks)

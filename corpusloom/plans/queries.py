@@ -32,7 +32,7 @@ from corpusloom.operators.stats import (
 from corpusloom.plans.pipelines import corpus_index_rows
 from corpusloom.sources.corpus import decode, scan_roots, skipped, table_corpus, union_corpora
 from corpusloom.session import checkpoint_dir, stored
-from corpusloom.sources.index_table import last_per_id, merge_index, with_ids
+from corpusloom.sources.index_table import last_per_id, read_index, upsert_index, with_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -357,7 +357,10 @@ def upsert_merge(spark, sf_dir):
     first = table_corpus(documents, text_path(), F.col("text"))
     second = table_corpus(documents, text_path(), edited)
     hashing = HashEmbedder(HASH_DIMS)
-    merged = merge_index(corpus_index_rows(first, hashing), corpus_index_rows(second, hashing))
+    path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    for files in (first, second):
+        upsert_index(spark, path, corpus_index_rows(files, hashing))
+    merged = read_index(spark, path)
     return merged.select("external_id", F.md5("chunk_text").alias("chunk_md5"))
 
 

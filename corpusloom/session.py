@@ -27,9 +27,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``cut_lineage``, as a Parquet table: later steps read only the columns they use."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """Like ``cut_lineage``, as a Parquet table, and where it is: for ``delete_path``."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage``, as a Parquet table: later steps read only the columns they use."""
+    return stored_at(df)[0]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

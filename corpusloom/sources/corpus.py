@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Sequence
 from functools import reduce
@@ -28,6 +29,11 @@ def _root_path(spark: SparkSession, root: str) -> str:
     return fs.makeQualified(path).toUri().getPath().rstrip("/")
 
 
+def _literal(path: str) -> str:
+    """The path with the signs that Hadoop would take for a glob escaped."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def _relative(root_path: str) -> Column:
     """Path below the root.
 
@@ -43,7 +49,7 @@ def scan_root(spark: SparkSession, root: SourceRoot) -> DataFrame:
     """``file_path, content`` of every file below one root that passes its globs."""
     rel = _relative(_root_path(spark, root.path))
     wanted = path_filter(rel, root.include, root.exclude)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root.path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_literal(root.path))
     path = F.concat(F.lit(root_prefix(root.path) + "/"), rel)
     return files.where(wanted).select(path.alias("file_path"), "content")
 

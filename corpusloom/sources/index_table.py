@@ -1,14 +1,17 @@
-"""The vector index: complete, versioned Parquet snapshots in one directory."""
+"""The vector index: numbered Parquet snapshots and additions to them in one directory."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import BROADCAST_BYTES
 from corpusloom.functions.text import external_id
 from corpusloom.schemas import INDEX_SCHEMA
-from corpusloom.session import cut_lineage, stored
+from corpusloom.session import delete_path, stored_at
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:
@@ -47,49 +50,17 @@ def merge_index(old: DataFrame, new: DataFrame, prune: bool = False) -> DataFram
     Nothing is deleted: a chunk whose lines moved leaves its old row behind.  ``prune``
     drops the old rows of every file that occurs in ``new``.
     """
-    return _kept(old, _keys(new, prune), prune).select(*new.columns).unionByName(new)
-
-
-def _key(prune: bool) -> str:
-    return "file_path" if prune else "external_id"
-
-
-def _keys(rows: DataFrame, prune: bool) -> DataFrame:
-    keys = rows.select(_key(prune))
-    return keys.distinct() if prune else keys
+    key = "file_path" if prune else "external_id"
+    replaced = new.select(key).distinct() if prune else new.select(key)
+    return old.join(replaced, key, "left_anti").select(*new.columns).unionByName(new)
 
 
-def _kept(old: DataFrame, replaced: DataFrame, prune: bool) -> DataFrame:
-    return old.join(replaced, _key(prune), "left_anti")
+# What a step supersedes: all before it, rows under its ids, or rows of its files.
+_SNAPSHOT, _IDS, _FILES = "v", "s", "p"
 
 
-def _fits(keys: DataFrame) -> bool:
-    """Whether the keys, as measured, are small enough to send everywhere."""
-    column = keys.columns[0]
-    size = keys.agg(F.sum(F.octet_length(column) + 32)).first()[0]
-    return (size or 0) <= BROADCAST_BYTES
-
-
-def _merge_measured(old: DataFrame, new: DataFrame, prune: bool) -> DataFrame:
-    """``merge_index`` that moves the wide old rows over the network only if it must.
-
-    Few new keys, or few old keys that stay, are broadcast; only the narrow keys are
-    compared by shuffle.  When both are many, the plain join remains.
-    """
-    replaced = _keys(new, prune)
-    if _fits(replaced):
-        kept = _kept(old, F.broadcast(replaced), prune)
-    else:
-        staying = cut_lineage(_kept(_keys(old, prune), replaced, prune))
-        if _fits(staying):
-            kept = old.join(F.broadcast(staying), _key(prune), "left_semi")
-        else:
-            kept = _kept(old, replaced, prune)
-    return kept.select(*new.columns).unionByName(new)
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Published versions; one whose write did not finish is not among them."""
+def _steps(spark: SparkSession, path: str) -> list[tuple[int, str, bool]]:
+    """Number, kind and whether its write finished, of every step present, in order."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -97,47 +68,101 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
         return []
     found = []
     for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v=") and name[2:].isdigit() and fs.exists(done):
-            found.append(int(name[2:]))
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind in (_SNAPSHOT, _IDS, _FILES) and number.isdigit():
+            done = fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
+            found.append((int(number), kind, done))
     return sorted(found)
 
 
 def current_version(spark: SparkSession, path: str) -> int | None:
-    versions = _versions(spark, path)
-    return versions[-1] if versions else None
+    done = [number for number, _, finished in _steps(spark, path) if finished]
+    return done[-1] if done else None
+
+
+def _broadcast_if_small(keys: DataFrame) -> DataFrame:
+    """Keys, marked for broadcast if their measured size allows it; else the join shuffles."""
+    size = keys.agg(F.sum(F.octet_length(keys.columns[0]) + 32)).first()[0]
+    return F.broadcast(keys) if (size or 0) <= BROADCAST_BYTES else keys
 
 
 def read_index(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The newest (or a given) version; empty if there is none.  Needs no source files."""
+    """The newest (or a given) version; empty if there is none.  Needs no source files.
+
+    Rows come from the last snapshot and the steps after it, each without what later steps
+    supersede: only narrow keys are compared.
+    """
     if version is None:
         version = current_version(spark, path)
     if version is None:
         return spark.createDataFrame([], INDEX_SCHEMA)
-    return spark.read.parquet(f"{path}/v={version}")
-
-
-def publish(rows: DataFrame, path: str, version: int) -> None:
-    """Write one complete version; readers see it once its write has finished.
+    steps = [(n, kind) for n, kind, done in _steps(spark, path) if done and n <= version]
+    first = max([i for i, (_, kind) in enumerate(steps) if kind == _SNAPSHOT], default=0)
+    parts: list[DataFrame] = []
+    later: dict[str, DataFrame] = {}
+    for number, kind in reversed(steps[first:]):
+        step = spark.read.parquet(f"{path}/{kind}={number}")
+        part = step
+        for key, keys in later.items():
+            part = part.join(_broadcast_if_small(keys), key, "left_anti")
+        parts.append(part.select(*step.columns))
+        key = "file_path" if kind == _FILES else "external_id"
+        own = step.select(key)
+        later[key] = (later[key].unionByName(own) if key in later else own).distinct()
+    return reduce(DataFrame.unionByName, reversed(parts))
+
+
+def publish(rows: DataFrame, path: str, version: int, kind: str = _SNAPSHOT) -> None:
+    """Write one complete step; readers see it once its write has finished.
 
     Bloom filters on the id let a lookup of a few hits skip nearly all row groups.
     """
     writer = rows.write.mode("errorifexists").option("parquet.bloom.filter.enabled#external_id", "true")
-    writer.parquet(f"{path}/v={version}")
+    writer.parquet(f"{path}/{kind}={version}")
+
+
+def _publish_next(spark: SparkSession, rows: DataFrame, path: str, kind: str | None) -> int:
+    """Publish under the next free number: past unfinished steps, and past those of other writers."""
+    while True:
+        steps = _steps(spark, path)
+        number = steps[-1][0] + 1 if steps else 1
+        own = kind if kind and any(done for _, _, done in steps) else _SNAPSHOT
+        try:
+            publish(rows, path, number, own)
+            return number
+        except AnalysisException as error:
+            if "PATH_ALREADY_EXISTS" not in str(error):
+                raise
 
 
 def upsert_index(spark: SparkSession, path: str, new: DataFrame, prune: bool = False) -> int | None:
-    """Merge ``new`` into the index and publish the result; the version now current.
+    """Add ``new`` to the index as a step of its own; the version now current.
 
     ``new`` is finished and stored before the index is touched, so a failing model leaves
     the index as it was and no model call is repeated.  An empty ``new`` changes nothing.
+    What is written follows the new rows: old rows are left where they are (see ``compact``).
     """
-    new = stored(new)
-    version = current_version(spark, path)
-    if new.isEmpty():
-        return version
-    old = read_index(spark, path, version) if version is not None else None
-    merged = new if old is None else _merge_measured(old, new, prune)
-    publish(merged, path, (version or 0) + 1)
-    return (version or 0) + 1
+    new, place = stored_at(new)
+    try:
+        if new.isEmpty():
+            return current_version(spark, path)
+        return _publish_next(spark, new, path, _FILES if prune else _IDS)
+    finally:
+        delete_path(spark, place)
+
+
+def compact(spark: SparkSession, path: str) -> int | None:
+    """Write the current rows as one snapshot, so that readers compare no keys."""
+    if current_version(spark, path) is None:
+        return None
+    return _publish_next(spark, read_index(spark, path), path, None)
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Delete what is older than the last ``keep`` snapshots; no reader may still use it."""
+    steps = _steps(spark, path)
+    snapshots = [n for n, kind, done in steps if kind == _SNAPSHOT and done]
+    if keep > 0 and len(snapshots) > keep:
+        for number, kind, _ in steps:
+            if number < snapshots[-keep]:
+                delete_path(spark, f"{path}/{kind}={number}")

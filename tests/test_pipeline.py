@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from corpusloom.config import Settings, SourceRoot
+from corpusloom.functions import glob
 from corpusloom.functions.render import render_hits, render_report
 from corpusloom.operators import stats
 from corpusloom.operators.chunk import chunk_files
@@ -262,8 +263,43 @@ def test_unfinished_version_is_invisible(spark, tmp_path):
     path = tmp_path / "index"
     files = spark.createDataFrame([("r/a.md", "a")], "file_path string, source string")
     pipelines.index_files(spark, files, str(path), Settings(dimensions=4))
-    (path / "v=2").mkdir()
+    (path / "v=2" / "_temporary").mkdir(parents=True)
     assert index_table.current_version(spark, str(path)) == 1
+    more = spark.createDataFrame([("r/b.md", "b")], "file_path string, source string")
+    assert pipelines.index_files(spark, more, str(path), Settings(dimensions=4)) == 3
+    assert contents(spark, str(path)) == {"r/a.md:1-1": "a", "r/b.md:1-1": "b"}
+
+
+def test_upsert_writes_new_rows_only_until_compacted(spark, tmp_path):
+    path = tmp_path / "index"
+    files = lambda *rows: spark.createDataFrame(rows, "file_path string, source string")
+    settings = Settings(dimensions=4)
+    pipelines.index_files(spark, files(*[(f"r/{i}.md", str(i)) for i in range(50)]), str(path), settings)
+    for text in ("x", "y"):
+        pipelines.index_files(spark, files(("r/7.md", text)), str(path), settings)
+    assert spark.read.parquet(str(path / "s=3")).count() == 1
+    before = contents(spark, str(path))
+    assert len(before) == 50 and before["r/7.md:1-1"] == "y"
+    assert index_table.read_index(spark, str(path), 2).where("chunk_text = 'x'").count() == 1
+    assert index_table.compact(spark, str(path)) == 4
+    index_table.drop_versions(spark, str(path))
+    assert sorted(p.name for p in path.iterdir()) == ["v=4"] and contents(spark, str(path)) == before
+    assert index_table.compact(spark, str(tmp_path / "none")) is None
+
+
+def test_any_number_of_globs(spark, tmp_path):
+    table = spark.createDataFrame([(f"f{i}.md",) for i in range(6000)], "rel string")
+    patterns = glob.patterns_of(spark.createDataFrame([(f"f{i}.*",) for i in range(5000)], "p string"), "p")
+    assert glob.filter_paths(table, "rel", patterns).count() == 5000
+    assert glob.filter_paths(table, "rel", (), patterns).count() == 1000
+
+
+def test_roots_are_taken_literally(spark, tmp_path):
+    for name in ("w[1]", "{a,b}", "s*"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.md").write_text("x")
+        found = corpus.scan_corpus(spark, (SourceRoot(str(tmp_path / name)),)).collect()
+        assert [(r.file_path, r.source) for r in found] == [(f"{name}/x.md", "x")]
 
 
 def test_paths_that_occur_twice(spark, tmp_path):

@@ -177,3 +177,51 @@ def test_probes_prune_partitions_and_hot_centroid_gets_several_files(spark, data
     assert "PartitionFilters: [" in plan and "centroid" in plan.split("PartitionFilters: [")[1].split("]")[0]
     files = stored.groupBy("centroid").agg(F.countDistinct("_metadata.file_name").alias("f"), F.count("*").alias("n"))
     assert all(r["f"] > 1 for r in files.collect() if r["n"] > 80)
+
+
+TINY = {"broadcast_bytes": 8, "cell_bytes": 8 * 2 * 3}  # cells of three vectors
+
+
+@pytest.mark.parametrize("bounds", [{}, TINY])
+def test_odd_rows_are_treated_alike_on_every_path(spark, bounds):
+    nan, inf = float("nan"), float("inf")
+    index = [("a", [1.0, 0.0]), ("a", [0.0, 1.0]), (None, [1.0, 0.0]), ("b", [nan, 1.0]), ("c", [inf, 0.0])]
+    index += [("d", [0.0, 0.0]), ("e", None), ("f", [None, 1.0]), ("g", [-1.0, 0.0])]
+    asked = [("q", [1.0, 0.0]), ("q", [-1.0, 0.0]), (None, [1.0, 0.0]), ("n", [nan, 0.0]), ("z", [0.0, 0.0]), ("y", None)]
+    table = spark.createDataFrame(index, "external_id string, embedding array<double>")
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<double>")
+    right = [(1, 1.0, "a"), (2, 1.0, None), (3, 0.0, "a"), (4, -1.0, "g")]
+    left = [(1, 1.0, "g"), (2, 0.0, "a"), (3, -1.0, "a"), (4, -1.0, None)]
+    found = sorted(
+        ((r.query_id or "", r["rank"], r.score, r.external_id or "") for r in search_batch(table, queries, 9, **bounds).collect())
+    )
+    expected = [("q", *h) for h in right + left] + [("", *h) for h in right]
+    assert found == sorted((q, n, s, i or "") for q, n, s, i in expected)
+    single = search(table, [1.0, 0.0], 9).collect()
+    assert [(r["rank"], r.score, r.external_id) for r in single] == right
+
+
+@pytest.mark.parametrize("bounds", [{}, TINY])
+def test_close_centroids_and_repeated_ids(spark, bounds):
+    near = [(0, [1.0, 0.1]), (1, [1.0, 0.1 + 1e-10]), (2, [-1.0, 0.0]), (3, [-1.0, 0.0])]
+    centroids = spark.createDataFrame(near, "centroid int, embedding array<double>")
+    rows = [("a", [1.0, 0.5]), ("a", [-2.0, 0.0]), (None, [1.0, 0.05]), ("z", [0.0, 0.0])]
+    table = spark.createDataFrame(rows, "external_id string, embedding array<double>")
+    assigned = ivf.ivf_assign(table, centroids, **bounds)
+    assert sorted((r.external_id or "", r.centroid) for r in assigned.where("centroid is not null").collect()) == [
+        ("", 0), ("a", 1), ("a", 2),
+    ]
+    assert assigned.count() == 4
+    queries = spark.createDataFrame([("q", [1.0, 0.5]), ("q", [-1.0, 0.0])], "query_id string, embedding array<double>")
+    hits = ivf.ivf_search_batch(assigned, centroids, queries, 5, nprobe=1, **bounds).collect()
+    assert sorted((r["rank"], r.external_id, round(r.score, 6)) for r in hits) == [(1, "a", 1.0), (1, "a", 1.0)]
+    one = ivf.ivf_search(assigned, centroids, [1.0, 0.5], 5, nprobe=1).collect()
+    assert [(r.external_id, round(r.score, 6)) for r in one] == [("a", 1.0)]
+
+
+def test_probes_prune_the_stored_index(spark, tmp_path):
+    table = as_table(spark, vectors(60, 4, 3))
+    centroids = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(vectors(6, 4, 4)[1:])], "centroid int, embedding array<double>")
+    ivf.write_by_centroid(ivf.ivf_assign(table, centroids), str(tmp_path / "index"))
+    hits = ivf.ivf_search(spark.read.parquet(str(tmp_path / "index")), centroids, [1.0, 0.0, 0.0, 0.0], 5, nprobe=2)
+    assert "PartitionFilters: [centroid" in hits._jdf.queryExecution().executedPlan().toString()
