@@ -96,10 +96,10 @@ def likeness(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(same, F.lit(0), lambda n, x: n + x) / F.size(a)
 
 
-def with_next(rows: DataFrame, order: list[str], carried: list[str], id_col: str) -> DataFrame:
-    """``rows`` with ``next_<c>`` of the row after, by ``order``; after the last comes the first.
+def with_next(rows: DataFrame, order: list[str], carried: list[str], id_col: str, prepare) -> DataFrame:
+    """``prepare(rows)`` with ``next_<c>`` of the row after, by ``order``; after the last comes the first.
 
-    Rows are dealt by quantiles of the id, wide rows once; each range also gets a copy of the
+    Rows are prepared and dealt by quantiles of the id, once; each range also gets a copy of the
     next range's first row, so no range needs its neighbour.  Null ids are a range of their own,
     the first.  Ids may repeat, but a range holds all rows of an id.
     """
@@ -116,12 +116,12 @@ def with_next(rows: DataFrame, order: list[str], carried: list[str], id_col: str
     schema = "__range int, __to int, " + ", ".join(f"__{c} {kinds[c]}" for c in order)
     moved = spark.createDataFrame(moved, schema)
     same = [rows["__range"] == moved["__range"], *[rows[c].eqNullSafe(moved[f"__{c}"]) for c in order]]
-    extra = rows.join(moved, same).select(*[rows[c] for c in rows.columns if c != "__range"], F.col("__to").alias("__range"))
+    extra = rows.join(F.broadcast(moved), same).select(*[rows[c] for c in rows.columns if c != "__range"], F.col("__to").alias("__range"))
     extra = extra.dropDuplicates(["__range"]).withColumn("__extra", F.lit(1))
-    both = rows.withColumn("__extra", F.lit(0)).unionByName(extra)
+    both = prepare(rows.withColumn("__extra", F.lit(0)).unionByName(extra))
     along = Window.partitionBy("__range").orderBy("__extra", *order)
     both = both.withColumn("__next", F.lead(F.struct(*carried)).over(along)).where("__extra = 0")
-    return both.select(*[c for c in rows.columns if c != "__range"], *[F.col(f"__next.{c}").alias(f"next_{c}") for c in carried])
+    return both.select(*[c for c in both.columns if c[:2] != "__"], *[F.col(f"__next.{c}").alias(f"next_{c}") for c in carried])
 
 
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,8 +135,8 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    signed = with_signature(rows, "text", "signature")
-    paired = with_next(signed, ["doc_id", "tie"], ["text", "signature"], "doc_id")
+    signed = lambda df: with_signature(df, "text", "signature")
+    paired = with_next(rows, ["doc_id", "tie"], ["text", "signature"], "doc_id", signed)
     length, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), length - cut), F.substring("next_text", F.lit(1), cut))
     paired = paired.withColumn("n_chars", length.cast("long")).withColumn("edited", edited)
