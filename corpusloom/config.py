@@ -10,7 +10,6 @@ LARGE_IMPL_LINES = 100  # an impl block spanning more lines is split
 ITEM_NAME_CHARS = 60  # longest name taken from an item's first line
 BYTES_PER_TOKEN = 4  # divisor of the token estimate
 EMBED_BATCH_SIZE = 128  # texts per model call
-WRITE_BATCH_SIZE = 100  # vectors per progress line
 DIMENSIONS = 1024  # embedding length
 TOP_K = 10  # hits per query
 
@@ -37,4 +36,4 @@ class Settings:
     dimensions: int = DIMENSIONS
     embed_batch_size: int = EMBED_BATCH_SIZE
     k: int = TOP_K
-    max_chunk_bytes: int = MAX_CHUNK_BYTES
+    max_chunk_bytes: int | None = MAX_CHUNK_BYTES  # None: no text is cut

@@ -44,17 +44,19 @@ def raw_chunks(path: Column, source: Column) -> Column:
     )
 
 
-def chunk_array(path: Column, source: Column, max_bytes: int = MAX_CHUNK_BYTES) -> Column:
-    """All chunks of one file: cut to the byte cap first, then without blank ones."""
+def chunk_array(path: Column, source: Column, max_bytes: int | None = MAX_CHUNK_BYTES) -> Column:
+    """All chunks of one file: cut to the byte cap (if there is one) first, then without blank ones."""
+    cut = (lambda text: text) if max_bytes is None else (lambda text: truncate_bytes(text, max_bytes))
+    over = (lambda text: F.lit(False)) if max_bytes is None else (lambda text: F.octet_length(text) > max_bytes)
     capped = F.transform(
         raw_chunks(path, source),
         lambda c: F.struct(
             c["start_line"].alias("start_line"),
             c["end_line"].alias("end_line"),
             c["item_name"].alias("item_name"),
-            truncate_bytes(c["text"], max_bytes).alias("text"),
+            cut(c["text"]).alias("text"),
             language_of(path).alias("language"),
-            (F.octet_length(c["text"]) > max_bytes).alias("was_truncated"),
+            over(c["text"]).alias("was_truncated"),
         ),
     )
     return F.filter(capped, lambda c: ~is_blank(c["text"])).cast(
@@ -84,7 +86,7 @@ def last_per_range(chunks: Column) -> Column:
 
 
 @lru_cache(maxsize=16)
-def _chunks_of_row(session: SparkSession, max_bytes: int, unique: bool) -> Column:
+def _chunks_of_row(session: SparkSession, max_bytes: int | None, unique: bool) -> Column:
     """The expression over ``file_path`` and ``source``, built once per session."""
     chunks = chunk_array(F.col("file_path"), F.col("source"), max_bytes)
     return last_per_range(chunks) if unique else chunks
@@ -92,16 +94,17 @@ def _chunks_of_row(session: SparkSession, max_bytes: int, unique: bool) -> Colum
 
 def chunk_files(
     files: DataFrame,
-    max_bytes: int = MAX_CHUNK_BYTES,
+    max_bytes: int | None = MAX_CHUNK_BYTES,
     keep: tuple[str, ...] = (),
     unique: bool = False,
 ) -> DataFrame:
     """``(file_path, source)`` rows to chunk rows, ``chunk_ord`` giving the order in a file.
 
     ``keep`` names further columns of ``files`` to carry along.  With ``unique``, chunks of
-    a file that would be stored under the same id are reduced to the last.
+    a file that would be stored under the same id are reduced to the last.  Without
+    ``max_bytes`` no text is cut.
     """
-    if max_bytes <= 0:
+    if max_bytes is not None and max_bytes <= 0:
         raise ValueError("max_bytes must be positive")
     chunks = F.posexplode(_chunks_of_row(files.sparkSession, max_bytes, unique))
     exploded = files.select(*keep, "file_path", chunks.alias("chunk_ord", "c"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.config import BYTES_PER_TOKEN, DIMENSIONS, EMBED_BATCH_SIZE, WRITE_BATCH_SIZE
+from corpusloom.config import BYTES_PER_TOKEN, DIMENSIONS, EMBED_BATCH_SIZE
 from corpusloom.functions.text import root_component
 from corpusloom.session import cut_lineage
 
@@ -77,17 +77,6 @@ def skipped_by_reason(skipped: DataFrame) -> DataFrame:
     return skipped.groupBy("reason").agg(F.count("*").alias("files"))
 
 
-def write_progress(vectors: DataFrame, batch_size: int = WRITE_BATCH_SIZE) -> DataFrame:
-    """``batch, vectors_written, total`` per write batch, from the row count alone."""
-    total = vectors.agg(F.count("*").alias("total"))
-    batches = batch_count(F.col("total"), batch_size)
-    numbered = total.select(
-        "total", F.explode(F.when(batches > 0, F.sequence(F.lit(1).cast("long"), batches))).alias("batch")
-    )
-    written = F.least(F.col("batch") * batch_size, F.col("total"))
-    return numbered.select("batch", written.alias("vectors_written"), "total")
-
-
 def with_position(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with its 0-based ``position`` in the given order, without one global task.
 

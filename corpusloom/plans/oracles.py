@@ -19,8 +19,10 @@ def line_list(text: str) -> str:
     return f"CASE WHEN {text} = '' THEN CAST([] AS VARCHAR[]) ELSE {_LINES.format(text)} END"
 
 
-def capped(rows: str, cap: int) -> str:
+def capped(rows: str, cap: int | None) -> str:
     """CTEs from ``rows(file_path, text, ...)`` to ``cut``, the same with ``text`` within the cap."""
+    if cap is None:
+        return f"raw AS ({rows}), cut AS (SELECT *, false AS was_truncated FROM raw)"
     return f"""
     raw AS ({rows}),
     letters AS (
@@ -155,7 +157,7 @@ _MIXED_ROWS = f"""
                 )
             )
         ) WHERE {not_blank('text')}"""
-_MIXED_CUT = f"WITH {capped(_MIXED_ROWS, 48_000)}"
+_MIXED_CUT = f"WITH {capped(_MIXED_ROWS, None)}"
 
 ORACLES["mixed_chunks"] = f"{_MIXED_CUT} SELECT {_REPORT} FROM cut WHERE {not_blank('text')}"
 
@@ -183,7 +185,7 @@ _ALL_ROWS = f"""
         UNION ALL SELECT 'conversations/' || conv_id || '-' || turn, text FROM conversations"""
 
 ORACLES["dry_run_all_tables"] = f"""
-WITH {capped(_ALL_ROWS, 48_000)}
+WITH {capped(_ALL_ROWS, None)}
 SELECT split_part(file_path, '/', 1) AS root, count(*) AS chunks,
        CAST(sum(strlen(text)) // 4 AS BIGINT) AS tokens
 FROM cut WHERE {not_blank('text')} GROUP BY root ORDER BY root
@@ -278,12 +280,6 @@ ORACLES["batch_ids"] = """
 SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 128 AS BIGINT) AS batch_id FROM documents
 """
 
-ORACLES["write_batches"] = """
-WITH t AS (SELECT count(*) AS total FROM embeddings)
-SELECT CAST(batch AS BIGINT) AS batch, CAST(least(batch * 100, total) AS BIGINT) AS vectors_written, total
-FROM (SELECT total, unnest(range(1, (total + 99) // 100 + 1)) AS batch FROM t)
-"""
-
 # Embedding
 
 
@@ -336,7 +332,7 @@ FROM documents
 # Index
 
 ORACLES["index_table_rows"] = f"""
-WITH {capped(whole_files(_TXT), 48_000)}
+WITH {capped(whole_files(_TXT), None)}
 SELECT file_path || ':' || start_line || '-' || end_line AS external_id, CAST(64 AS INTEGER) AS dimensions,
        file_path, start_line, end_line, file_path AS item_name, md5(text) AS chunk_md5, 'text' AS language
 FROM cut WHERE {not_blank('text')}
@@ -348,7 +344,7 @@ def _ids_and_texts(edited: str) -> str:
         SELECT {_TXT} AS file_path, {edited} AS text,
                CAST(greatest(len({line_list(edited)}), 1) AS BIGINT) AS end_line
         FROM documents"""
-    return f"""(WITH {capped(rows, 48_000)}
+    return f"""(WITH {capped(rows, None)}
         SELECT file_path || ':1-' || end_line AS external_id, text FROM cut WHERE {not_blank('text')})"""
 
 
@@ -437,7 +433,7 @@ _SEARCHED = f"""
     UNION ALL SELECT 'q' || item_id, text FROM benchmark"""
 
 ORACLES["semantic_search"] = f"""
-WITH {capped(whole_files(_TXT), 48_000)}, {hash_vectors(_SEARCHED)},
+WITH {capped(whole_files(_TXT), None)}, {hash_vectors(_SEARCHED)},
 scored AS (
     SELECT CAST(q.id[2:] AS BIGINT) AS item_id, d.id[2:] AS external_id,
            list_cosine_similarity(d.v, q.v) AS score
@@ -466,3 +462,12 @@ FROM hits
 ORACLES["topk_batch_grid"] = ORACLES["topk_batch"]
 ORACLES["centroid_assign_grid"] = ORACLES["centroid_assign"]
 ORACLES["ivf_probe_batch_grid"] = ORACLES["ivf_probe_batch"]
+
+_SCANNED = (
+    "nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+ORACLES["scanned_paths"] = f"""
+SELECT path_in_root, 'not valid UTF-8' AS reason
+FROM (VALUES {", ".join(f"('{name}.parquet')" for name in _SCANNED)}) AS t(path_in_root)
+"""

@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.config import SourceRoot
+from corpusloom.config import Settings, SourceRoot
 from corpusloom.functions.glob import filter_paths
 from corpusloom.functions.render import render_hits
 from corpusloom.functions.vectors import unit
@@ -27,7 +27,6 @@ from corpusloom.operators.stats import (
     dry_run_totals,
     skipped_by_reason,
     truncated_count,
-    write_progress,
 )
 from corpusloom.plans.pipelines import corpus_index_rows
 from corpusloom.sources.corpus import decode, scan_roots, skipped, table_corpus, union_corpora
@@ -38,6 +37,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 HASH_DIMS = 64
 SMALL_CAP = 2_000
+WHOLE = Settings(max_chunk_bytes=None)
 TINY_BOUNDS = {"broadcast_bytes": 64, "cell_bytes": 128 * 8 * HASH_DIMS}  # cells of 128 vectors
 QUERIES: dict[str, Query] = {}
 
@@ -158,7 +158,7 @@ def heading_sections(spark, sf_dir):
 
 @registered
 def mixed_chunks(spark, sf_dir):
-    return chunk_report(chunk_files(documents_as(spark, sf_dir, mixed_path())))
+    return chunk_report(chunk_files(documents_as(spark, sf_dir, mixed_path()), None))
 
 
 @registered
@@ -241,8 +241,10 @@ def skipped_reasons(spark, sf_dir):
 
 @registered
 def scanned_paths(spark, sf_dir):
+    """The tables' files as a corpus: all but the excluded one are read, and none is text."""
     root = SourceRoot(sf_dir, include=("**/*.parquet",), exclude=("**/region*",))
-    return scan_roots(spark, [root]).select("file_path")
+    report = skipped(scan_roots(spark, [root]))
+    return report.select(F.regexp_replace("file_path", "^[^/]*/", "").alias("path_in_root"), "reason")
 
 
 # Reports
@@ -250,12 +252,12 @@ def scanned_paths(spark, sf_dir):
 
 @registered
 def dry_run_by_root_query(spark, sf_dir):
-    return dry_run_by_root(chunk_files(documents_as(spark, sf_dir, mixed_path())))
+    return dry_run_by_root(chunk_files(documents_as(spark, sf_dir, mixed_path()), None))
 
 
 @registered
 def dry_run_totals_query(spark, sf_dir):
-    return dry_run_totals(chunk_files(documents_as(spark, sf_dir, mixed_path())))
+    return dry_run_totals(chunk_files(documents_as(spark, sf_dir, mixed_path()), None))
 
 
 @registered
@@ -272,7 +274,7 @@ def dry_run_all_tables(spark, sf_dir):
             F.col("text"),
         ),
     )
-    return dry_run_by_root(chunk_files(corpus))
+    return dry_run_by_root(chunk_files(corpus, None))
 
 
 @registered
@@ -285,11 +287,6 @@ def batch_ids_query(spark, sf_dir):
     return batch_ids(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-@registered
-def write_batches(spark, sf_dir):
-    return write_progress(table(spark, sf_dir, "embeddings"))
-
-
 # Embedding
 
 
@@ -334,7 +331,7 @@ def model_embed(spark, sf_dir):
 
 @registered
 def index_table_rows(spark, sf_dir):
-    rows = corpus_index_rows(documents_as(spark, sf_dir, text_path()), HashEmbedder(HASH_DIMS))
+    rows = corpus_index_rows(documents_as(spark, sf_dir, text_path()), HashEmbedder(HASH_DIMS), WHOLE)
     return rows.select(
         "external_id",
         F.size("embedding").alias("dimensions"),
@@ -359,7 +356,7 @@ def upsert_merge(spark, sf_dir):
     hashing = HashEmbedder(HASH_DIMS)
     path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
     for files in (first, second):
-        upsert_index(spark, path, corpus_index_rows(files, hashing))
+        upsert_index(spark, path, corpus_index_rows(files, hashing, WHOLE))
     merged = read_index(spark, path)
     return merged.select("external_id", F.md5("chunk_text").alias("chunk_md5"))
 
@@ -477,7 +474,7 @@ def ivf_kmeans_full_probe(spark, sf_dir):
 def semantic_search(spark, sf_dir):
     """All documents chunked and embedded, searched with every benchmark text."""
     hashing = HashEmbedder(HASH_DIMS)
-    index = corpus_index_rows(documents_as(spark, sf_dir, text_path()), hashing)
+    index = corpus_index_rows(documents_as(spark, sf_dir, text_path()), hashing, WHOLE)
     queries = embed_queries(table(spark, sf_dir, "benchmark"), "text", hashing)
     hits = search_batch(index, queries, 5, query_id_col="item_id")
     return rounded(hits, "item_id", "external_id")

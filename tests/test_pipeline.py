@@ -182,13 +182,20 @@ def test_dry_run_of_nothing(spark):
     assert report.by_root.count() == 0
 
 
+def test_no_text_is_cut_without_a_cap(spark):
+    text = "é" * 40_000
+    files = spark.createDataFrame([("r/a.txt", text), ("r/a.md", "# A\n" + text), ("r/b.txt", " \n")], "file_path string, source string")
+    whole = {r.file_path: (r.text, r.was_truncated) for r in chunk_files(files, None).collect()}
+    assert whole == {"r/a.txt": (text, False), "r/a.md": ("# A\n" + text, False)}
+    assert chunk_files(files).where("was_truncated").count() == 2
+    rows = pipelines.corpus_index_rows(files, HashEmbedder(4), Settings(max_chunk_bytes=None))
+    assert {len(r.chunk_text) for r in rows.collect()} == {40_000, 40_004}
+
+
 def test_batches(spark):
     df = spark.createDataFrame([(f"k{i:03d}",) for i in range(257)], "k string").repartition(7)
     got = {r["k"]: r["batch_id"] for r in stats.batch_ids(df, "k", batch_size=100).collect()}
     assert got == {f"k{i:03d}": i // 100 for i in range(257)}
-    progress = [tuple(r) for r in stats.write_progress(df).orderBy("batch").collect()]
-    assert progress == [(1, 100, 257), (2, 200, 257), (3, 257, 257)]
-    assert stats.write_progress(df.where("false")).count() == 0
     for call in (lambda: stats.batch_ids(df, "k", batch_size=0), lambda: stats.batch_count(F.lit(1), 0)):
         with pytest.raises(ValueError):
             call()
