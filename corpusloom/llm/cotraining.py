@@ -85,6 +85,23 @@ def metadata_features(batch: pa.RecordBatch, names: tuple[str, str, str]) -> np.
     return np.concatenate([*parts, np.eye(SIZES)[place.astype(np.int64)]], axis=1).reshape(rows, -1)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of so few rows that their dense features stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    """Feature rows kept as equally long blobs, read from where Arrow holds them."""
+    parts = []
+    for chunk in column.chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], np.float32)[ends[0] // 4 : ends[-1] // 4])
+    return np.concatenate(parts).reshape(rows, -1)
+
+
 @dataclass
 class Logistic:
     centre: np.ndarray
@@ -101,16 +118,21 @@ def chance(logit: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> Logistic:
     """Ridge logistic regression by Newton's method, on standardised features."""
-    x = x.astype(np.float64)
-    centre, scale = x.mean(axis=0), x.std(axis=0)
+    n, width = x.shape
+    blocks = [slice(i, i + 2048) for i in range(0, n, 2048)]
+    centre = sum(x[rows].sum(axis=0, dtype=np.float64) for rows in blocks) / n
+    spread = sum(((x[rows] - centre) ** 2).sum(axis=0) for rows in blocks)
+    scale = np.sqrt(spread / n)
     scale[scale < 1e-9] = 1.0
-    z = np.concatenate((np.ones((len(x), 1)), (x - centre) / scale), axis=1)
-    weights, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
+    weights, penalty = np.zeros(width + 1), np.full(width + 1, ridge)
     penalty[0] = 1e-6
     for _ in range(8):
-        p = chance(z @ weights)
-        slope = z.T @ (y - p) - penalty * weights
-        curve = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty)
+        slope, curve = -penalty * weights, np.diag(penalty)
+        for rows in blocks:  # standardised block by block: no second copy of the features
+            z = np.concatenate((np.ones((len(x[rows]), 1)), (x[rows] - centre) / scale), axis=1)
+            p = chance(z @ weights)
+            slope += z.T @ (y[rows] - p)
+            curve += (z * (p * (1 - p))[:, None]).T @ z
         step = np.linalg.solve(curve, slope)
         weights += step
         if np.abs(step).max() < 1e-4:
@@ -182,7 +204,6 @@ def classify(
     names = ("__source", "__lang", "__size")
     inputs = kept.withColumns(
         {
-            "__text": F.col(text_col).cast("string"),
             names[0]: F.col(source).cast("string"),
             names[1]: F.col(lang).cast("string"),
             names[2]: F.col(size).cast("long"),
@@ -203,21 +224,21 @@ def classify(
     sample = inputs.join(F.broadcast(chosen.unionByName(others)), id_col)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("__text"))
+        for batch in sliced(batches):
+            data, offsets = text_bytes(batch.column("__text").cast(pa.string()))
             views = [text_features(data, offsets), metadata_features(batch, names).astype(np.float32)]
             blobs = [pa.array([row.tobytes() for row in view], pa.binary()) for view in views]
             columns = [batch.column(c) for c in ("__id", "__y", "__fold")]
             yield pa.RecordBatch.from_arrays([*columns, *blobs], names=["id", "y", "fold", "a", "b"])
 
-    described = sample.select(F.col(id_col).cast("string").alias("__id"), "__y", "__fold", "__text", *names)
+    described = sample.select(F.col(id_col).cast("string").alias("__id"), "__y", "__fold", F.col(text_col).alias("__text"), *names)
     described = described.mapInArrow(describe, "id string, y int, fold int, a binary, b binary")
     # An id may be repeated in the documents: one row of it is enough, so the bounds hold.
-    rows = described.groupBy("id").agg(*[F.min(c).alias(c) for c in ("y", "fold", "a", "b")]).toArrow().sort_by("id")
-    y, part = (rows.column(c).to_numpy() for c in ("y", "fold"))
-    a, b = (
-        np.frombuffer(b"".join(rows.column(c).to_pylist()), np.float32).reshape(len(y), -1) if len(y) else None for c in "ab"
-    )
+    rows = described.groupBy("id").agg(*[F.min(c).alias(c) for c in ("y", "fold", "a", "b")]).toArrow()
+    order = np.argsort(rows.column("id").to_numpy(), kind="stable")
+    y, part = (rows.column(c).to_numpy()[order] for c in ("y", "fold"))
+    a, b = (matrix(rows.column(c), len(y))[order] if len(y) else None for c in "ab")
+    del rows
     model = None
     learn, hold, free = (y >= 0) & (part != 0), (y >= 0) & (part == 0), y < 0
     if all(len(set(y[mask].tolist())) == 2 for mask in (learn, hold)):
@@ -227,11 +248,11 @@ def classify(
     columns = kept.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [np.ones(batch.num_rows)] * 3
             keep = np.ones(batch.num_rows, bool)
             if model is not None:
-                data, offsets = text_bytes(batch.column("__text"))
+                data, offsets = text_bytes(batch.column(columns.index(text_col)).cast(pa.string()))
                 scores = model.scores([text_features(data, offsets), metadata_features(batch, names)])
                 keep = scores[0] >= model.threshold
             own = [batch.column(i) for i in range(len(columns))]
