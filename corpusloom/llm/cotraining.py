@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import Hasher, fold, text_blocks, text_bytes, word_ranges
+from corpusloom.llm.common import Hasher, fold, staged, text_blocks, text_bytes, word_ranges
 
 WORDS, PAIRS, NUMBERS = 256, 256, 16  # features of the text view: hashed words, shape pairs, shares
 SOURCES, LANGS, SIZES = 32, 16, 16  # of the metadata view
-LABELLED, POOL = 16_000, 8_000  # rows the classifiers are fitted on, at most: labelled, unlabelled
-ROUNDS, SURE, PER_ROUND = 3, 0.98, 1_000  # pseudo-labels: calibrated confidence, and most a round and class
+LABELLED = 16_000  # labelled rows that are collected, at most
+ROUNDS, SURE, PASSES = 3, 0.98, 12  # pseudo-labels: calibrated confidence; passes of a round's fit, at most
 MOST_LOST = 0.003  # of the good documents of the calibration fold may score below the threshold
 RIDGE = 3.0
 
@@ -140,6 +141,110 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> Logistic:
     return Logistic(centre, scale, weights)
 
 
+@dataclass
+class Sums:
+    """A logistic model's sums over pseudo-labelled rows, in raw features behind a leading one."""
+
+    curve: np.ndarray
+    slope: np.ndarray
+    first: np.ndarray  # of the features; the leading one counts the rows
+    square: np.ndarray
+    loss: float
+
+    def stack(self) -> np.ndarray:
+        return np.concatenate((self.curve, [self.slope, self.first, self.square, np.full(len(self.slope), self.loss)]))
+
+    @classmethod
+    def of(cls, stack: np.ndarray) -> Sums:
+        return cls(stack[:-4], *stack[-4:-1], float(stack[-1, 0]))
+
+
+Teacher = tuple[Logistic, Logistic]  # a view's model and its calibration
+Pool = Callable[[list[Teacher], list["np.ndarray | None"]], list["Sums | None"]]
+
+
+def sums_over(pool: list[np.ndarray], teachers: list[Teacher], weights: list[np.ndarray | None], block: int = 1024) -> list[Sums | None]:
+    """Per view, the sums over all rows that the other view's teacher is sure of, by its marks."""
+    found: list[Sums | None] = [None, None]
+    for at in range(0, len(pool[0]), block):
+        views = [v[at : at + block] for v in pool]
+        for view, beta in enumerate(weights):
+            if beta is None:
+                continue
+            model, calibration = teachers[1 - view]
+            sure = chance(calibration.logit(model.logit(views[1 - view])[:, None]))
+            rows = (sure >= SURE) | (sure <= 1 - SURE)
+            x = np.concatenate((np.ones((int(rows.sum()), 1)), views[view][rows]), axis=1)
+            y, logit = (sure[rows] >= 0.5).astype(float), x @ beta
+            p = chance(logit)
+            curve = (x * (p * (1 - p))[:, None]).T @ x
+            loss = float(np.logaddexp(0, np.where(y > 0, -logit, logit)).sum())
+            part, old = Sums(curve, x.T @ (y - p), x.sum(axis=0), (x**2).sum(axis=0), loss), found[view]
+            found[view] = part if old is None else Sums.of(old.stack() + part.stack())
+    return found
+
+
+class Refit:
+    """``fit`` on labelled rows at hand and on sums over others, one pass of these a step.
+
+    Begins at the weights of ``start``; a step that raises the objective is halved."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, start: Logistic):
+        self.x, self.y, self.model = x, y, start
+        slopes = start.weights[1:] / start.scale
+        self.trial = np.concatenate(([start.weights[0] - start.centre @ slopes], slopes))
+        self.best, self.at, self.step, self.done = np.inf, None, None, False
+
+    def standardise(self, sums: Sums) -> None:
+        n, more, total = len(self.x), sums.first[0], sums.first[1:]
+        centre = (self.x.sum(axis=0, dtype=np.float64) + total) / (n + more)
+        spread = sum(((self.x[i : i + 2048] - centre) ** 2).sum(axis=0) for i in range(0, n, 2048))
+        spread = spread + np.maximum(sums.square[1:] - 2 * centre * total + more * centre**2, 0)
+        scale = np.sqrt(spread / (n + more))
+        scale[scale < 1e-9] = 1.0
+        self.model = Logistic(centre, scale, np.zeros(len(self.trial)))
+        self.at = np.concatenate(([self.trial[0] + centre @ self.trial[1:]], self.trial[1:] * scale))
+
+    def update(self, sums: Sums | None) -> None:
+        if self.done:
+            return
+        if sums is None or not sums.first[0]:  # no row to learn from: the model stays
+            self.done = True
+            return
+        if self.step is None:
+            self.standardise(sums)
+            weights = self.at
+        else:
+            weights = self.at + self.step
+        centre, scale = self.model.centre, self.model.scale
+        to_raw = np.diag(np.concatenate(([1.0], 1 / scale)))
+        to_raw[0, 1:] = -centre / scale
+        penalty = np.full(len(weights), RIDGE)
+        penalty[0] = 1e-6
+        slope = to_raw.T @ sums.slope - penalty * weights
+        curve = to_raw.T @ sums.curve @ to_raw + np.diag(penalty)
+        loss = sums.loss + penalty @ weights**2 / 2
+        for i in range(0, len(self.x), 2048):
+            z = (self.x[i : i + 2048] - centre) / scale
+            z, y = np.concatenate((np.ones((len(z), 1)), z), axis=1), self.y[i : i + 2048]
+            logit = z @ weights
+            p = chance(logit)
+            slope += z.T @ (y - p)
+            curve += (z * (p * (1 - p))[:, None]).T @ z
+            loss += np.logaddexp(0, np.where(y > 0, -logit, logit)).sum()
+        if loss <= self.best + 1e-9 * abs(loss):
+            self.best, self.at = loss, weights
+            self.step = np.linalg.solve(curve, slope)
+        else:
+            self.step = self.step / 2
+        self.model.weights = self.at
+        if np.abs(self.step).max() < 1e-4:
+            self.done = True
+        weights = self.at + self.step
+        slopes = weights[1:] / scale
+        self.trial = np.concatenate(([weights[0] - centre @ slopes], slopes))
+
+
 @dataclass
 class Views:
     """Both views' classifiers, their calibrations, the combination, and the threshold."""
@@ -154,30 +259,72 @@ class Views:
         return chance(self.combined.logit(np.stack(logits, axis=1))), *map(chance, logits)
 
 
-def cotrain(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], held: list[np.ndarray], held_y: np.ndarray) -> Views:
-    """Each round both views are fitted and calibrated, and each gives the pool rows it is surest
-    of (beyond ``SURE``, at most ``PER_ROUND`` a class) to the other view's training rows."""
-    given = [(np.zeros(0, np.int64), np.zeros(0)) for _ in labelled]
+def cotrain(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray] | Pool, held: list[np.ndarray], held_y: np.ndarray) -> Views:
+    """Each round both views are calibrated, and each gives all pool rows it is sure of (beyond
+    ``SURE``) to the other view's training rows.  ``pool`` holds the rows, or sums over them."""
+    rows = pool
+    if not callable(pool):
+        pool = lambda teachers, weights: sums_over(rows, teachers, weights)
+    models = [fit(x, y) for x in labelled]
     for turn in range(ROUNDS + 1):
-        models = []
-        for view in range(2):
-            rows, marks = given[view]
-            models.append(fit(np.concatenate((labelled[view], pool[view][rows])), np.concatenate((y, marks))))
         calibrations = [fit(m.logit(x)[:, None], held_y, 1.0) for m, x in zip(models, held)]
-        if turn == ROUNDS or not len(pool[0]):
+        if turn == ROUNDS:
             break
-        for view in range(2):
-            sure = chance(calibrations[view].logit(models[view].logit(pool[view])[:, None]))
-            up, down = np.argsort(-sure, kind="stable")[:PER_ROUND], np.argsort(sure, kind="stable")[:PER_ROUND]
-            up, down = up[sure[up] >= SURE], down[sure[down] <= 1 - SURE]
-            marks = np.concatenate((np.ones(len(up)), np.zeros(len(down))))
-            given[1 - view] = (np.concatenate((up, down)), marks)
+        teachers = list(zip(models, calibrations))
+        learners = [Refit(x, y, m) for x, m in zip(labelled, models)]
+        for _ in range(PASSES):
+            found = pool(teachers, [None if one.done else one.trial for one in learners])
+            for one, sums in zip(learners, found):
+                one.update(sums)
+            if all(one.done for one in learners):
+                break
+        models = [one.model for one in learners]
     logits = np.stack([c.logit(m.logit(x)[:, None]) for m, c, x in zip(models, calibrations, held)], axis=1)
     combined = fit(logits, held_y, 1.0)
     good = chance(combined.logit(logits))[held_y > 0]
     return Views(models, calibrations, combined, float(min(0.5, np.quantile(good, MOST_LOST))))
 
 
+def spark_pool(rows: DataFrame) -> Pool:
+    """Sums over all ``rows``, with features ``a, b``: each task's rows of the sums are added up by
+    their place, so what reaches the driver does not grow with the rows or the tasks."""
+
+    def pool(teachers: list[Teacher], weights: list[np.ndarray | None]) -> list[Sums | None]:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            stacks: list[np.ndarray | None] = [None, None]
+            for batch in sliced(batches, 1024):
+                views = [matrix(pa.chunked_array([batch.column(c)]), batch.num_rows) for c in "ab"]
+                for view, sums in enumerate(sums_over(views, teachers, weights)):
+                    if sums is not None:
+                        old = stacks[view]
+                        stacks[view] = sums.stack() if old is None else old + sums.stack()
+            task = TaskContext.get().partitionId()
+            for view, stack in enumerate(stacks):
+                if stack is not None:
+                    n = len(stack)
+                    parts = [np.full(n, view, np.int32), np.arange(n, dtype=np.int32), np.full(n, task, np.int32)]
+                    blobs = pa.array([row.tobytes() for row in stack], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, parts), blobs], names=["view", "place", "task", "sums"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for view, place, _, blob in zip(*(column.to_pylist() for column in batch.columns)):
+                    row = np.frombuffer(blob)
+                    totals[view, place] = totals[view, place] + row if (view, place) in totals else row
+            keys = [pa.array([key[i] for key in totals], pa.int32()) for i in range(2)]
+            blobs = pa.array([row.tobytes() for row in totals.values()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*keys, blobs], names=["view", "place", "sums"])
+
+        found = rows.select("a", "b").mapInArrow(partial, "view int, place int, task int, sums binary")
+        found = found.repartition("view", "place").sortWithinPartitions("view", "place", "task")
+        total = found.mapInArrow(add, "view int, place int, sums binary").toArrow().to_pylist()
+        stacks = [{row["place"]: np.frombuffer(row["sums"]) for row in total if row["view"] == view} for view in range(2)]
+        return [Sums.of(np.stack([stack[i] for i in range(len(stack))])) if stack else None for stack in stacks]
+
+    return pool
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -186,14 +333,16 @@ def classify(
     metadata: tuple[str, str, str] = ("source", "lang", "n_chars"),
     label_col: str = "quality",
     labelled: int = LABELLED,
-    pool: int = POOL,
 ) -> DataFrame:
     """``docs`` with ``score, text_score, metadata_score, keep``.
 
-    Fitted on at most ``labelled`` labelled documents and ``pool`` unlabelled ones, drawn by a
-    hash of their id; a fifth of the labelled ones calibrates the views, combines them and sets
-    the threshold below which documents are rejected.  Every document is scored by its whole text
-    in one narrow stage.  Documents whose id's crc32 is divisible by ten are never fitted on.
+    Fitted on at most ``labelled`` labelled documents, drawn by a hash of their id, and on all
+    unlabelled ones: their features are staged once, and every step of a fit is one pass over them
+    that ends in sums as wide as the features, whatever the number of rows; the last digits of
+    these sums depend on how the rows are partitioned.  A fifth of the labelled documents drawn
+    calibrates the views, combines them and sets the threshold below which documents are rejected.
+    Every document is scored by its whole text in one narrow stage.  Documents without an id, and
+    those whose id's crc32 is divisible by ten, are never fitted on.
 
     Ids with several labels count by their mean, null labels and ids not at all.  A null text is
     empty.  Without labelled documents of both kinds in both folds nothing can be learned: every
@@ -217,34 +366,37 @@ def classify(
         """At most ``wanted`` rows, those of smallest hash: so a bound on what is broadcast."""
         return ids.withColumn("__h", F.xxhash64(id_col)).orderBy("__h", id_col).limit(wanted).drop("__h")
 
-    chosen = drawn(marks, labelled).withColumn("__fold", (fold(id_col, 50) % 5).cast("int"))
-    others = kept.select(id_col).where(F.col(id_col).isNotNull() & (fold(id_col, 10) != 0)).distinct()
-    others = drawn(others.join(labels.select(id_col), id_col, "left_anti"), pool)
-    others = others.withColumns({"__y": F.lit(-1), "__fold": F.lit(-1)})
-    sample = inputs.join(F.broadcast(chosen.unionByName(others)), id_col)
+    chosen = drawn(marks, labelled).select(id_col, (fold(id_col, 50) % 5).cast("int").alias("fold"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             data, offsets = text_bytes(batch.column("__text").cast(pa.string()))
             views = [text_features(data, offsets), metadata_features(batch, names).astype(np.float32)]
             blobs = [pa.array([row.tobytes() for row in view], pa.binary()) for view in views]
-            columns = [batch.column(c) for c in ("__id", "__y", "__fold")]
-            yield pa.RecordBatch.from_arrays([*columns, *blobs], names=["id", "y", "fold", "a", "b"])
-
-    described = sample.select(F.col(id_col).cast("string").alias("__id"), "__y", "__fold", F.col(text_col).alias("__text"), *names)
-    described = described.mapInArrow(describe, "id string, y int, fold int, a binary, b binary")
-    # An id may be repeated in the documents: one row of it is enough, so the bounds hold.
-    rows = described.groupBy("id").agg(*[F.min(c).alias(c) for c in ("y", "fold", "a", "b")]).toArrow()
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), *blobs], names=["__id", "a", "b"])
+
+    described = inputs.where(F.col(id_col).isNotNull() & (fold(id_col, 10) != 0))
+    described = described.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *names)
+    schema = StructType([described.schema["__id"]])
+    for name in "ab":
+        schema = schema.add(name, "binary")
+    described = described.mapInArrow(describe, schema)
+    # The narrow features meet the labels, not the texts; merged at any size, so disk is in proportion.
+    marks = marks.withColumnRenamed(id_col, "__id").hint("merge")
+    described = staged(described.join(marks, "__id", "left"), "features")
+    sample = described.where("__y is not null").join(F.broadcast(chosen.withColumnRenamed(id_col, "__id")), "__id")
+    sample = sample.select(F.col("__id").cast("string").alias("id"), F.col("__y").alias("y"), "fold", "a", "b")
+    # An id may be repeated in the documents: one row of it is enough, so the bound holds.
+    rows = sample.groupBy("id").agg(*[F.min(c).alias(c) for c in ("y", "fold", "a", "b")]).toArrow()
     order = np.argsort(rows.column("id").to_numpy(), kind="stable")
     y, part = (rows.column(c).to_numpy()[order] for c in ("y", "fold"))
     a, b = (matrix(rows.column(c), len(y))[order] if len(y) else None for c in "ab")
     del rows
     model = None
-    learn, hold, free = (y >= 0) & (part != 0), (y >= 0) & (part == 0), y < 0
+    learn, hold = part != 0, part == 0
     if all(len(set(y[mask].tolist())) == 2 for mask in (learn, hold)):
-        model = cotrain(
-            [a[learn], b[learn]], y[learn].astype(float), [a[free], b[free]], [a[hold], b[hold]], y[hold].astype(float)
-        )
+        free = spark_pool(described.where("__y is null"))
+        model = cotrain([a[learn], b[learn]], y[learn].astype(float), free, [a[hold], b[hold]], y[hold].astype(float))
     columns = kept.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -467,6 +467,34 @@ def test_quality_of_odd_rows(spark, docs, rows, none):
     assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
 
 
+def test_all_unlabelled_rows_teach(spark):
+    """A rare source among 9,400 unlabelled documents, last in order of the hash of the id."""
+    rng = random.Random(1)
+    words = ["alpha beta gamma delta".split(), "4 7 !! ##".split()]
+    good = [i % 2 for i in range(12_400)]
+    ids = spark.range(12_400).orderBy(F.xxhash64("id")).toPandas().id.tolist()
+    rows = []
+    for at, i in enumerate(ids):
+        kind = 1 if at >= 12_380 else good[at]
+        source = "rare" if at >= 12_380 else "ab"[kind if rng.random() < 0.9 else 1 - kind]
+        rows.append((i, " ".join(rng.choices(words[1 - kind], k=30)), "en", source, 100))
+    labels = spark.createDataFrame([(r[0], good[at]) for at, r in enumerate(rows[:3_000])], "doc_id long, quality int")
+    found = cotraining.classify(spark.createDataFrame(rows, SCHEMA), labels).where("source = 'rare'").collect()
+    assert len(found) == 20 and min(r.metadata_score for r in found) >= 0.7
+
+
+def test_spark_sums_are_the_sums_over_all_rows(spark):
+    rng = np.random.default_rng(0)
+    views = [rng.normal(size=(5_000, n)).astype(np.float32) for n in (5, 3)]
+    model = lambda n: cotraining.Logistic(np.zeros(n), np.ones(n), np.full(n + 1, 2.0))
+    teachers = [(model(5), model(1)), (model(3), model(1))]
+    table = spark.createDataFrame([tuple(v[i].tobytes() for v in views) for i in range(5_000)], "a binary, b binary")
+    weights = [rng.normal(size=6), rng.normal(size=4)]
+    local = cotraining.sums_over(views, teachers, weights)
+    for one, other in zip(local, cotraining.spark_pool(table.repartition(5))(teachers, weights)):
+        assert one.first[0] > 2_000 and np.allclose(one.stack(), other.stack())
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 3000)
