@@ -14,6 +14,8 @@ from corpusloom.config import SourceRoot
 from corpusloom.functions.glob import path_filter
 
 INVALID_UTF8 = "not valid UTF-8"
+HIDDEN = "hidden file, not read by Spark"
+_READ_ANYWAY = re.compile(r"_[^=]*=.*|_metadata.*|_common_metadata.*")  # by Spark's listing
 
 
 def root_prefix(path: str) -> str:
@@ -45,13 +47,43 @@ def _relative(root_path: str) -> Column:
     return F.substr(path, F.lit(len(root_path) + 2))
 
 
+def _hidden(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """Directories and files below the root that Spark's listing drops for their names.
+
+    Level by level, so that only names that are dropped leave the file system's own listing.
+    """
+    base, conf = _literal(root).rstrip("/"), spark._jsc.hadoopConfiguration()
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = new_path(root).getFileSystem(conf)
+    directories, files = [], []
+    while fs.globStatus(new_path(f"{base}/*")):
+        for status in fs.globStatus(new_path(f"{base}/{{.*,_*,*._COPYING_}}")):
+            if not _READ_ANYWAY.fullmatch(status.getPath().getName()):
+                (directories if status.isDirectory() else files).append(status.getPath())
+        base += "/*"
+    return [p.toString() for p in directories], [p.toUri().getPath() for p in files]
+
+
 def scan_root(spark: SparkSession, root: SourceRoot) -> DataFrame:
-    """``file_path, content`` of every file below one root that passes its globs."""
-    rel = _relative(_root_path(spark, root.path))
-    wanted = path_filter(rel, root.include, root.exclude)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_literal(root.path))
-    path = F.concat(F.lit(root_prefix(root.path) + "/"), rel)
-    return files.where(wanted).select(path.alias("file_path"), "content")
+    """``file_path, content`` of every file below one root that passes its globs.
+
+    Hidden directories are read as roots of their own; the content of a hidden file is null, as
+    Spark opens none, so it is among the skipped ones.
+    """
+    root_path = _root_path(spark, root.path)
+    directories, hidden = _hidden(spark, root.path)
+    prefix = F.lit(root_prefix(root.path) + "/")
+
+    def chosen(files: DataFrame, rel: Column) -> DataFrame:
+        wanted = path_filter(rel, root.include, root.exclude)
+        return files.where(wanted).select(F.concat(prefix, rel).alias("file_path"), "content")
+
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = chosen(reader.load([_literal(p) for p in (root.path, *directories)]), _relative(root_path))
+    if not hidden:
+        return found
+    unread = [(p[len(root_path) + 1 :], None) for p in hidden]
+    return found.unionByName(chosen(spark.createDataFrame(unread, "rel string, content binary"), F.col("rel")))
 
 
 def scan_roots(spark: SparkSession, roots: Sequence[SourceRoot]) -> DataFrame:
@@ -76,7 +108,9 @@ def decode(files: DataFrame) -> DataFrame:
 
 def skipped(files: DataFrame) -> DataFrame:
     """``file_path, reason`` of the files that ``decode`` leaves out."""
-    return files.where(~_is_text()).select("file_path", F.lit(INVALID_UTF8).alias("reason"))
+    hidden = F.rlike("file_path", F.lit(r"(?s)(?:\A|/)(?:[._][^/]*|[^/]*\._COPYING_)\z"))
+    reason = F.when(F.col("content").isNull() & hidden, HIDDEN).otherwise(INVALID_UTF8)
+    return files.where(~_is_text()).select("file_path", reason.alias("reason"))
 
 
 def scan_corpus(spark: SparkSession, roots: Sequence[SourceRoot]) -> DataFrame:

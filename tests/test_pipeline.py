@@ -76,6 +76,21 @@ def test_scan_reads_decodes_and_reports(spark, roots):
     assert [tuple(r) for r in stats.skipped_by_reason(bad).collect()] == [(corpus.INVALID_UTF8, 1)]
 
 
+def test_hidden_directories_are_read_and_hidden_files_reported(spark, tmp_path):
+    names = (".github/ci.md", ".github/_deep/[a]/b.md", "docs/_posts/post.md", "docs/plain.md", "docs/_k=v.md", "docs/_index.md", ".env", ".git/.x.md", ".git/no.txt")
+    for name in names:
+        path = tmp_path / "top[1]" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(name)
+    root = SourceRoot(str(tmp_path / "top[1]"), ("**/*.md",))
+    files = corpus.scan_root(spark, root)
+    assert sorted(r["source"] for r in corpus.decode(files).collect()) == sorted(names[:5])
+    assert sorted(tuple(r) for r in corpus.skipped(files).collect()) == [
+        ("top[1]/.git/.x.md", corpus.HIDDEN),
+        ("top[1]/docs/_index.md", corpus.HIDDEN),
+    ]
+
+
 def test_excluded_files_are_never_opened(spark, roots):
     df = corpus.scan_root(spark, roots[0])
     df.collect()
