@@ -153,7 +153,7 @@ def truncated_chunks(spark, sf_dir):
 
 @registered
 def heading_sections(spark, sf_dir):
-    return chunk_report(chunk_files(headed_documents(spark, sf_dir)))
+    return chunk_report(chunk_files(headed_documents(spark, sf_dir), None))
 
 
 @registered

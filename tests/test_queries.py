@@ -23,6 +23,13 @@ def test_query(spark, con, name):
     assert differences(spark, con, query, sql, SF_DIR) is None
 
 
+def test_heading_sections_are_not_cut(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "s", "en", "\n".join(["a" * 60_000] * 8))], "doc_id long, source string, lang string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    sections = QUERIES["heading_sections"](spark, str(tmp_path)).collect()
+    assert max(r["text_bytes"] for r in sections) >= 60_000
+
+
 def test_entry(spark):
     assert registry.entry(spark).count() > 0
 
