@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import best_fit, cotraining, interpolated_lm, language_bitmask, lsh_forest, mixing, order_minhash, rp_forest, token_orc, warc_chunks
+from corpusloom.llm import (
+    best_fit,
+    cotraining,
+    hard_negatives,
+    hilbert_zones,
+    interpolated_lm,
+    language_bitmask,
+    lsh_forest,
+    mixing,
+    norm_buckets,
+    order_minhash,
+    rp_forest,
+    token_orc,
+    warc_chunks,
+)
 from corpusloom.llm.common import fold, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +128,94 @@ def op9_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "score", "keep", "text_score", "metadata_score")
+
+
+@registered
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, vec_id = F.col("label").cast("long"), F.col("vec_id")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, moved)
+
+
+#: Vectors of the table whose components are whole after scaling, and inner products of two lists.
+WHOLE = """
+whole AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: floor({scale} * v::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+)"""
+
+ORACLES["op11_hard_negatives"] = f"""
+WITH {WHOLE.format(scale=256)}, moved AS (
+  SELECT vec_id, x, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM whole WHERE label IS NOT NULL
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM moved a JOIN moved b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+@registered
+def op12_hilbert_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_zones.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds(rounds: int) -> str:
+    """Common table expressions: assigned<r> goes by centroids<r>, centroids<r + 1> are their means."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""gaps{r} AS (
+  SELECT vec_id, c.cluster, sum((v.value - c.value) * (v.value - c.value))::BIGINT AS distance
+  FROM components v JOIN centroids{r} c USING (place) GROUP BY vec_id, c.cluster
+), assigned{r} AS (
+  SELECT * FROM gaps{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1
+)""")
+        if r < rounds:
+            parts.append(f"""means{r} AS (
+  SELECT cluster, place, floor(sum(value)::DOUBLE / count(*))::BIGINT AS value
+  FROM components JOIN assigned{r} USING (vec_id) GROUP BY cluster, place
+), centroids{r + 1} AS (
+  SELECT cluster, place, coalesce(m.value, c.value) AS value FROM centroids{r} c LEFT JOIN means{r} m USING (cluster, place)
+)""")
+    return ", ".join(parts)
+
+
+ORACLES["op12_hilbert_zones"] = f"""
+WITH {WHOLE.format(scale=64)}, kept AS (
+  SELECT vec_id, x FROM whole WHERE len(x) = 64
+), components AS (
+  SELECT vec_id, unnest(x)::BIGINT AS value, unnest(range(64)) AS place FROM kept
+), starts AS (
+  SELECT vec_id, (row_number() OVER (ORDER BY sha256('1:' || vec_id)))::INTEGER - 1 AS cluster FROM kept
+  QUALIFY cluster < 16
+), centroids0 AS (
+  SELECT cluster, place, value FROM components JOIN starts USING (vec_id)
+), {_rounds(3)}, prints AS (
+  SELECT cluster, sha256(string_agg(value::VARCHAR, ',' ORDER BY place)) AS centroid_sha256 FROM centroids3 GROUP BY cluster
+)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM assigned3 JOIN prints USING (cluster)
+"""
+
+
+@registered
+def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op13_norm_buckets"] = f"""
+WITH {WHOLE.format(scale=256)}
+SELECT q.vec_id AS query_id, b.vec_id, list_inner_product(q.x, b.x)::BIGINT AS score,
+  (row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.x, b.x) DESC, b.vec_id))::INTEGER AS rank
+FROM whole q JOIN whole b ON q.vec_id % 50 = 0 AND q.vec_id <> b.vec_id
+QUALIFY rank <= 5
+"""

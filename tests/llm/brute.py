@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -55,3 +56,63 @@ def base_scores(rows: list[tuple]) -> Counter:
         (d, fold(d, 10) == 0, len(text), sum(counts[w] > 0 for w in text), total, round(score(text), 6))
         for (d, _), text in zip(rows, texts)
     )
+
+
+def whole_vectors(rows: list[tuple], scale: int) -> list[tuple]:
+    """(id, integer vector, label) of rows (id, vector, label) without null or non-finite components."""
+    held = lambda v: max(-(2**63), min(2**63 - 1, v))
+    out = []
+    for i, v, label in rows:
+        if v is not None and all(c is not None and math.isfinite(c) for c in v):
+            out.append((i, [held(math.floor(scale * c)) for c in v], label))
+    return out
+
+
+def _product(a: list[int], b: list[int]) -> int:
+    return max(-(2**63), min(2**63 - 1, sum(p * q for p, q in zip(a, b))))
+
+
+def _ranked(kept: list[tuple], q: int) -> list[tuple]:
+    """(score, id, label) of all other rows of the same length, best first."""
+    others = [(_product(kept[q][1], v), i, label) for n, (i, v, label) in enumerate(kept) if n != q and len(v) == len(kept[q][1])]
+    return sorted(others, key=lambda r: (-r[0], math.inf if r[1] is None else r[1]))
+
+
+def top_products(rows: list[tuple], asked, k: int, scale: int) -> Counter:
+    kept, out = whole_vectors(rows, scale), Counter()
+    for q, (i, _, _) in enumerate(kept):
+        if i is not None and asked(i):
+            out.update((i, rank, other, score) for rank, (score, other, _) in enumerate(_ranked(kept, q)[:k], 1))
+    return out
+
+
+def hard_negatives(rows: list[tuple], asked, positives: int, negatives: int) -> Counter:
+    kept, out = [r for r in whole_vectors(rows, 256) if r[2] is not None], Counter()
+    for q, (i, _, own) in enumerate(kept):
+        if i is not None and asked(i):
+            ranked = _ranked(kept, q)
+            for p, positive, _ in [r for r in ranked if r[2] == own][:positives]:
+                fits = [(s, other) for s, other, label in ranked if label != own and 30 * p <= 100 * s <= 90 * p]
+                out.update((i, positive, rank, other, p, s) for rank, (s, other) in enumerate(fits[:negatives], 1))
+    return out
+
+
+def clusters(rows: list[tuple], n: int, rounds: int, dims: int, seed: int, scale: int) -> Counter:
+    kept = [(i, v) for i, v, _ in whole_vectors(rows, scale) if len(v) == dims]
+    mark = lambda i: hashlib.sha256(f"{seed}:{i}".encode()).hexdigest()
+    starts = sorted(kept, key=lambda r: (r[0] is None, "" if r[0] is None else mark(r[0]), r[1]))
+    centroids = [v for _, v in starts[:n]]
+    top = lambda v: min(v, 2**63 - 1)
+    distance = lambda v, c: sum((p - q) ** 2 for p, q in zip(v, c))
+    nearest = lambda v: min((distance(v, c), k) for k, c in enumerate(centroids))
+    for _ in range(rounds):
+        own = defaultdict(list)
+        for _, v in kept:
+            own[nearest(v)[1]].append(v)
+        centroids = [[sum(c) // len(own[k]) for c in zip(*own[k])] if own[k] else v for k, v in enumerate(centroids)]
+    found = [(i, *nearest(v)) for i, v in kept]
+    inertia = Counter()
+    for _, d, k in found:
+        inertia[k] += d
+    prints = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return Counter((i, k, top(d), top(inertia[k]), top(sum(inertia.values())), prints[k]) for i, d, k in found)
