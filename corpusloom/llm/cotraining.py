@@ -17,14 +17,17 @@ from corpusloom.llm.common import Hasher, fold, staged, text_blocks, text_bytes,
 WORDS, PAIRS, NUMBERS = 256, 256, 16  # features of the text view: hashed words, shape pairs, shares
 SOURCES, LANGS, SIZES = 32, 16, 16  # of the metadata view
 LABELLED = 16_000  # labelled rows that are collected, at most
-ROUNDS, SURE, PASSES = 3, 0.98, 12  # pseudo-labels: calibrated confidence; passes of a round's fit, at most
+ROUNDS, SURE = 3, 0.98  # of pseudo-labels; calibrated confidence
+PASSES, CLOSE = 30, 1e-4  # passes of a round's fit, at most; share of the loss still to gain that ends it
+MEMORY = 8  # steps whose curvature a fit remembers
 MOST_LOST = 0.003  # of the good documents of the calibration fold may score below the threshold
 RIDGE = 3.0
 
 
 def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row a text: square roots of shares of hashed words and of neighbouring word shapes,
-    and shares of repeats, distinct words and kinds of characters.  Sums over the whole text."""
+    and shares of repeats, distinct words and kinds of characters.  Sums over the whole text, in
+    half precision, as they are kept."""
     rows, hasher = len(offsets) - 1, Hasher(31, lower=True)
     kinds = np.full(256, 3, np.int64)  # lower, upper, digit, sign, beyond ASCII, white space
     kinds[97:123], kinds[65:91], kinds[48:58], kinds[128:] = 0, 1, 2, 4
@@ -69,7 +72,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     numbers[:, 12] = np.sqrt(numbers[:, 8])
     numbers[:, 13] = sums[:, 10] / n_words**0.8
     scaled = [np.sqrt(c / np.maximum(c.sum(axis=1, keepdims=True), 1)) for c in (counts, pairs)]
-    return np.concatenate([*scaled, numbers], axis=1).astype(np.float32)
+    return np.concatenate([*scaled, numbers], axis=1).astype(np.float16).astype(np.float32)
 
 
 def metadata_features(batch: pa.RecordBatch, names: tuple[str, str, str]) -> np.ndarray:
@@ -99,8 +102,8 @@ def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     for chunk in column.chunks:
         if len(chunk):
             ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-            parts.append(np.frombuffer(chunk.buffers()[2], np.float32)[ends[0] // 4 : ends[-1] // 4])
-    return np.concatenate(parts).reshape(rows, -1)
+            parts.append(np.frombuffer(chunk.buffers()[2], np.float16)[ends[0] // 2 : ends[-1] // 2])
+    return np.concatenate(parts).reshape(rows, -1).astype(np.float32)
 
 
 @dataclass
@@ -143,20 +146,20 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> Logistic:
 
 @dataclass
 class Sums:
-    """A logistic model's sums over pseudo-labelled rows, in raw features behind a leading one."""
+    """A logistic model's sums over pseudo-labelled rows, in raw features behind a leading one:
+    as wide as the features, so a pass over any number of rows sends little."""
 
-    curve: np.ndarray
     slope: np.ndarray
     first: np.ndarray  # of the features; the leading one counts the rows
     square: np.ndarray
     loss: float
 
     def stack(self) -> np.ndarray:
-        return np.concatenate((self.curve, [self.slope, self.first, self.square, np.full(len(self.slope), self.loss)]))
+        return np.stack((self.slope, self.first, self.square, np.full(len(self.slope), self.loss)))
 
     @classmethod
     def of(cls, stack: np.ndarray) -> Sums:
-        return cls(stack[:-4], *stack[-4:-1], float(stack[-1, 0]))
+        return cls(*stack[:3], float(stack[3, 0]))
 
 
 Teacher = tuple[Logistic, Logistic]  # a view's model and its calibration
@@ -177,9 +180,8 @@ def sums_over(pool: list[np.ndarray], teachers: list[Teacher], weights: list[np.
             x = np.concatenate((np.ones((int(rows.sum()), 1)), views[view][rows]), axis=1)
             y, logit = (sure[rows] >= 0.5).astype(float), x @ beta
             p = chance(logit)
-            curve = (x * (p * (1 - p))[:, None]).T @ x
             loss = float(np.logaddexp(0, np.where(y > 0, -logit, logit)).sum())
-            part, old = Sums(curve, x.T @ (y - p), x.sum(axis=0), (x**2).sum(axis=0), loss), found[view]
+            part, old = Sums(x.T @ (y - p), x.sum(axis=0), (x**2).sum(axis=0), loss), found[view]
             found[view] = part if old is None else Sums.of(old.stack() + part.stack())
     return found
 
@@ -187,13 +189,16 @@ def sums_over(pool: list[np.ndarray], teachers: list[Teacher], weights: list[np.
 class Refit:
     """``fit`` on labelled rows at hand and on sums over others, one pass of these a step.
 
-    Begins at the weights of ``start``; a step that raises the objective is halved."""
+    L-BFGS: the curvature of the labelled rows, as if the others had the same, is where each step
+    starts from, and what the last steps showed corrects it; so only gradients are summed.  Begins
+    at the weights of ``start``; a step that does not lower the objective enough is halved."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, start: Logistic):
         self.x, self.y, self.model = x, y, start
         slopes = start.weights[1:] / start.scale
         self.trial = np.concatenate(([start.weights[0] - start.centre @ slopes], slopes))
-        self.best, self.at, self.step, self.done = np.inf, None, None, False
+        self.at, self.step, self.best, self.gradient, self.done = None, None, np.inf, None, False
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
 
     def standardise(self, sums: Sums) -> None:
         n, more, total = len(self.x), sums.first[0], sums.first[1:]
@@ -203,7 +208,29 @@ class Refit:
         scale = np.sqrt(spread / (n + more))
         scale[scale < 1e-9] = 1.0
         self.model = Logistic(centre, scale, np.zeros(len(self.trial)))
+        self.penalty = np.full(len(self.trial), RIDGE)
+        self.penalty[0] = 1e-6
         self.at = np.concatenate(([self.trial[0] + centre @ self.trial[1:]], self.trial[1:] * scale))
+        curve = sum((z * (p * (1 - p))[:, None]).T @ z for z, _, p in self.labelled(self.at))
+        self.start = np.linalg.inv(curve * (1 + more / n) + np.diag(self.penalty))
+
+    def labelled(self, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Standardised features behind a leading one, labels and chances, block by block."""
+        for i in range(0, len(self.x), 2048):
+            z = (self.x[i : i + 2048] - self.model.centre) / self.model.scale
+            z = np.concatenate((np.ones((len(z), 1)), z), axis=1)
+            yield z, self.y[i : i + 2048], chance(z @ weights)
+
+    def direction(self) -> np.ndarray:
+        """The two-loop recursion over the steps remembered."""
+        q, shares = -self.gradient, []
+        for s, g in reversed(self.seen):
+            shares.append((s @ q) / (s @ g))
+            q = q - shares[-1] * g
+        q = self.start @ q
+        for (s, g), share in zip(self.seen, reversed(shares)):
+            q = q + s * (share - (g @ q) / (s @ g))
+        return q
 
     def update(self, sums: Sums | None) -> None:
         if self.done:
@@ -211,35 +238,26 @@ class Refit:
         if sums is None or not sums.first[0]:  # no row to learn from: the model stays
             self.done = True
             return
-        if self.step is None:
+        if self.at is None:
             self.standardise(sums)
             weights = self.at
         else:
             weights = self.at + self.step
         centre, scale = self.model.centre, self.model.scale
-        to_raw = np.diag(np.concatenate(([1.0], 1 / scale)))
-        to_raw[0, 1:] = -centre / scale
-        penalty = np.full(len(weights), RIDGE)
-        penalty[0] = 1e-6
-        slope = to_raw.T @ sums.slope - penalty * weights
-        curve = to_raw.T @ sums.curve @ to_raw + np.diag(penalty)
-        loss = sums.loss + penalty @ weights**2 / 2
-        for i in range(0, len(self.x), 2048):
-            z = (self.x[i : i + 2048] - centre) / scale
-            z, y = np.concatenate((np.ones((len(z), 1)), z), axis=1), self.y[i : i + 2048]
-            logit = z @ weights
-            p = chance(logit)
-            slope += z.T @ (y - p)
-            curve += (z * (p * (1 - p))[:, None]).T @ z
-            loss += np.logaddexp(0, np.where(y > 0, -logit, logit)).sum()
-        if loss <= self.best + 1e-9 * abs(loss):
-            self.best, self.at = loss, weights
-            self.step = np.linalg.solve(curve, slope)
+        gradient = self.penalty * weights - np.concatenate(([sums.slope[0]], (sums.slope[1:] - centre * sums.slope[0]) / scale))
+        loss = sums.loss + self.penalty @ weights**2 / 2
+        for z, y, p in self.labelled(weights):
+            gradient -= z.T @ (y - p)
+            loss -= np.log(np.where(y > 0, p, 1 - p)).sum()
+        if self.step is None or loss <= self.best + 1e-4 * (self.step @ self.gradient):
+            if self.step is not None and self.step @ (gradient - self.gradient) > 0:
+                self.seen = [*self.seen, (self.step, gradient - self.gradient)][-MEMORY:]
+            self.best, self.at, self.gradient = loss, weights, gradient
+            self.step = self.direction()
         else:
             self.step = self.step / 2
         self.model.weights = self.at
-        if np.abs(self.step).max() < 1e-4:
-            self.done = True
+        self.done = bool(-(self.step @ self.gradient) < CLOSE * max(1.0, self.best))
         weights = self.at + self.step
         slopes = weights[1:] / scale
         self.trial = np.concatenate(([weights[0] - centre @ slopes], slopes))
@@ -259,9 +277,18 @@ class Views:
         return chance(self.combined.logit(np.stack(logits, axis=1))), *map(chance, logits)
 
 
-def cotrain(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray] | Pool, held: list[np.ndarray], held_y: np.ndarray) -> Views:
+def cotrain(
+    labelled: list[np.ndarray],
+    y: np.ndarray,
+    pool: list[np.ndarray] | Pool,
+    held: list[np.ndarray],
+    held_y: np.ndarray,
+    judged: list[np.ndarray] | None = None,
+    judged_y: np.ndarray | None = None,
+) -> Views:
     """Each round both views are calibrated, and each gives all pool rows it is sure of (beyond
-    ``SURE``) to the other view's training rows.  ``pool`` holds the rows, or sums over them."""
+    ``SURE``) to the other view's training rows.  ``pool`` holds the rows, or sums over them.
+    ``held`` calibrates and combines the views; ``judged``, rows of its own, sets the threshold."""
     rows = pool
     if not callable(pool):
         pool = lambda teachers, weights: sums_over(rows, teachers, weights)
@@ -280,9 +307,10 @@ def cotrain(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray] |
                 break
         models = [one.model for one in learners]
     logits = np.stack([c.logit(m.logit(x)[:, None]) for m, c, x in zip(models, calibrations, held)], axis=1)
-    combined = fit(logits, held_y, 1.0)
-    good = chance(combined.logit(logits))[held_y > 0]
-    return Views(models, calibrations, combined, float(min(0.5, np.quantile(good, MOST_LOST))))
+    found = Views(models, calibrations, fit(logits, held_y, 1.0), 0.5)
+    good = found.scores(held if judged is None else judged)[0][(held_y if judged is None else judged_y) > 0]
+    found.threshold = float(min(0.5, np.quantile(good, MOST_LOST)))
+    return found
 
 
 def spark_pool(rows: DataFrame) -> Pool:
@@ -339,13 +367,14 @@ def classify(
     Fitted on at most ``labelled`` labelled documents, drawn by a hash of their id, and on all
     unlabelled ones: their features are staged once, and every step of a fit is one pass over them
     that ends in sums as wide as the features, whatever the number of rows; the last digits of
-    these sums depend on how the rows are partitioned.  A fifth of the labelled documents drawn
-    calibrates the views, combines them and sets the threshold below which documents are rejected.
+    these sums depend on how the rows are partitioned.  A tenth of the labelled documents drawn
+    calibrates the views and combines them, another sets the threshold below which documents are
+    rejected.
     Every document is scored by its whole text in one narrow stage.  Documents without an id, and
     those whose id's crc32 is divisible by ten, are never fitted on.
 
     Ids with several labels count by their mean, null labels and ids not at all.  A null text is
-    empty.  Without labelled documents of both kinds in both folds nothing can be learned: every
+    empty.  Without labelled documents of both kinds in each of the three folds nothing can be learned: every
     score is 1 and everything is kept.  Columns with the names above are replaced.
     """
     kept = docs.drop("score", "text_score", "metadata_score", "keep")
@@ -366,12 +395,12 @@ def classify(
         """At most ``wanted`` rows, those of smallest hash: so a bound on what is broadcast."""
         return ids.withColumn("__h", F.xxhash64(id_col)).orderBy("__h", id_col).limit(wanted).drop("__h")
 
-    chosen = drawn(marks, labelled).select(id_col, (fold(id_col, 50) % 5).cast("int").alias("fold"))
+    chosen = drawn(marks, labelled).select(id_col, F.floor(fold(id_col, 100) / 10).cast("int").alias("fold"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             data, offsets = text_bytes(batch.column("__text").cast(pa.string()))
-            views = [text_features(data, offsets), metadata_features(batch, names).astype(np.float32)]
+            views = [f.astype(np.float16) for f in (text_features(data, offsets), metadata_features(batch, names))]
             blobs = [pa.array([row.tobytes() for row in view], pa.binary()) for view in views]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), *blobs], names=["__id", "a", "b"])
 
@@ -393,10 +422,11 @@ def classify(
     a, b = (matrix(rows.column(c), len(y))[order] if len(y) else None for c in "ab")
     del rows
     model = None
-    learn, hold = part != 0, part == 0
-    if all(len(set(y[mask].tolist())) == 2 for mask in (learn, hold)):
+    learn, hold, judge_by = part % 5 != 0, part == 0, part == 5
+    if all(len(set(y[mask].tolist())) == 2 for mask in (learn, hold, judge_by)):
         free = spark_pool(described.where("__y is null"))
-        model = cotrain([a[learn], b[learn]], y[learn].astype(float), free, [a[hold], b[hold]], y[hold].astype(float))
+        sets = [([a[mask], b[mask]], y[mask].astype(float)) for mask in (learn, hold, judge_by)]
+        model = cotrain(*sets[0], free, *sets[1], *sets[2])
     columns = kept.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -485,7 +485,7 @@ def test_all_unlabelled_rows_teach(spark):
 
 def test_spark_sums_are_the_sums_over_all_rows(spark):
     rng = np.random.default_rng(0)
-    views = [rng.normal(size=(5_000, n)).astype(np.float32) for n in (5, 3)]
+    views = [rng.normal(size=(5_000, n)).astype(np.float16) for n in (5, 3)]
     model = lambda n: cotraining.Logistic(np.zeros(n), np.ones(n), np.full(n + 1, 2.0))
     teachers = [(model(5), model(1)), (model(3), model(1))]
     table = spark.createDataFrame([tuple(v[i].tobytes() for v in views) for i in range(5_000)], "a binary, b binary")
@@ -495,6 +495,32 @@ def test_spark_sums_are_the_sums_over_all_rows(spark):
         assert one.first[0] > 2_000 and np.allclose(one.stack(), other.stack())
 
 
+@pytest.mark.parametrize("first", [0.0, 3.0])
+def test_refit_reaches_the_plain_fit(first):
+    """Gradients summed over pseudo-labelled rows end where Newton's method on all rows ends."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4_000, 12)) * np.exp(rng.normal(size=12)) + 3 * rng.normal(size=12)
+    other = x @ rng.normal(size=(12, 2)) / 4
+    identity = cotraining.Logistic(np.zeros(1), np.ones(1), np.array([0.0, 1.0]))
+    teacher = (cotraining.Logistic(np.zeros(2), np.ones(2), np.array([0.5, 2.0, -1.0])), identity)
+    sure = cotraining.chance(teacher[0].logit(other))
+    given = (sure >= cotraining.SURE) | (sure <= 1 - cotraining.SURE)
+    labelled, y = x[:200] + first, (sure[:200] >= 0.5).astype(float)
+    learner = cotraining.Refit(labelled, y, cotraining.fit(labelled, y))
+    for passes in range(cotraining.PASSES):
+        learner.update(cotraining.sums_over([x, other], [teacher, teacher], [learner.trial, None])[0])
+        if learner.done:
+            break
+    rows, marks = np.concatenate((labelled, x[given])), np.concatenate((y, (sure[given] >= 0.5)))
+
+    def loss(model):
+        p = cotraining.chance(model.logit(rows))
+        return cotraining.RIDGE * (model.weights[1:] ** 2).sum() / 2 - np.log(np.where(marks > 0, p, 1 - p)).sum()
+
+    assert learner.done and passes < cotraining.PASSES - 1 and 100 < given.sum() < 4_000
+    assert loss(learner.model) <= 1.001 * loss(cotraining.fit(rows, marks))
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 3000)
