@@ -6,47 +6,89 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import best_fit, cotraining, language_bitmask, lsh_forest, mixing
-from corpusloom.llm.common import staged, table
+from corpusloom.llm.common import part_count, staged, table
 
 LEAST_COVERAGE = 0.2  # share of a text's n-grams its language must know
+ROWS_EACH = 1 << 14  # rows of texts that a task reads where texts are dealt
+READ = ("doc_id", "text", "lang", "source", "n_chars")  # the columns that stages look at
 
 ORACLE_SQL = None  # trained models, hashes and packing: SQL cannot express them
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with every column that no stage reads under a name that no stage uses."""
+    return docs.toDF(*[c if c in READ else f"__own{i}" for i, c in enumerate(docs.columns)])
+
+
+def restored(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with their names, of rows of ``apart(docs)``."""
+    return kept.select(*apart(docs).columns).toDF(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
-    return cotraining.classify(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    """Documents that the co-trained classifier rejects go.
+
+    A null or empty text is judged by its metadata and an empty text's features; a null source,
+    language or length is a value of its own.  Rows are judged one by one: repeated and tied rows
+    alike.  Columns that the stage does not read are kept as they are, whatever their names.
+    Without labels of both kinds, and on an empty table, nothing is rejected.
+    """
+    found = cotraining.classify(apart(docs), table(spark, sf_dir, "labels"))
+    return restored(found.where("keep"), docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language that was learned, go."""
-    filters = language_bitmask.train(language_bitmask.training_rows(docs))
-    found = language_bitmask.identify(docs, filters)
+    """Documents without a letter, or in no language that was learned, go.
+
+    So do null and empty texts.  Rows with a null language teach nothing and are judged like all
+    others; repeated rows alike; ties between languages fall to the first name, which keeps the
+    row either way.  Other columns are kept as they are.  An empty table stays empty.
+    """
+    rows = apart(docs)
+    filters = language_bitmask.train(language_bitmask.training_rows(rows))
+    found = language_bitmask.identify(rows, filters)
     kept = (F.col("lang_pred") != language_bitmask.UNKNOWN) & (F.col("coverage") >= LEAST_COVERAGE)
-    return found.where(kept).select(*docs.columns)
+    return restored(found.where(kept), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word Jaccard similarity of 0.8 or more, that with the smallest
-    id stays; of repeated rows one.  Documents without words are linked to nothing and stay, as do
-    rows without an id in classes where no row has one."""
-    classes = lsh_forest.near_duplicates(docs)
-    first = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    kept = classes.where(first).select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "__id", "text_hash": "__h"})
-    kept = staged(kept, "kept")
-    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(kept["__id"]) & hashed["__text_hash"].eqNullSafe(kept["__h"])
-    rows = hashed.join(kept, same, "left_semi")
-    return rows.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+    """Of documents linked by five-word Jaccard similarity of 0.8 or more, directly or over others,
+    one stays: that with the smallest id (null ids last), then the smallest hash of the text.
+
+    Of rows that repeat both one stays, whatever their other columns hold; those are kept as they
+    are.  Documents without words (null, empty, blank) are linked to nothing: of each id and text
+    one stays.  An empty table stays empty.
+    """
+    rows = apart(docs)
+    classes = staged(lsh_forest.near_duplicates(rows).select("doc_id", "text_hash", "class_no"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    kept = classes.where("class_no is not null").groupBy("class_no").agg(first).select("first.doc_id", "first.text_hash")
+    kept = kept.unionByName(classes.where("class_no is null").select("doc_id", "text_hash").distinct())
+    kept = kept.select(F.xxhash64("doc_id", "text_hash").alias("__key"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"))
+    parts = part_count(spark, classes.count(), ROWS_EACH)
+    hashed = rows.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
+    hashed = hashed.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), "__text_hash")).repartition(parts, "__key")
+    same = hashed["doc_id"].cast("long").eqNullSafe(kept["__id"]) & hashed["__text_hash"].eqNullSafe(kept["__h"])
+    found = hashed.join(kept, (hashed["__key"] == kept["__key"]) & same, "left_semi")
+    return restored(found.dropDuplicates(["__key", "doc_id", "__text_hash"]), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their targets: a document stands as often as it was drawn."""
-    return mixing.emitted(mixing.mix(docs)).select(*docs.columns)
+    """Sources are mixed to their targets: a document stands as often as it was drawn, up to twice.
+
+    A null or empty text has size 0 and is drawn like any other of its source; a null source is a
+    source of its own; repeated rows are drawn each; rows of equal size stand by id, then text.
+    Other columns are kept as they are.  An empty table stays empty.
+    """
+    return restored(mixing.emitted(mixing.mix(apart(docs))), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
+    """Pieces of at most 2048 tokens and their places in sequences.
+
+    A null or empty text is one piece holding the end id; a null id stays null; repeated rows are
+    packed each.  Returns the pieces' columns only.  An empty table has no pieces.
+    """
     return best_fit.pack(best_fit.token_pieces(docs))
 
 

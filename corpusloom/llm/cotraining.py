@@ -69,6 +69,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     numbers[:, :7] /= n_bytes[:, None]
     numbers[:, 7] = np.log1p(sums[:, 7])
     numbers[:, 8:12] /= n_words[:, None]
+    numbers[:, 11] = np.log1p(numbers[:, 11])
     numbers[:, 12] = np.sqrt(numbers[:, 8])
     numbers[:, 13] = sums[:, 10] / n_words**0.8
     scaled = [np.sqrt(c / np.maximum(c.sum(axis=1, keepdims=True), 1)) for c in (counts, pairs)]

@@ -129,11 +129,12 @@ def near_duplicates(
     trees: int = TREES,
     target_recall: float = TARGET_RECALL,
 ) -> DataFrame:
-    """One row per document: ``doc_id, text_hash, class_id, copy_id, n_links``.
+    """One row per document: ``doc_id, text_hash, class_id, copy_id, n_links, class_no``.
 
     ``n_links`` counts the other documents whose set of word n-grams has a Jaccard similarity of
     at least ``threshold``; ``class_id`` is the smallest id reached over such links, ``copy_id``
-    the smallest among documents with the same set.  Documents with equal sets are one class of
+    the smallest among documents with the same set; ``class_no`` numbers the classes in this run
+    (null for texts without words).  Documents with equal sets are one class of
     copies from the start, so copies are never paired; links between classes carry weights.
 
     A text of fewer words is one n-gram; a null, empty or blank text has none, is linked to
@@ -276,7 +277,7 @@ def near_duplicates(
     named = staged(named.withColumn("root", F.coalesce("root", "node")), "named")
     labels = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     named = named.join(labels, "root").select(
-        "digest", "class_id", "copy_id", (F.coalesce("n_links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links")
+        "digest", "root", "class_id", "copy_id", (F.coalesce("n_links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links")
     )
     alone = F.col("digest").isNull()
     out = described.select("doc_id", "text_hash", "digest").join(named, "digest", "left")
@@ -286,4 +287,5 @@ def near_duplicates(
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.col("root").alias("class_no"),
     )

@@ -65,14 +65,14 @@ def mix(
     """
     spark, extra = docs.sparkSession, ["size", "source_size", "target", "copies", "taken"]
     held = docs.drop(*[c for c in extra if c not in (id_col, text_col, source_col)])
-    rows = held.withColumns(
-        {
-            "no_source": F.col(source_col).isNull(),
-            "name": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-            "size": word_count(F.col(text_col).cast("string")),
-        }
-    )
     group = ["no_source", "name"]
+    rows = held.select(  # the documents' own columns travel as one, so no name of theirs can clash
+        F.col(source_col).isNull().alias("no_source"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"),
+        word_count(F.col(text_col).cast("string")).alias("size"),
+        F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")).alias("tie"),
+        F.struct("*").alias("own"),
+    )
     sizes = rows.groupBy(*group).agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, most)
     unit = 1 << UNIT
@@ -80,12 +80,13 @@ def mix(
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("no_source").cast("string"), F.lit(":"), F.col("name")))
     offset = F.conv(F.substring(draw, 1, UNIT // 4), 16, 10).cast("long")
     targets = targets.withColumns({"rate": F.coalesce(rate, F.lit(0)), "start": offset}).drop("weight")
-    order = [F.col("no_source"), F.col("name"), F.col("size").desc(), F.col(id_col), F.xxhash64(text_col)]
+    order = [F.col("no_source"), F.col("name"), F.col("size").desc(), F.col("tie")]
     placed = numbered(rows, order, group, "place", part_count(spark, rows.count(), ROWS_EACH))
     steps = lambda n: F.shiftright(n * F.col("rate") + F.col("start"), UNIT)
     copies = steps(F.col("place")) - steps(F.col("place") - 1)
     mixed = placed.join(targets, group).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return mixed.select(*held.columns, *extra)
+    own = [F.col("own").getField(c).alias(c) for c in held.columns]
+    return mixed.select(*own, *extra)
 
 
 def emitted(mixed: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ FROM placed
 
 @registered
 def op4_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "class_no")
 
 
 @registered

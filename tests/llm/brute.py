@@ -22,27 +22,37 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def near_duplicates(rows: list[tuple]) -> Counter:
-    """(doc_id, class_id, n_links) of rows (doc_id, text)."""
-    sets, parent, links = [shingles(t) for _, t in rows], list(range(len(rows))), [0] * len(rows)
+def linked(texts: list[str | None]) -> tuple[list[int], list[int]]:
+    """Class number and number of links of every text."""
+    sets, parent, links = [shingles(t) for t in texts], list(range(len(texts))), [0] * len(texts)
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i in range(len(rows)):
+    for i in range(len(texts)):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if both and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
                 links[i] += 1
                 links[j] += 1
                 parent[root(i)] = root(j)
+    return [root(i) for i in range(len(texts))], links
+
+
+def classes(texts: list[str | None]) -> list[int]:
+    return linked(texts)[0]
+
+
+def near_duplicates(rows: list[tuple]) -> Counter:
+    """(doc_id, class_id, n_links) of rows (doc_id, text)."""
+    roots, links = linked([t for _, t in rows])
     ids = defaultdict(list)
-    for i, (doc_id, _) in enumerate(rows):
-        ids[root(i)].append(doc_id)
+    for root, (doc_id, _) in zip(roots, rows):
+        ids[root].append(doc_id)
     least = {k: min((x for x in v if x is not None), default=None) for k, v in ids.items()}
-    return Counter((d, least[root(i)], links[i]) for i, (d, _) in enumerate(rows))
+    return Counter((d, least[root], n) for root, n, (d, _) in zip(roots, links, rows))
 
 
 def base_scores(rows: list[tuple]) -> Counter:
