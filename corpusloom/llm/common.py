@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
+import threading
 import time
 import types
 import uuid
@@ -19,6 +21,7 @@ from corpusloom.session import checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: what the operators call a word
 SLICE_BYTES = 1 << 20  # bytes of text that one vectorised step looks at
+IDLE_SECONDS = 4.0  # after which a worker gives up what no task has asked for
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -226,10 +229,28 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def worker_state(name: str, make):
-    """What ``make`` returns, made once in this Python worker and kept for its later tasks."""
+    """What ``make`` returns, made once in this Python worker and kept for its later tasks.
+
+    Dropped once no task has asked for it for ``IDLE_SECONDS``: workers outlive their stage, and
+    what they hold would count against the memory of the stages that follow.
+    """
     state = sys.modules.setdefault("corpusloom_worker_state", types.ModuleType("corpusloom_worker_state"))
     if not hasattr(state, name):
         setattr(state, name, make())
+    if (old := getattr(state, f"timer of {name}", None)) is not None:
+        old.cancel()
+
+    def drop() -> None:
+        state.__dict__.pop(name, None)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
+    timer = threading.Timer(IDLE_SECONDS, drop)
+    timer.daemon = True
+    timer.start()
+    setattr(state, f"timer of {name}", timer)
     return getattr(state, name)
 
 

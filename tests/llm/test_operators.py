@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import sys
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -99,6 +100,14 @@ def test_word_hashes_follow_words_across_blocks(rows, monkeypatch):
     assert (small == whole).all() and (at == at_small).all()
 
 
+def test_worker_state_is_shared_and_given_up(monkeypatch):
+    monkeypatch.setattr(common, "IDLE_SECONDS", 0.2)
+    first = common.worker_state("thing", lambda: [1])
+    assert common.worker_state("thing", lambda: [2]) is first
+    time.sleep(0.6)
+    assert common.worker_state("thing", lambda: [3]) == [3]
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "two"])
 def test_components(spark, shape):
     pairs = {"path": [(i, i + 1) for i in range(20)], "star": [(9, i) for i in range(20)], "two": [(1, 5), (7, 5), (3, 4), (4, 4)]}[shape]
