@@ -21,6 +21,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def checkpoint_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize once, reliably: lost executors do not repeat the work behind it."""
     checkpoint_dir(df.sparkSession)
@@ -30,7 +38,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
     """Like ``cut_lineage``, as a Parquet table, and where it is: for ``delete_path``."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = checkpoint_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import SourceRoot
 from corpusloom.functions.glob import path_filter
+from corpusloom.sources import walk
 
 INVALID_UTF8 = "not valid UTF-8"
 HIDDEN = "hidden file, not read by Spark"
@@ -24,11 +25,11 @@ def root_prefix(path: str) -> str:
     return path if last in ("", ".", "..") else last
 
 
-def _root_path(spark: SparkSession, root: str) -> str:
-    """Absolute path of a root on its file system, without scheme and host."""
+def _qualified(spark: SparkSession, root: str) -> tuple[str, str]:
+    """URI of a root, and its path on its file system without scheme and host."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.makeQualified(path).toUri().getPath().rstrip("/")
+    path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+    return path.toString().rstrip("/"), path.toUri().getPath().rstrip("/")
 
 
 def _literal(path: str) -> str:
@@ -65,31 +66,54 @@ def _hidden(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
 
 
 def scan_root(spark: SparkSession, root: SourceRoot) -> DataFrame:
-    """``file_path, content`` of every file below one root that passes its globs.
+    """``file_path, content, reason`` of every file below one root that passes its globs.
 
-    Hidden directories are read as roots of their own; the content of a hidden file is null, as
-    Spark opens none, so it is among the skipped ones.
+    All names are read, also those that begin with a dot or an underscore; links are not followed
+    (but for the root itself).  A directory that cannot be listed and a file that cannot be opened
+    have a reason and no content, and the run goes on.  Globs are tested on the stored names, so
+    an excluded file is never opened.  A root that does not exist is such a directory.
+
+    File systems that only Spark can open are read by its own reader, see ``_read_by_spark``.
+    """
+    uri, _ = _qualified(spark, root.path)
+    wanted = path_filter(F.col("rel"), root.include, root.exclude)
+    if not walk.reachable(uri):
+        return _read_by_spark(spark, root)
+    names = walk.listing(spark, uri)
+    rel = F.when(F.col("rel") == "", F.lit(root_prefix(root.path))).otherwise(F.concat(F.lit(root_prefix(root.path) + "/"), F.col("rel")))
+    found = walk.contents(names.where((F.col("kind") == walk.FILE) & wanted), uri)
+    problems = names.where(F.col("kind") == walk.PROBLEM).select("rel", F.lit(None).cast("binary").alias("content"), "reason")
+    return found.unionByName(problems).select(rel.alias("file_path"), "content", "reason")
+
+
+def _read_by_spark(spark: SparkSession, root: SourceRoot) -> DataFrame:
+    """``scan_root`` by Spark's own listing, which opens no hidden file, follows links, and ends the
+    run at what it cannot open.
+
+    Hidden directories are read as roots of their own; the content of a hidden file is null, and
+    its reason says so.
     """
-    root_path = _root_path(spark, root.path)
+    _, root_path = _qualified(spark, root.path)
     directories, hidden = _hidden(spark, root.path)
     prefix = F.lit(root_prefix(root.path) + "/")
 
-    def chosen(files: DataFrame, rel: Column) -> DataFrame:
+    def chosen(files: DataFrame, rel: Column, reason: Column) -> DataFrame:
         wanted = path_filter(rel, root.include, root.exclude)
-        return files.where(wanted).select(F.concat(prefix, rel).alias("file_path"), "content")
+        return files.where(wanted).select(F.concat(prefix, rel).alias("file_path"), "content", reason.alias("reason"))
 
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    found = chosen(reader.load([_literal(p) for p in (root.path, *directories)]), _relative(root_path))
+    files = reader.load([_literal(p) for p in (root.path, *directories)])
+    found = chosen(files, _relative(root_path), F.lit(None).cast("string"))
     if not hidden:
         return found
     unread = [(p[len(root_path) + 1 :], None) for p in hidden]
-    return found.unionByName(chosen(spark.createDataFrame(unread, "rel string, content binary"), F.col("rel")))
+    return found.unionByName(chosen(spark.createDataFrame(unread, "rel string, content binary"), F.col("rel"), F.lit(HIDDEN)))
 
 
 def scan_roots(spark: SparkSession, roots: Sequence[SourceRoot]) -> DataFrame:
     """All roots in turn.  Roots with the same last component share paths."""
     if not roots:
-        return spark.createDataFrame([], "file_path string, content binary")
+        return spark.createDataFrame([], "file_path string, content binary, reason string")
     prefixes = [root_prefix(r.path) for r in roots]
     twice = sorted({p for p in prefixes if prefixes.count(p) > 1})
     if twice:
@@ -108,9 +132,8 @@ def decode(files: DataFrame) -> DataFrame:
 
 def skipped(files: DataFrame) -> DataFrame:
     """``file_path, reason`` of the files that ``decode`` leaves out."""
-    hidden = F.rlike("file_path", F.lit(r"(?s)(?:\A|/)(?:[._][^/]*|[^/]*\._COPYING_)\z"))
-    reason = F.when(F.col("content").isNull() & hidden, HIDDEN).otherwise(INVALID_UTF8)
-    return files.where(~_is_text()).select("file_path", reason.alias("reason"))
+    known = F.col("reason") if "reason" in files.columns else F.lit(None).cast("string")
+    return files.where(~_is_text()).select("file_path", F.coalesce(known, F.lit(INVALID_UTF8)).alias("reason"))
 
 
 def scan_corpus(spark: SparkSession, roots: Sequence[SourceRoot]) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import sys
 
@@ -23,7 +24,7 @@ from corpusloom.operators.embed import (
     token_usage,
 )
 from corpusloom.plans import pipelines
-from corpusloom.sources import corpus, index_table
+from corpusloom.sources import corpus, index_table, walk
 from corpusloom.streaming.incremental import keep_indexed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -69,6 +70,7 @@ def test_scan_reads_decodes_and_reports(spark, roots):
             "alpha/src/with space+plus%.rs",
             "alpha/docs/guide.md",
             "beta/readme.md",
+            "beta/empty.md",
         )
     }
     bad = corpus.skipped(files)
@@ -76,30 +78,96 @@ def test_scan_reads_decodes_and_reports(spark, roots):
     assert [tuple(r) for r in stats.skipped_by_reason(bad).collect()] == [(corpus.INVALID_UTF8, 1)]
 
 
-def test_hidden_directories_are_read_and_hidden_files_reported(spark, tmp_path):
-    names = (".github/ci.md", ".github/_deep/[a]/b.md", "docs/_posts/post.md", "docs/plain.md", "docs/_k=v.md", "docs/_index.md", ".env", ".git/.x.md", ".git/no.txt")
+HIDDEN_NAMES = (".github/ci.md", ".github/_deep/[a]/b.md", "docs/_posts/post.md", "docs/plain.md", "docs/_k=v.md", "docs/_index.md", ".env.md", ".git/.x.md")
+
+
+def tree(top, names):
     for name in names:
-        path = tmp_path / "top[1]" / name
+        path = top / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(name)
-    root = SourceRoot(str(tmp_path / "top[1]"), ("**/*.md",))
-    files = corpus.scan_root(spark, root)
-    assert sorted(r["source"] for r in corpus.decode(files).collect()) == sorted(names[:5])
-    assert sorted(tuple(r) for r in corpus.skipped(files).collect()) == [
-        ("top[1]/.git/.x.md", corpus.HIDDEN),
-        ("top[1]/docs/_index.md", corpus.HIDDEN),
-    ]
 
 
-def test_excluded_files_are_never_opened(spark, roots):
-    df = corpus.scan_root(spark, roots[0])
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "metadata" in plan
-    node = df._jdf.queryExecution().executedPlan()
-    while node.children().size():
-        node = node.children().head()
-    assert node.metrics().apply("numFiles").value() == 4
+def test_all_names_are_read(spark, tmp_path):
+    tree(tmp_path / "top[1]", (*HIDDEN_NAMES, ".env", ".git/no.txt"))
+    files = corpus.scan_root(spark, SourceRoot(str(tmp_path / "top[1]"), ("**/*.md",)))
+    assert {(r["file_path"], r["source"]) for r in corpus.decode(files).collect()} == {(f"top[1]/{n}", n) for n in HIDDEN_NAMES}
+    assert corpus.skipped(files).count() == 0
+
+
+def test_sparks_reader_reports_hidden_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(walk, "reachable", lambda uri: False)
+    tree(tmp_path / "top[1]", (*HIDDEN_NAMES, ".env", ".git/no.txt"))
+    files = corpus.scan_root(spark, SourceRoot(str(tmp_path / "top[1]"), ("**/*.md",)))
+    hidden = {"docs/_index.md", ".env.md", ".git/.x.md"}
+    assert {r["source"] for r in corpus.decode(files).collect()} == set(HIDDEN_NAMES) - hidden
+    assert {tuple(r) for r in corpus.skipped(files).collect()} == {(f"top[1]/{n}", corpus.HIDDEN) for n in hidden}
+    df = corpus.scan_root(spark, SourceRoot(str(tmp_path / "top[1]"), ("docs/plain.md",)))
+    assert "metadata" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("entries", [1 << 14, 3])
+def test_links_are_not_followed(spark, tmp_path, monkeypatch, entries):
+    monkeypatch.setattr(walk, "ENTRIES_EACH", entries)
+    top = tmp_path / "top"
+    names = [f"d{i % 3}/e{i % 5}/f{i}.md" for i in range(30)] + ["empty/x/y.md"]
+    tree(top, names)
+    (top / "d0" / "loop").symlink_to(top)
+    (top / "linked.md").symlink_to(top / names[0])
+    os.mkfifo(top / "pipe.md")
+    (tmp_path / "way").symlink_to(top)
+    for root in (top, tmp_path / "way"):
+        found = corpus.scan_root(spark, SourceRoot(str(root), ("**/*.md",)))
+        assert sorted(r["file_path"] for r in found.collect()) == sorted(f"{root.name}/{n}" for n in names)
+        assert found.where("reason is not null").count() == 0
+
+
+def test_what_cannot_be_read_is_reported(spark, tmp_path, monkeypatch):
+    top = tmp_path / "top"
+    tree(top, ("a/x.md", "b/y.md", "c/z.md", "gone.md"))
+    with open(os.fsencode(str(top)) + b"/bad\xff.md", "wb") as odd:
+        odd.write(b"x")
+    listing, entries = walk.listing, walk._entries
+
+    def closed(files, path):
+        if path.endswith("/b"):
+            raise PermissionError(13, "Permission denied")
+        return entries(files, path)
+
+    def stale(spark, uri):
+        found = listing(spark, uri)
+        os.remove(top / "gone.md")
+        return found
+
+    monkeypatch.setattr(walk, "_entries", closed)
+    monkeypatch.setattr(walk, "listing", stale)
+    files = corpus.scan_root(spark, SourceRoot(str(top)))
+    assert {r["file_path"]: r["source"] for r in corpus.decode(files).collect()} == {"top/a/x.md": "a/x.md", "top/c/z.md": "c/z.md"}
+    assert {tuple(r) for r in corpus.skipped(files).collect()} == {
+        ("top/b", "directory cannot be listed: Permission denied"),
+        ("top/bad?.md", "name is not valid UTF-8"),
+        ("top/gone.md", "file cannot be read: No such file or directory"),
+    }
+    monkeypatch.undo()
+    absent = corpus.scan_root(spark, SourceRoot(str(tmp_path / "absent")))
+    assert [tuple(r) for r in absent.collect()] == [("absent", None, "directory cannot be listed: No such file or directory")]
+
+
+def test_files_are_read_in_lists_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(walk, "LIST_BYTES", 100)
+    monkeypatch.setattr(walk, "BATCH_BYTES", 50)
+    tree(tmp_path / "top", [f"{'n' * (i % 40)}{i}.md" for i in range(60)])
+    (tmp_path / "top" / "large.md").write_text("x" * 1000)
+    found = corpus.scan_root(spark, SourceRoot(str(tmp_path / "top")))
+    sizes = [sum(p) for p in found.select(F.octet_length("content").alias("n"), F.spark_partition_id().alias("p")).groupBy("p").agg(F.collect_list("n")).toPandas().iloc[:, 1]]
+    assert found.count() == 61 and len(sizes) > 10 and sorted(sizes)[-2] <= 100
+
+
+def test_excluded_files_are_never_opened(spark, roots, monkeypatch):
+    asked, contents = [], walk.contents
+    monkeypatch.setattr(walk, "contents", lambda names, uri: asked.extend(r["rel"] for r in names.collect()) or contents(names, uri))
+    assert corpus.scan_root(spark, roots[0]).count() == 4
+    assert sorted(asked) == ["bad.md", "docs/guide.md", "src/lib.rs", "src/with space+plus%.rs"]
 
 
 def test_same_prefix_warns(spark, roots):
