@@ -37,3 +37,4 @@ class Settings:
     embed_batch_size: int = EMBED_BATCH_SIZE
     k: int = TOP_K
     max_chunk_bytes: int | None = MAX_CHUNK_BYTES  # None: no text is cut
+    oversize: str = "truncate"  # or "split": longer chunks come in pieces and nothing is lost

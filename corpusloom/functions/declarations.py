@@ -4,11 +4,13 @@ One regex cuts a text into tokens that end at a statement boundary: a semicolon,
 brace group, or a whole attribute.  Round and square groups are swallowed on the way.  A
 fold over these few tokens joins what belongs together (``const X: T = { .. };``), counts
 lines, and follows the depth where brackets nest too deep for the regex; further regexes
-on the segment heads classify and name them.  All of it stays inside the file's row: no
-token table, no shuffle, and no key to be skewed.
+on the segment heads classify and name them; a second fold over an impl block's header counts
+angle brackets to find its trait and type.  Comments inside comments, which no regex can count,
+are hidden from the first one by a fold over the signs of comments and literals, in files that
+have any.  All of it stays inside the file's row: no token table, no shuffle, and no key to be
+skewed.
 
-Known limits: block comments nested deeper than ``_COMMENT_NESTING`` and unbalanced
-brackets (broken source).
+Known limit: unbalanced brackets (broken source).
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import ITEM_NAME_CHARS, LARGE_IMPL_LINES
 from corpusloom.functions.text import (
     count_newlines,
+    folded,
     gather,
     is_blank,
     let,
@@ -27,35 +30,23 @@ from corpusloom.functions.text import (
     unix_newlines,
 )
 
-_COMMENT_NESTING = 4
-_GENERICS_NESTING = 6
-_BRACKET_NESTING = 16
+_BRACKET_NESTING = 16  # groups that nest deeper are followed by the fold: slower, not different
 
-
-def _block_comment(levels: int) -> str:
-    inner = f"|{_block_comment(levels - 1)}" if levels else ""
-    return rf"/\*(?:[^*/]++|\*(?!/)|/(?!\*){inner})*+\*/"
-
-
-def _generics(levels: int) -> str:
-    inner = f"|{_generics(levels - 1)}" if levels else ""
-    return rf"<(?:[^<>\-=]++|[-=]>?{inner})*+>"
-
-
-_COMMENT = rf"//[^\n]*+|{_block_comment(_COMMENT_NESTING)}"
+_COMMENT = r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"  # those inside others are hidden
 _SHEBANG = r"\A#!(?!\s*\[)[^\n]*+"
 _ATTRIBUTE = r"#\s*+!?\s*+\["
 
 
-def _plain(tag: str) -> str:
-    """One piece of text without brackets or semicolons; ``tag`` keeps group names apart.
+def _plain(tag: str, besides: str = "") -> str:
+    """One piece of text without brackets, semicolons and the signs ``besides``; ``tag`` keeps
+    group names apart.
 
     Possessive throughout: Java recurses on backtracking loops over long inputs.
     """
     raw = r"(?<=(?<!\w)[bc]?r)"
     return "|".join(
         [
-            r"[^{}()\[\];\"'/#]++",
+            rf"[^{{}}()\[\];\"'/#{besides}]++",
             rf'{raw}".*?"',
             r'"[^"\\]*+(?:\\.[^"\\]*+)*+"',
             rf'{raw}(?<{tag}>#++)".*?"\k<{tag}>',
@@ -77,12 +68,13 @@ _INSIDE = _inside(_BRACKET_NESTING)
 
 def _run(tag: str) -> str:
     """Text up to a boundary; a brace group between ``<`` ``,`` ``=`` and ``>`` ``,`` is a
-    generic argument."""
+    generic argument, whatever blanks and comments stand beside it."""
     # The nested patterns carry named groups, so each use renames them.
     inside = [_INSIDE.replace("<n", f"<{tag}{use}n") for use in "abc"]
+    gap = rf"(?:\s|{_COMMENT})*+"
     return (
-        rf"(?:{_SHEBANG}|{_plain(tag)}|#(?!\s*+!?\s*+\[)|\({inside[0]}\)|\[{inside[1]}\]"
-        rf"|(?<=[<,=]\s{{0,40}})\{{{inside[2]}\}}(?=\s*+[>,]))"
+        rf"(?:{_SHEBANG}|[<,=]{gap}\{{{inside[2]}\}}(?={gap}[>,])|[<,=]|{_plain(tag, '<,=')}"
+        rf"|#(?!\s*+!?\s*+\[)|\({inside[0]}\)|\[{inside[1]}\])"
     )
 
 
@@ -108,11 +100,14 @@ _TO_SEMICOLON = (
     rf"{_LEAD}(?:default{_GAP}++)?"
     rf"(?:use|static|type|extern{_GAP}++crate|const(?!{_GAP}++(?:fn|unsafe|async|extern)\b))\b"
 )
-_IMPL_HEAD = (
-    rf"(?s)\A(?:default\s+)?(?:unsafe\s+)?impl\b\s*(?:{_generics(_GENERICS_NESTING)}\s*)?"
-    r"(?:const\s+)?!?(.*?)\s*(?:\bwhere\b.*)?\{\z"
+# Lexemes of an impl header; and of a text, as far as comments and literals go.
+_HEADER = (
+    rf"(?s){_COMMENT}|\s++|[-=]>|::|(?<=(?<!\w)[bc]?r)(#*+)\".*?\"\1|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\""
+    r"|'(?:\\(?:u\{[^}]*+\}|x..|.)|[^'\\\n])'|'\w++|(?:r#)?\w++|."
 )
-_TRAIT_FOR_TYPE = r"(?s)\A(.*?)\s+for\s+(?!<)(.*)\z"
+_SIGNS = r"""(?s)'(?:"|\\"|\\\\)'|\\(?:\\|"#*+)|(?<!\w)[bc]?r#*+"#*+|"#*+|[/*\n]|[^/*\n"\\'bcr]++|."""
+# Characters that stand for the star of a hidden comment sign: the first that the text does not hold.
+_MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 
 _ENDS_BY_BRACE = ["fn", "enum", "trait"]
 _ENDS_BY_SEMICOLON = ["const", "static", "type"]
@@ -121,7 +116,6 @@ _MEMBER_KINDS = ["fn", "const", "type"]
 # Token codes: how a token ends.
 _OTHER, _OPENS, _OPENS_ATTRIBUTE, _STATEMENT, _GROUP, _ATTRIBUTE_GROUP = 0, 1, 2, 3, 4, 5
 _CLOSES, _CLOSES_BRACE, _CLOSES_SQUARE = -1, -2, -3
-_BLOCK = 256
 _SEGMENT = "struct<first:int,last:int,start_line:int,end_line:int>"
 
 
@@ -164,9 +158,7 @@ def _segments(toks: Column, start_line: Column) -> Column:
     """Cut tokens into statements; positions are 0-based, ``first`` and ``last`` inclusive.
 
     Brackets that stand alone as a token opened or closed a group the regex could not
-    take whole; ``depth`` follows those.  A fold copies what it has collected at every
-    step, so tokens are taken in blocks: the state at each block's start comes first, and
-    segments are collected block by block.
+    take whole; ``depth`` follows those.
     """
     start = F.struct(
         F.lit(0).alias("i"),
@@ -210,38 +202,7 @@ def _segments(toks: Column, start_line: Column) -> Column:
         )
         return state, ends, F.struct(first, i, first_line, line).cast(_SEGMENT)
 
-    def collect(acc: Column, tok: Column) -> Column:
-        state, ends, segment = step(acc["state"], tok)
-        found = acc["segments"]
-        return F.struct(
-            state.alias("state"),
-            F.when(ends, F.concat(found, F.array(segment))).otherwise(found).alias("segments"),
-        )
-
-    def of_codes(codes: Column) -> Column:
-        blocks = F.floor((F.size(codes) - 1) / _BLOCK).cast("int")  # number of the last one
-
-        def block(n: Column) -> Column:
-            last = F.least((n + 1) * _BLOCK, F.size(codes)) - 1
-            return gather(codes, n * _BLOCK, last)
-
-        def next_start(states: Column, n: Column) -> Column:
-            reached = F.aggregate(block(n), F.get(states, n), lambda acc, tok: step(acc, tok)[0])
-            return F.concat(states, F.array(reached))
-
-        complete = F.filter(F.sequence(F.lit(0), blocks), lambda n: n < blocks)
-
-        def of_states(states: Column) -> Column:
-            def segments_of(state: Column, n: Column) -> Column:
-                empty = F.array().cast(f"array<{_SEGMENT}>")
-                begin = F.struct(state.alias("state"), empty.alias("segments"))
-                return F.aggregate(block(n), begin, collect, lambda acc: acc["segments"])
-
-            return F.flatten(F.transform(states, segments_of))
-
-        return let(F.aggregate(complete, F.array(start), next_start), of_states)
-
-    return let(_with_codes(toks), of_codes)
+    return let(_with_codes(toks), lambda codes: folded(codes, start, step, _SEGMENT))
 
 
 def _classified(toks: Column, segments: Column) -> Column:
@@ -318,19 +279,76 @@ def item_name(item: Column) -> Column:
     )
 
 
+def _header_parts(header: Column) -> Column:
+    """Where, in an impl header that ends in its brace, the trait and the type begin and end.
+
+    Follows angle brackets and, apart from them, all others.  A list right behind ``impl`` holds
+    the generics, unless ``::`` follows: then it begins a path.  The first ``for`` behind a
+    finished path separates trait and type (others bind lifetimes); ``where`` ends the type.
+    Positions count characters from 0; -1: not met.
+    """
+    counts = dict.fromkeys(("at", "angle", "other", "done"), 0)
+    places = dict.fromkeys(("list_from", "from", "to", "for_at", "type_from", "end"), -1)
+    start = F.struct(*[F.lit(v).alias(n) for n, v in {**counts, **places, "before": ""}.items()])
+
+    def step(acc: Column, lex: Column) -> Column:
+        trivia = F.rlike(lex, F.lit(r"\A(?:\s|//|/\*)"))
+        flat = (acc["angle"] == 0) & (acc["other"] == 0)
+        begins, last = acc["from"] < 0, acc["before"]
+        end = acc["at"] + F.length(lex)
+        angle = F.when(acc["other"] > 0, acc["angle"]).when(lex == "<", acc["angle"] + 1)
+        angle = angle.when(lex == ">", F.greatest(acc["angle"] - 1, F.lit(0))).otherwise(acc["angle"])
+        other = F.when(lex.isin("(", "[", "{"), acc["other"] + 1).when(lex.isin(")", "]", "}"), acc["other"] - 1).otherwise(acc["other"])
+        # generics: from the list's bracket to what follows it
+        opens_list = begins & (last == "impl") & (lex == "<")
+        in_list = begins & (acc["list_from"] >= 0) & ((acc["angle"] > 0) | (acc["other"] > 0))
+        behind_list = begins & (acc["list_from"] >= 0) & flat
+        lead = (
+            (lex.isin("default", "unsafe", "impl") & last.isin("", "default", "unsafe"))
+            | ((lex == "const") & last.isin("impl", ">"))
+            | (lex == "!")
+        )
+        starts = begins & flat & ~opens_list & ~lead
+        subject = F.when(~starts, acc["from"]).when(behind_list & (lex == "::"), acc["list_from"]).otherwise(acc["at"])
+        path_ended = F.rlike(last, F.lit(r"[\w>)\]}]\z")) & ~last.isin("dyn", "impl", "mut", "const", "for")
+        parts = flat & ~begins & (lex == "for") & (acc["for_at"] < 0) & path_ended
+        stops = flat & ~begins & (lex == "where")
+        told = ~trivia & (acc["done"] == 0)
+        values = {
+            "at": end,
+            "angle": F.when(trivia, acc["angle"]).otherwise(angle),
+            "other": F.when(trivia, acc["other"]).otherwise(other),
+            "before": F.when(trivia, last).otherwise(lex),
+            "list_from": F.when(told & opens_list, acc["at"]).otherwise(acc["list_from"]),
+            "from": F.when(told & ~in_list, subject).otherwise(acc["from"]),
+            "to": F.when(told & parts, acc["end"]).otherwise(acc["to"]),
+            "for_at": F.when(told & parts, acc["at"]).otherwise(acc["for_at"]),
+            "type_from": F.when(told & (acc["for_at"] >= 0) & (acc["type_from"] < 0), acc["at"]).otherwise(acc["type_from"]),
+            "done": F.when(told & stops, 1).otherwise(acc["done"]),
+            "end": F.when(told & ~stops, end).otherwise(acc["end"]),
+        }
+        return F.struct(*[values[n].cast("string" if n == "before" else "int").alias(n) for n in (*counts, *places, "before")])
+
+    return F.aggregate(F.regexp_extract_all(header, F.lit(_HEADER), 0), start, step)
+
+
 def impl_name(header: Column) -> Column:
     """``Type`` or ``Type<Trait>`` from an impl header that ends in its brace."""
 
-    def of_subject(subject: Column) -> Column:
-        trait = F.regexp_extract(subject, _TRAIT_FOR_TYPE, 1)
-        target = F.regexp_extract(subject, _TRAIT_FOR_TYPE, 2)
+    def between(a: Column, b: Column) -> Column:
+        return F.substr(open_, a + 1, F.greatest(b - a, F.lit(0)))
+
+    open_ = F.substr(header, F.lit(1), F.greatest(F.length(header) - 1, F.lit(0)))
+
+    def of_parts(p: Column) -> Column:
+        separate = (p["for_at"] >= 0) & (p["type_from"] >= 0)
         return (
-            F.when(subject == "", "impl")
-            .when(target == "", subject)
-            .otherwise(F.concat(trim_all(target), F.lit("<"), trim_all(trait), F.lit(">")))
+            F.when(p["from"] < 0, "impl")
+            .when(separate, F.concat(between(p["type_from"], p["end"]), F.lit("<"), between(p["from"], p["to"]), F.lit(">")))
+            .otherwise(between(p["from"], p["end"]))
         )
 
-    return let(F.regexp_extract(header, _IMPL_HEAD, 1), of_subject)
+    return let(_header_parts(open_), of_parts)
 
 
 def _impl_pieces(item: Column) -> Column:
@@ -401,12 +419,87 @@ def _preamble(lines: Column, pieces: Column) -> Column:
     return let(left, of_left)
 
 
-def declaration_chunks(source: Column) -> Column:
-    """``array<struct<start_line, end_line, item_name, text>>``, preamble first."""
+def _has_nested_comments(source: Column) -> Column:
+    """Whether a comment may hold another: never missed, at times seen where there is none."""
+    signs = F.regexp_extract_all(source, F.lit(r"/\*|\*/(?!\*)"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("nested"))
+
+    def step(acc: Column, sign: Column) -> Column:
+        depth = F.when(sign == "/*", acc["depth"] + 1).otherwise(F.greatest(acc["depth"] - 1, F.lit(0)))
+        return F.struct(depth.alias("depth"), (acc["nested"] | (depth > 1)).alias("nested"))
+
+    return F.aggregate(signs, start, step, lambda acc: acc["nested"])
+
+
+def _hide_nested(source: Column, mark: Column) -> Column:
+    """``source`` with the stars of the signs of comments inside comments replaced by ``mark``.
+
+    Modes: 0 code, n > 0 inside n comments, -1 a line comment, -2 a string, -10 - n a raw string
+    of n hashes.  A sign of a comment is two neighbouring lexemes, so ``/*/`` opens one.
+    """
+    start = F.struct(F.lit(0).alias("mode"), F.lit("").alias("before"))
+
+    def step(acc: Column, item: Column) -> tuple[Column, Column, Column]:
+        mode, before, lex = acc["mode"], acc["before"], item["lex"]
+        quote = F.contains(lex, F.lit('"'))
+        slash = F.contains(lex, F.lit("\\"))
+        raw = F.rlike(lex, F.lit('\\A[bc]?r#*"'))
+        ahead = F.length(F.regexp_extract(lex, '\\A[bc]?r(#*)"', 1))
+        behind = F.length(F.regexp_extract(lex, "\"(#*)'?\\z", 1))
+        opens = (before == "/") & (lex == "*") & (mode >= 0)
+        closes = (before == "*") & (lex == "/") & (mode > 0)
+        after = (
+            F.when(opens, mode + 1)
+            .when(closes, mode - 1)
+            .when(mode > 0, mode)
+            .when(mode == -1, F.when(lex == "\n", 0).otherwise(-1))
+            .when(mode == -2, F.when(quote & ~slash, 0).otherwise(-2))
+            .when(mode < -2, F.when(quote & (behind >= -10 - mode), 0).otherwise(mode))
+            .when((before == "/") & (lex == "/"), -1)
+            .when(raw, -10 - ahead)
+            .when(quote & ~slash & ~F.startswith(lex, F.lit("'")), -2)
+            .otherwise(0)
+        )
+        sign = lex.isin("/", "*") & ~opens & ~closes
+        hidden = (lex == "*") & F.when(opens, mode >= 1).otherwise((mode >= 2) & (item["next"] == "/"))
+        state = F.struct(after.cast("int").alias("mode"), F.when(sign, lex).otherwise("").alias("before"))
+        return state, F.lit(True), F.when(hidden, mark).otherwise(lex)
+
+    def of_lexemes(lexemes: Column) -> Column:
+        place = lambda lex, i: F.struct(lex.alias("lex"), F.coalesce(F.get(lexemes, i + 1), F.lit("")).alias("next"))
+        return let(F.transform(lexemes, place), lambda items: F.array_join(folded(items, start, step, "string"), ""))
+
+    return let(F.regexp_extract_all(source, F.lit(_SIGNS), F.lit(0)), of_lexemes)
+
+
+def cuttable(source: Column) -> Column:
+    """``text`` and ``mark``: the text with the signs of comments inside comments hidden behind a
+    character, and that character; the text as it is and null where there are none."""
+    free = F.filter(F.array(*map(F.lit, _MARKS)), lambda c: ~F.contains(source, c))
+    mark = F.when(_has_nested_comments(source), F.get(free, F.lit(0)))
+
+    def of_mark(mark: Column) -> Column:
+        text = F.when(mark.isNull(), source).otherwise(_hide_nested(source, mark))
+        return F.struct(text.alias("text"), mark.alias("mark"))
+
+    return F.when(F.contains(source, F.lit("/*")), let(mark, of_mark)).otherwise(
+        F.struct(source.alias("text"), F.lit(None).cast("string").alias("mark"))
+    )
+
+
+def declaration_chunks(source: Column, plain: Column) -> Column:
+    """``array<struct<start_line, end_line, item_name, text>>``, preamble first; ``plain`` is
+    ``cuttable(source)``, a column of its own since Spark resolves nested lambdas level by level."""
+
+    def shown(piece: Column) -> Column:
+        chunk, mark = piece["chunk"], plain["mark"]
+        own = [F.when(mark.isNull(), chunk[n]).otherwise(F.replace(chunk[n], mark, F.lit("*"))).alias(n) for n in ("item_name", "text")]
+        return F.struct(chunk["start_line"], chunk["end_line"], *own)
+
     return let(
-        let(tokens(source), _pieces),
+        let(tokens(plain["text"]), _pieces),
         lambda pieces: F.concat(
             let(split_lines(source), lambda lines: _preamble(lines, pieces)),
-            F.transform(pieces, lambda p: p["chunk"]),
+            F.transform(pieces, shown),
         ),
     )

@@ -12,6 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+FOLD_BLOCK = 256  # items whose results a fold collects at a time
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 
@@ -26,6 +29,46 @@ def gather(items: Column, first: Column, last: Column) -> Column:
     return F.transform(F.sequence(first, last), lambda i: F.get(items, i))
 
 
+def folded(
+    items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]], kind: str
+) -> Column:
+    """What ``step`` emits along ``items``: it returns the next state, whether it emits, and what.
+
+    A fold copies what it has collected at every step, so items are taken in blocks: the state at
+    each block's start comes first, and what is emitted is collected block by block.
+    """
+
+    def collect(acc: Column, item: Column) -> Column:
+        state, emits, value = step(acc["state"], item)
+        found = acc["found"]
+        return F.struct(
+            state.alias("state"),
+            F.when(emits, F.concat(found, F.array(value))).otherwise(found).alias("found"),
+        )
+
+    blocks = F.floor((F.size(items) - 1) / FOLD_BLOCK).cast("int")  # number of the last one
+
+    def block(n: Column) -> Column:
+        last = F.least((n + 1) * FOLD_BLOCK, F.size(items)) - 1
+        return gather(items, n * FOLD_BLOCK, last)
+
+    def next_start(states: Column, n: Column) -> Column:
+        reached = F.aggregate(block(n), F.get(states, n), lambda acc, item: step(acc, item)[0])
+        return F.concat(states, F.array(reached))
+
+    complete = F.filter(F.sequence(F.lit(0), blocks), lambda n: n < blocks)
+
+    def of_states(states: Column) -> Column:
+        def found_in(state: Column, n: Column) -> Column:
+            empty = F.array().cast(f"array<{kind}>")
+            begin = F.struct(state.alias("state"), empty.alias("found"))
+            return F.aggregate(block(n), begin, collect, lambda acc: acc["found"])
+
+        return F.flatten(F.transform(states, found_in))
+
+    return let(F.aggregate(complete, F.array(start), next_start), of_states)
+
+
 def unix_newlines(s: Column) -> Column:
     return F.replace(s, F.lit("\r\n"), F.lit("\n"))
 
@@ -67,8 +110,49 @@ def truncate_bytes(s: Column, cap: int) -> Column:
     return F.when(F.octet_length(s) > cap, cut).otherwise(s)
 
 
-def external_id(path: Column, start: Column, end: Column) -> Column:
-    return F.concat(path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+def split_bytes(s: Column, cap: int) -> Column:
+    """``array<struct<first, last, text>>``: pieces of at most ``cap`` UTF-8 bytes, of whole lines as
+    long as these fit, with the numbers, from 0, of their first and last line.
+
+    Joined they are the text: a line keeps its terminator.  A longer line is cut between
+    characters, into pieces of its own.  ``cap`` is at least 4, the longest character.
+    """
+    letters = max(1, cap // 4)
+    ends = F.regexp_extract_all(s, F.lit(r"[^\n]*+(?:\n|\z)"), F.lit(0))
+    lines = F.filter(ends, lambda line: line != "")
+
+    def of_line(line: Column, n: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.floor((F.length(line) - 1) / letters).cast("int"))
+        cut = F.transform(parts, lambda i: F.substr(line, i * letters + 1, F.lit(letters)))
+        texts = F.when(F.octet_length(line) <= cap, F.array(line)).otherwise(cut)
+        return F.transform(texts, lambda t: F.struct(n.cast("int").alias("line"), t.alias("text"), (F.octet_length(line) > cap).alias("own")))
+
+    def of_segments(segments: Column) -> Column:
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("held"), F.lit(True).alias("own"))
+
+        def step(acc: Column, segment: Column) -> tuple[Column, Column, Column]:
+            size = F.octet_length(segment["text"])
+            begins = acc["own"] | segment["own"] | (acc["held"] + size > cap)
+            held = F.when(begins, size).otherwise(acc["held"] + size)
+            return F.struct((acc["i"] + 1).alias("i"), held.alias("held"), segment["own"].alias("own")), begins, acc["i"]
+
+        def piece(starts: Column, k: Column) -> Column:
+            first = F.get(starts, k)
+            last = F.coalesce(F.get(starts, k + 1), F.size(segments)) - 1
+            text = F.array_join(F.transform(gather(segments, first, last), lambda x: x["text"]), "")
+            return F.struct(F.get(segments, first)["line"].alias("first"), F.get(segments, last)["line"].alias("last"), text.alias("text"))
+
+        return let(folded(segments, start, step, "int"), lambda starts: F.transform(starts, lambda _, k: piece(starts, k)))
+
+    return let(F.flatten(F.transform(lines, of_line)), of_segments)
+
+
+def external_id(path: Column, start: Column, end: Column, piece: Column | None = None) -> Column:
+    """``path:start-end``; a further piece of a chunk that was split has its number behind."""
+    made = F.concat(path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+    if piece is None:
+        return made
+    return F.when(piece > 0, F.concat(made, F.lit("#"), piece.cast("string"))).otherwise(made)
 
 
 def root_component(path: Column) -> Column:

@@ -246,6 +246,66 @@ WITH {_SUPPLIER_FILES}
 SELECT file_path, {_POSITION}, text FROM chunks WHERE item_name = 'preamble'
 """
 
+# Order, first and last line, name and text of the items in the file of every part; n lines in the body.
+_KINDS = [
+    ("1", "1", "22", "'preamble'", """'#![allow(dead_code)]
+/* outer /* inner } */ { */
+#[derive(Debug)]
+/// says
+#[inline]'"""),
+    ("2", "4", "6", "'S' || k", """'pub struct S' || k || ' {
+    pub a: u8,
+}'"""),
+    ("3", "7", "7", "'E' || k", "'pub(crate) enum E' || k || ' { A, B(u8) }'"),
+    ("4", "8", "10", "'T' || k", """'pub unsafe trait T' || k || ': Send {
+    fn go(&self);
+}'"""),
+    ("5", "11", "13", "'m' || k", """'mod m' || k || ' {
+    pub fn inner() {}
+}'"""),
+    ("6", "14", "14", "'C' || k", """'pub const C' || k || ': &str = "}";'"""),
+    ("7", "15", "15", "'V' || k", "'static mut V' || k || ': u8 = 1;'"),
+    ("8", "16", "16", "'A' || k", "'type A' || k || '<T> = Vec<T>;'"),
+    ("9", "17", "19", "'w' || k", """'macro_rules! w' || k || ' {
+    () => {};
+}'"""),
+    ("10", "20", "20", "'impl T' || k || ' for S' || k || ' { fn go(&self) {} }'", "'impl T' || k || ' for S' || k || ' { fn go(&self) {} }'"),
+    ("11", "23", "24 + n", "'f' || k", """'pub async unsafe fn f' || k || '<const N: usize>() where [u8; N]: Sized {
+' || repeat('    a();
+', n) || '}'"""),
+]
+ORACLES["decl_kinds"] = "WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS k, CAST(1 + p_partkey % 4 AS INTEGER) AS n FROM part) " + " UNION ALL ".join(
+    f"""SELECT 'parts/' || k || '.rs' AS file_path, CAST({i} - 1 AS INTEGER) AS chunk_ord, CAST({a} AS BIGINT) AS start_line,
+    CAST({b} AS BIGINT) AS end_line, {name} AS item_name, {text} AS text FROM s"""
+    for i, a, b, name, text in _KINDS
+)
+
+ORACLES["impl_trait_split"] = """
+WITH s AS (
+    SELECT CAST(s_suppkey AS VARCHAR) AS k, CAST(34 + s_suppkey % 3 AS INTEGER) AS n,
+           '<Own' || k || ' as Owner>::Kind<T><Make' || k || '<T>>::' AS own
+    FROM supplier
+), m AS (SELECT *, unnest(generate_series(1, n)) AS j FROM s)
+SELECT 'makers/' || k || '.rs' AS file_path, CAST(ord AS INTEGER) AS chunk_ord, CAST(a AS BIGINT) AS start_line,
+       CAST(b AS BIGINT) AS end_line, item_name, text
+FROM (
+    SELECT k, 0 AS ord, 1 AS a, 5 + 3 * n AS b, 'preamble' AS item_name,
+           'impl<T: Into<Vec<u8>>> Make' || k || '<T> /* x for y */ for <Own' || k || ' as Owner>::Kind<T>
+where T: Clone {
+}' AS text FROM s
+    UNION ALL SELECT k, 1, 3, 3, own || 'K', 'const K: usize = ' || k || ';' FROM s
+    UNION ALL SELECT k, 2, 4, 4, own || 'Out', 'type Out = Vec<T>;' FROM s
+    UNION ALL SELECT k, 2 + j, 2 + 3 * j, 4 + 3 * j, own || 'm_' || j, 'fn m_' || j || '(&self) -> u8 {
+        1
+    }' FROM m
+)
+"""
+
+ORACLES["split_chunks"] = f"""
+WITH raw AS ({_MIXED_ROWS})
+SELECT file_path, md5(text) AS text_md5, true AS within, true AS distinct_ids, start_line, end_line FROM raw
+"""
+
 ORACLES["last_write_wins"] = """
 SELECT 'parts/' || p_partkey || '.rs:1-1' AS external_id, 'B_' || p_partkey AS item_name,
        'const B_' || p_partkey || ': u8 = 2;' AS text

@@ -46,7 +46,7 @@ def corpus_index_rows(
     """
     if unique_paths is None:
         unique_paths = paths_are_unique(files)
-    chunks = with_ids(chunk_files(files, settings.max_chunk_bytes, unique=True))
+    chunks = with_ids(chunk_files(files, settings.max_chunk_bytes, unique=True, oversize=settings.oversize))
     if not unique_paths:
         chunks = last_per_id(chunks)
     return index_rows(embed_documents(chunks, "text", embedder))
@@ -91,7 +91,7 @@ class DryRun:
 
 def dry_run(files: DataFrame, settings: Settings = Settings()) -> DryRun:
     """What indexing would cost; no model is called and no index opened."""
-    chunks = chunk_files(files, settings.max_chunk_bytes)
+    chunks = chunk_files(files, settings.max_chunk_bytes, oversize=settings.oversize)
     totals = dry_run_totals(
         chunks,
         batch_size=settings.embed_batch_size,

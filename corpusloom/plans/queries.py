@@ -163,7 +163,7 @@ def mixed_chunks(spark, sf_dir):
 
 @registered
 def decl_chunks(spark, sf_dir):
-    chunks = chunk_files(supplier_sources(spark, sf_dir))
+    chunks = chunk_files(supplier_sources(spark, sf_dir), None)
     return chunks.select(
         "file_path", "chunk_ord", "start_line", "end_line", "item_name", "text", "language"
     )
@@ -171,20 +171,90 @@ def decl_chunks(spark, sf_dir):
 
 @registered
 def impl_split(spark, sf_dir):
-    members = chunk_files(supplier_sources(spark, sf_dir)).where(F.contains("item_name", F.lit("::")))
+    members = chunk_files(supplier_sources(spark, sf_dir), None).where(F.contains("item_name", F.lit("::")))
     return members.select("file_path", "start_line", "end_line", "item_name", "text")
 
 
 @registered
 def preamble(spark, sf_dir):
-    chunks = chunk_files(supplier_sources(spark, sf_dir)).where("item_name = 'preamble'")
+    chunks = chunk_files(supplier_sources(spark, sf_dir), None).where("item_name = 'preamble'")
     return chunks.select("file_path", "start_line", "end_line", "text")
 
 
+KINDS = """\
+#![allow(dead_code)]
+/* outer /* inner } */ { */
+#[derive(Debug)]
+pub struct S@ {
+    pub a: u8,
+}
+pub(crate) enum E@ { A, B(u8) }
+pub unsafe trait T@: Send {
+    fn go(&self);
+}
+mod m@ {
+    pub fn inner() {}
+}
+pub const C@: &str = "}";
+static mut V@: u8 = 1;
+type A@<T> = Vec<T>;
+macro_rules! w@ {
+    () => {};
+}
+impl T@ for S@ { fn go(&self) {} }
+/// says
+#[inline]
+pub async unsafe fn f@<const N: usize>() where [u8; N]: Sized {
+"""
+
+
+@registered
+def decl_kinds(spark, sf_dir):
+    """A file per part with an item of every kind; the function has 2 to 5 lines."""
+    key = F.col("p_partkey").cast("string")
+    body = F.repeat(F.lit("    a();\n"), (1 + F.col("p_partkey") % 4).cast("int"))
+    source = F.concat(F.replace(F.lit(KINDS), F.lit("@"), key), body, F.lit("}\n"))
+    corpus = table_corpus(table(spark, sf_dir, "part"), F.concat(F.lit("parts/"), key, F.lit(".rs")), source)
+    return chunk_files(corpus, None).select("file_path", "chunk_ord", "start_line", "end_line", "item_name", "text")
+
+
+@registered
+def impl_trait_split(spark, sf_dir):
+    """A file per supplier with an impl of a generic trait for a path of a trait, over 100 lines long."""
+    key = F.col("s_suppkey").cast("string")
+    methods = (34 + F.col("s_suppkey") % 3).cast("int")
+    method = F.transform(
+        F.sequence(F.lit(1), methods),
+        lambda j: F.concat(F.lit("    fn m_"), j.cast("string"), F.lit("(&self) -> u8 {\n        1\n    }\n")),
+    )
+    source = F.concat(
+        F.lit("impl<T: Into<Vec<u8>>> Make"), key, F.lit("<T> /* x for y */ for <Own"), key, F.lit(" as Owner>::Kind<T>\nwhere T: Clone {\n"),
+        F.lit("    const K: usize = "), key, F.lit(";\n    type Out = Vec<T>;\n"),
+        F.array_join(method, ""),
+        F.lit("}\n"),
+    )
+    corpus = table_corpus(table(spark, sf_dir, "supplier"), F.concat(F.lit("makers/"), key, F.lit(".rs")), source)
+    return chunk_files(corpus, None).select("file_path", "chunk_ord", "start_line", "end_line", "item_name", "text")
+
+
+@registered
+def split_chunks(spark, sf_dir):
+    """Chunks above a small cap in pieces: within the cap, under ids of their own, and nothing lost."""
+    pieces = with_ids(chunk_files(documents_as(spark, sf_dir, mixed_path()), SMALL_CAP, oversize="split"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("chunk_ord", "text"))), lambda p: p["text"])
+    return pieces.groupBy("file_path").agg(
+        F.md5(F.array_join(in_order, "")).alias("text_md5"),
+        (F.max(F.octet_length("text")) <= SMALL_CAP).alias("within"),
+        (F.count_distinct("external_id") == F.count("*")).alias("distinct_ids"),
+        F.min("start_line").alias("start_line"),
+        F.max("end_line").alias("end_line"),
+    )
+
+
 @registered
 def last_write_wins(spark, sf_dir):
     """Two constants on one line: preamble and both items share an id, the last one stays."""
-    return last_per_id(with_ids(chunk_files(constants(spark, sf_dir)))).select(
+    return last_per_id(with_ids(chunk_files(constants(spark, sf_dir), None))).select(
         "external_id", "item_name", "text"
     )
 
@@ -192,7 +262,7 @@ def last_write_wins(spark, sf_dir):
 @registered
 def last_write_wins_in_file(spark, sf_dir):
     """The same, decided within each file's row."""
-    chunks = with_ids(chunk_files(constants(spark, sf_dir), unique=True))
+    chunks = with_ids(chunk_files(constants(spark, sf_dir), None, unique=True))
     return chunks.select("external_id", "item_name", "text")
 
 
@@ -279,7 +349,7 @@ def dry_run_all_tables(spark, sf_dir):
 
 @registered
 def chunks_per_file_query(spark, sf_dir):
-    return chunks_per_file(chunk_files(headed_documents(spark, sf_dir)))
+    return chunks_per_file(chunk_files(headed_documents(spark, sf_dir), None))
 
 
 @registered

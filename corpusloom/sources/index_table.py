@@ -16,7 +16,8 @@ from corpusloom.session import delete_path, stored_at
 
 def with_ids(chunks: DataFrame) -> DataFrame:
     """Chunk rows plus the id under which they are stored."""
-    made = external_id(F.col("file_path"), F.col("start_line"), F.col("end_line"))
+    piece = F.col("piece") if "piece" in chunks.columns else None
+    made = external_id(F.col("file_path"), F.col("start_line"), F.col("end_line"), piece)
     return chunks.withColumn("external_id", made)
 
 

@@ -7,31 +7,47 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import declarations
 from corpusloom.operators.chunk import chunk_files
+from corpusloom.sources.index_table import with_ids
 
 MEMBERS = "".join(f"    fn m{j}() {{\n        x\n    }}\n" for j in range(33))
 
+# header of an impl block, its name
+HEADERS = [
+    ("impl Tr for <A as B>::C", "<A as B>::C<Tr>"),
+    ("impl Tr /* x for y */ for S", "S<Tr>"),
+    ("impl<T: A<B<C<D<E<F<G<H<I>>>>>>>>> Tr<T> for S<T>", "S<T><Tr<T>>"),
+    ("impl <A as B>::C", "<A as B>::C"),
+    ("impl<T> <T as B>::C where T: for<'a> Q<'a>", "<T as B>::C"),
+    ("unsafe impl<F: Fn(u8) -> u8> !Tr<{ 1 > 0 }> for /* c */ [F; 3] /* d */", "[F; 3]<Tr<{ 1 > 0 }>>"),
+    ("impl dyn for<'a> Tr<'a>", "dyn for<'a> Tr<'a>"),
+    ("impl Tr for for<'a> fn(&'a u8) -> u8", "for<'a> fn(&'a u8) -> u8<Tr>"),
+    ("impl<'a, const N: usize> const Tr for &'a mut [u8; N]", "&'a mut [u8; N]<Tr>"),
+    ("default impl Form for Wherever", "Wherever<Form>"),
+]
+
 # path, source, expected (name, start, end, text or None) in order
 CASES = [
-    # the three basic files
+    # one file of each kind
     (
-        "test.rs",
-        'use std::io;\n\nfn hello() {\n    println!("hello");\n}\n\nstruct Foo {\n    bar: i32,\n}\n',
+        "orders.rs",
+        "enum Side { Buy, Sell }\n\nextern crate ledger;\npub fn settle(side: Side) -> u64 {\n    ledger::post(side)\n}\n",
         [
-            ("preamble", 1, 1, "use std::io;"),
-            ("hello", 3, 5, 'fn hello() {\n    println!("hello");\n}'),
-            ("Foo", 7, 9, "struct Foo {\n    bar: i32,\n}"),
+            ("preamble", 3, 3, "extern crate ledger;"),
+            ("Side", 1, 1, "enum Side { Buy, Sell }"),
+            ("settle", 4, 6, "pub fn settle(side: Side) -> u64 {\n    ledger::post(side)\n}"),
         ],
     ),
     (
-        "readme.md",
-        "# Title\nSome intro text.\n## Section A\nContent A.\n## Section B\nContent B.\n",
+        "harvest.md",
+        "written in spring\n### Wheat\nsown late\nreaped early\n# Barley\n## Oats\n",
         [
-            ("Title", 1, 2, "# Title\nSome intro text."),
-            ("Section A", 3, 4, "## Section A\nContent A."),
-            ("Section B", 5, 6, "## Section B\nContent B."),
+            ("harvest.md", 1, 1, "written in spring"),
+            ("Wheat", 2, 4, "### Wheat\nsown late\nreaped early"),
+            ("Barley", 5, 5, "# Barley"),
+            ("Oats", 6, 6, "## Oats"),
         ],
     ),
-    ("notes.md", "Just some text\nwithout headings.\n", [("notes.md", 1, 2, None)]),
+    ("tides.md", "high at six\n\nlow at noon", [("tides.md", 1, 3, "high at six\n\nlow at noon")]),
     # Markdown
     ("m1.md", "", []),
     ("m2.md", "\n\n# A\nx\n", [("A", 3, 4, "# A\nx")]),
@@ -135,6 +151,24 @@ CASES = [
         [("preamble", 1, 101, "impl T for S {\n}")]
         + [(f"S<T>::m{j}", 2 + 3 * j, 4 + 3 * j, "fn m%d() {\n        x\n    }" % j) for j in range(33)],
     ),
+    # comments inside comments, to any depth
+    ("c1.rs", "/* 1 " * 6 + "*/ " * 6 + "\nfn n() {}\n", [("preamble", 1, 1, "/* 1 " * 6 + "*/ " * 6), ("n", 2, 2, "fn n() {}")]),
+    ("c2.rs", "/*" * 300 + " fn no() {} " + "*/" * 300 + "fn n() {}\n", [("preamble", 1, 1, None), ("n", 1, 1, "fn n() {}")]),
+    ("c3.rs", "fn a() { /* } /* } \" */ } ' */ b; }\nstruct S; /*/ /**/ */ fn c() {}", [
+        ("preamble", 2, 2, None), ("a", 1, 1, "fn a() { /* } /* } \" */ } ' */ b; }"), ("S", 2, 2, None), ("c", 2, 2, None)]),
+    ("c4.rs", "fn a() { x(\"/* /* /*\", r#\"/*\"/*\"#, '\"', b'\\\\', '\\\"'); } // /* /*\nfn b() { 1 */* c /* d */ */ 2; }\nfn c() {}", [
+        ("preamble", 1, 1, None), ("a", 1, 1, None), ("b", 2, 2, None), ("c", 3, 3, None)]),
+    ("c5.rs", "fn a() { /* /*\ufdd0*/ */ }", [("a", 1, 1, "fn a() { /* /*\ufdd0*/ */ }")]),
+    ("c6.rs", "impl X /* /* " + "y" * 70 + " */ */ {}", [("impl X /* /* " + "y" * 47, 1, 1, None)]),
+    # generic arguments in braces, however far from their signs
+    ("g1.rs", "impl Foo<" + " " * 50 + "{ N }> for X {\n    fn a() {}\n}\nfn b() {}", [
+        ("impl Foo<" + " " * 50 + "{", 1, 3, None), ("b", 4, 4, None)]),
+    ("g2.rs", "struct A<const N: usize = /* n */ { 1 + 2 } // last\n>(u8);\nfn b<T>() where T: Q<u8, { 3 }> {}", [("A", 1, 2, None), ("b", 3, 3, None)]),
+    # headers of large impl blocks
+    *[
+        (f"h{i}.rs", f"{header} {{\n{MEMBERS}}}\n", [("preamble", 1, 101, None)] + [(f"{name}::m{j}", 2 + 3 * j, 4 + 3 * j, None) for j in range(33)])
+        for i, (header, name) in enumerate(HEADERS)
+    ],
     # nesting beyond what one token may hold
     ("d1.rs", "fn deep() { " + "{" * 40 + "a;" + "}" * 40 + " }\nfn after() {}\n", [("deep", 1, 1, None), ("after", 2, 2, None)]),
     ("d2.rs", "const D: u8 = " + "(" * 30 + "1" + ")" * 30 + ";\n#[a(" + "[" * 30 + "]" * 30 + ")]\nfn after() {}\n",
@@ -219,3 +253,44 @@ def test_many_items_across_fold_blocks(spark, lead):
         (f"C{i}", i + at, i + at) for i in range(700)
     ]
     assert items[699]["text"] == "const C699: S = S { a: 699 };"
+
+
+@pytest.mark.parametrize("cap", [4, 9, 40, 1000])
+def test_split_loses_nothing(spark, cap):
+    """Pieces hold whole lines up to the cap, longer lines are cut between characters."""
+    texts = {
+        "a.txt": "ab\ncdé\r\n\n\nlonger than the others ü𝄞 by far\nx" + "\n" * 9 + "end",
+        "b.md": "# one\n" + "word " * 30 + "\n## two\n\nz\n",
+        "c.rs": "use a;\n\nfn f() {\n    b();\n}\nuse c;\n// " + "é" * 50 + "\n",
+        "d.rs": "const A: u8 = " + "1" * 60 + "; const B: u8 = " + "2" * 60 + ";\n",
+    }
+    files = spark.createDataFrame(list(texts.items()), "file_path string, source string")
+    whole = {(r.file_path, r.chunk_ord): r for r in chunk_files(files, None).collect()}
+    found = chunk_files(files, cap, oversize="split").orderBy("file_path", "chunk_ord").collect()
+    by_file: dict[str, str] = {}
+    for r in found:
+        by_file[r.file_path] = by_file.get(r.file_path, "") + r.text
+        assert len(r.text.encode()) <= cap
+        if r.file_path == "a.txt":
+            lines = [x + "\n" for x in texts["a.txt"].split("\n")]
+            assert r.text.rstrip("\n") in "".join(lines[r.start_line - 1 : r.end_line])
+    assert by_file == {p: "".join(r.text for k, r in sorted(whole.items()) if k[0] == p) for p in texts}
+    ids = with_ids(chunk_files(files, cap, oversize="split", unique=True)).select("external_id").collect()
+    assert len(set(ids)) == len(ids)
+    last = [r for r in chunk_files(files, cap, oversize="split", unique=True).orderBy("chunk_ord").collect() if r.file_path == "d.rs"]
+    assert "".join(r.text for r in last if r.item_name == "B") == "const B: u8 = " + "2" * 60 + ";"
+
+
+def test_pieces_are_as_long_as_whole_lines_allow(spark):
+    files = spark.createDataFrame([("a.txt", "aa\nbb\ncc\n" + "d" * 9 + "\ne")], "file_path string, source string")
+    rows = chunk_files(files, 8, oversize="split").orderBy("chunk_ord").collect()
+    assert [(r.text, r.start_line, r.end_line, r.piece) for r in rows] == [
+        ("aa\nbb\n", 1, 2, 0), ("cc\n", 3, 3, 1), *[(t, 4, 4, 2 + i) for i, t in enumerate(["dd", "dd", "dd", "dd", "d\n"])], ("e", 5, 5, 7),
+    ]
+
+
+def test_bad_split_is_rejected(spark):
+    files = spark.createDataFrame([("a", "b")], "file_path string, source string")
+    for cap, how in ((3, "split"), (9, "drop")):
+        with pytest.raises(ValueError):
+            chunk_files(files, cap, oversize=how)
