@@ -105,7 +105,7 @@ _HEADER = (
     rf"(?s){_COMMENT}|\s++|[-=]>|::|(?<=(?<!\w)[bc]?r)(#*+)\".*?\"\1|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\""
     r"|'(?:\\(?:u\{[^}]*+\}|x..|.)|[^'\\\n])'|'\w++|(?:r#)?\w++|."
 )
-_SIGNS = r"""(?s)'(?:"|\\"|\\\\)'|\\(?:\\|"#*+)|(?<!\w)[bc]?r#*+"#*+|"#*+|[/*\n]|[^/*\n"\\'bcr]++|."""
+_SIGNS = r"""(?s)'(?:"|\\"|\\\\)'|\\(?:\\|"#*+)|(?<!\w)[bc]?r#*+"#*+|"#*+|[/*\n]|\w++|[^\w/*\n"\\']++|."""
 # Characters that stand for the star of a hidden comment sign: the first that the text does not hold.
 _MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 

@@ -249,7 +249,7 @@ SELECT file_path, {_POSITION}, text FROM chunks WHERE item_name = 'preamble'
 # Order, first and last line, name and text of the items in the file of every part; n lines in the body.
 _KINDS = [
     ("1", "1", "22", "'preamble'", """'#![allow(dead_code)]
-/* outer /* inner } */ { */
+/* outer } ' || held || ' */
 #[derive(Debug)]
 /// says
 #[inline]'"""),
@@ -274,7 +274,12 @@ _KINDS = [
 ' || repeat('    a();
 ', n) || '}'"""),
 ]
-ORACLES["decl_kinds"] = "WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS k, CAST(1 + p_partkey % 4 AS INTEGER) AS n FROM part) " + " UNION ALL ".join(
+_PARTS = """WITH s AS (
+    SELECT CAST(p_partkey AS VARCHAR) AS k, CAST(1 + p_partkey % 4 AS INTEGER) AS n,
+           CASE WHEN p_partkey % 8 = 0 THEN '/* inner } */ {' ELSE '{' END AS held
+    FROM part
+) """
+ORACLES["decl_kinds"] = _PARTS + " UNION ALL ".join(
     f"""SELECT 'parts/' || k || '.rs' AS file_path, CAST({i} - 1 AS INTEGER) AS chunk_ord, CAST({a} AS BIGINT) AS start_line,
     CAST({b} AS BIGINT) AS end_line, {name} AS item_name, {text} AS text FROM s"""
     for i, a, b, name, text in _KINDS

@@ -183,7 +183,7 @@ def preamble(spark, sf_dir):
 
 KINDS = """\
 #![allow(dead_code)]
-/* outer /* inner } */ { */
+/* outer } % */
 #[derive(Debug)]
 pub struct S@ {
     pub a: u8,
@@ -210,10 +210,12 @@ pub async unsafe fn f@<const N: usize>() where [u8; N]: Sized {
 
 @registered
 def decl_kinds(spark, sf_dir):
-    """A file per part with an item of every kind; the function has 2 to 5 lines."""
+    """A file per part with an item of every kind; the function has 2 to 5 lines, and every eighth
+    file has a comment in a comment."""
     key = F.col("p_partkey").cast("string")
+    inner = F.when(F.col("p_partkey") % 8 == 0, "/* inner } */ {").otherwise("{")
     body = F.repeat(F.lit("    a();\n"), (1 + F.col("p_partkey") % 4).cast("int"))
-    source = F.concat(F.replace(F.lit(KINDS), F.lit("@"), key), body, F.lit("}\n"))
+    source = F.concat(F.replace(F.replace(F.lit(KINDS), F.lit("@"), key), F.lit("%"), inner), body, F.lit("}\n"))
     corpus = table_corpus(table(spark, sf_dir, "part"), F.concat(F.lit("parts/"), key, F.lit(".rs")), source)
     return chunk_files(corpus, None).select("file_path", "chunk_ord", "start_line", "end_line", "item_name", "text")
 
