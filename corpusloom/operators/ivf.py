@@ -97,13 +97,9 @@ def ivf_assign(
     return numbered.join(nearest.select("_row", "centroid"), "_row", "left").drop("_row")
 
 
-def write_by_centroid(
-    assigned: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, id_col: str = "external_id"
-) -> None:
-    """Parquet partitioned by centroid; a hot centroid is spread over as many files as it needs.
-
-    The assignment is stored once before it is counted and written.
-    """
+def spread_by_centroid(assigned: DataFrame, rows_per_file: int = ROWS_PER_FILE, id_col: str = "external_id") -> DataFrame:
+    """``assigned`` dealt for a write partitioned by centroid: a hot one goes to as many tasks as it
+    needs.  The assignment is stored once before it is counted and dealt."""
     assigned = stored(assigned)
     files = F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files")
     sizes = assigned.groupBy(F.col("centroid").alias("_of")).agg(files)
@@ -113,7 +109,14 @@ def write_by_centroid(
     joined = assigned.join(hot, F.col("centroid").eqNullSafe(F.col("_of")), "left")
     salt = F.pmod(F.xxhash64(id_col), F.coalesce("_files", F.lit(1)))
     salted = joined.withColumn("_salt", salt)
-    spread = salted.repartition("centroid", "_salt").drop("_of", "_files", "_salt")
+    return salted.repartition("centroid", "_salt").drop("_of", "_files", "_salt")
+
+
+def write_by_centroid(
+    assigned: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, id_col: str = "external_id"
+) -> None:
+    """Parquet partitioned by centroid; a hot centroid is spread over as many files as it needs."""
+    spread = spread_by_centroid(assigned, rows_per_file, id_col)
     writer = spread.write.partitionBy("centroid").option("maxRecordsPerFile", rows_per_file)
     writer.mode("errorifexists").parquet(path)
 

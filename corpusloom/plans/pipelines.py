@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from corpusloom.sources.corpus import root_prefix, scan_corpus
 from corpusloom.sources.index_table import (
     index_rows,
     last_per_id,
+    read_centroids,
     read_index,
     upsert_index,
     with_ids,
@@ -60,13 +62,17 @@ def index_files(
     embedder: Embedder | None = None,
     prune: bool = False,
     unique_paths: bool | None = None,
+    centroids: int | None = None,
 ) -> int | None:
-    """Chunk, embed and upsert a corpus; the index version now current."""
+    """Chunk, embed and upsert a corpus; the index version now current.
+
+    With ``centroids`` the index is partitioned by as many, trained on the first rows it gets.
+    """
     if unique_paths is None:
         unique_paths = paths_are_unique(files)
     embedder = embedder or default_embedder(settings)
     rows = corpus_index_rows(files, embedder, settings, unique_paths)
-    return upsert_index(spark, index_path, rows, prune)
+    return upsert_index(spark, index_path, rows, prune, centroids)
 
 
 def index_roots(
@@ -75,12 +81,13 @@ def index_roots(
     settings: Settings,
     embedder: Embedder | None = None,
     prune: bool = False,
+    centroids: int | None = None,
 ) -> int | None:
     """``index_files`` over directories; within one root the file system keeps paths unique."""
     prefixes = [root_prefix(r.path) for r in settings.roots]
     distinct = len(set(prefixes)) == len(prefixes)
     files = scan_corpus(spark, settings.roots)
-    return index_files(spark, files, index_path, settings, embedder, prune, distinct)
+    return index_files(spark, files, index_path, settings, embedder, prune, distinct, centroids)
 
 
 @dataclass(frozen=True)
@@ -105,21 +112,33 @@ def dry_run_roots(spark: SparkSession, settings: Settings) -> DryRun:
     return dry_run(scan_corpus(spark, settings.roots), settings)
 
 
+def near_rows(spark: SparkSession, index_path: str, vector: Sequence[float], nprobe: int) -> DataFrame:
+    """The index rows in the partitions of the ``nprobe`` centroids nearest to a vector."""
+
+    def nearest(number: int) -> list[int]:
+        found = search(read_centroids(spark, index_path, number), vector, nprobe, id_col="centroid")
+        return [r["centroid"] for r in found.collect()]  # at most nprobe rows
+
+    return read_index(spark, index_path, probes=nearest)
+
+
 def search_text(
     spark: SparkSession,
     index_path: str,
     query: str,
     settings: Settings = Settings(),
     embedder: Embedder | None = None,
+    nprobe: int | None = None,
 ) -> DataFrame:
     """The hits of one query text, with their stored attributes, best first.
 
     Ids and vectors are scanned first; the few hits are then looked up by id, a predicate
-    that reaches the Parquet scan.
+    that reaches the Parquet scan.  With ``nprobe`` only the partitions of that many nearest
+    centroids are scanned, of steps that are partitioned; rows of other steps all are.
     """
-    index = read_index(spark, index_path)
     vector = embed_query(spark, query, embedder or default_embedder(settings))
-    hits = search(index, vector, settings.k)
+    index = read_index(spark, index_path)
+    hits = search(near_rows(spark, index_path, vector, nprobe) if nprobe else index, vector, settings.k)
     found = hits.collect()  # at most k rows
     hits = spark.createDataFrame(found, hits.schema)
     stored = index.where(F.col("external_id").isin([r["external_id"] for r in found]))

@@ -353,7 +353,7 @@ def test_unfinished_version_is_invisible(spark, tmp_path):
     path = tmp_path / "index"
     files = spark.createDataFrame([("r/a.md", "a")], "file_path string, source string")
     pipelines.index_files(spark, files, str(path), Settings(dimensions=4))
-    (path / "v=2" / "_temporary").mkdir(parents=True)
+    (path / "step=2.ab.s" / "_temporary").mkdir(parents=True)
     assert index_table.current_version(spark, str(path)) == 1
     more = spark.createDataFrame([("r/b.md", "b")], "file_path string, source string")
     assert pipelines.index_files(spark, more, str(path), Settings(dimensions=4)) == 3
@@ -367,16 +367,74 @@ def test_upsert_writes_new_rows_only_until_compacted(spark, tmp_path):
     pipelines.index_files(spark, files(*[(f"r/{i}.md", str(i)) for i in range(50)]), str(path), settings)
     for text in ("x", "y"):
         pipelines.index_files(spark, files(("r/7.md", text)), str(path), settings)
-    assert spark.read.parquet(str(path / "s=3")).count() == 1
+    assert [spark.read.parquet(str(f)).count() for f in path.glob("step=3.*")] == [1]
     before = contents(spark, str(path))
     assert len(before) == 50 and before["r/7.md:1-1"] == "y"
     assert index_table.read_index(spark, str(path), 2).where("chunk_text = 'x'").count() == 1
     assert index_table.compact(spark, str(path)) == 4
     index_table.drop_versions(spark, str(path))
-    assert sorted(p.name for p in path.iterdir()) == ["v=4"] and contents(spark, str(path)) == before
+    assert [p.name.split(".")[0] for p in path.iterdir() if p.name != "_claims"] == ["step=4"] and contents(spark, str(path)) == before
     assert index_table.compact(spark, str(tmp_path / "none")) is None
 
 
+def test_many_steps_are_one_relation(spark, tmp_path):
+    """Relations, joins and jobs do not grow with the steps."""
+    path, settings = str(tmp_path / "index"), Settings(dimensions=4)
+    files = lambda *rows: spark.createDataFrame(rows, "file_path string, source string").coalesce(1)
+    rows = pipelines.corpus_index_rows(files(("r/0.md", "0"), ("r/a.md", "a")), HashEmbedder(4), settings, True)
+    index_table.upsert_index(spark, path, rows)
+    for i in range(1, 50):
+        folder = tmp_path / "index" / f"step={i + 1}.abc.s"
+        rows.where("file_path = 'r/a.md'").withColumn("chunk_text", F.lit(str(i))).write.parquet(str(folder))
+    group = str(tmp_path)
+    spark.sparkContext.setJobGroup(group, "read")
+    index = index_table.read_index(spark, path)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 8
+    spark.sparkContext.setJobGroup("", "")
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and plan.count("Join ") == 1
+    assert {r["external_id"]: r["chunk_text"] for r in index.collect()} == {"r/0.md:1-1": "0", "r/a.md:1-1": "49"}
+    found = index_table.read_index(spark, path, 20).collect()
+    assert {r["chunk_text"] for r in found} == {"0", "19"}
+
+
+def test_writers_share_no_step(spark, tmp_path, monkeypatch):
+    """Neither where claims are exclusive nor where two writers hold the same number."""
+    path, settings = tmp_path / "index", Settings(dimensions=4)
+    numbers = [index_table._claimed(spark, str(path)) for _ in range(3)]
+    assert numbers == [1, 2, 3]
+    monkeypatch.setattr(index_table, "_claimed", lambda spark, path: 7)
+    for name in "ab":
+        files = spark.createDataFrame([(f"r/{name}.md", name)], "file_path string, source string")
+        assert pipelines.index_files(spark, files, str(path), settings) == 7
+    assert len(list(path.glob("step=7.*"))) == 2
+    assert contents(spark, str(path)) == {"r/a.md:1-1": "a", "r/b.md:1-1": "b"}
+
+
+def test_index_partitioned_by_centroids(spark, tmp_path):
+    path, settings = str(tmp_path / "index"), Settings(dimensions=16, k=5)
+    words = "river stone cloud tree lamp glass paper wheel".split()
+    texts = [" ".join(words[(i * j) % 8] for j in range(1, 6)) for i in range(60)]
+    files = lambda rows: spark.createDataFrame(rows, "file_path string, source string")
+    first = [(f"r/{i}.md", t) for i, t in enumerate(texts)] + [("r/none.md", "...")]
+    pipelines.index_files(spark, files(first), path, settings, centroids=4)
+    # rows that move to another partition, and a new one
+    pipelines.index_files(spark, files([(f"r/{i}.md", texts[(i + 1) % 60] + " lamp") for i in range(0, 60, 3)] + [("r/new.md", "glass wheel")]), path, settings)
+    assert index_table.centroid_sets(spark, path) == [1] and len(contents(spark, path)) == 62
+    for query in ("river glass", "wheel lamp lamp", "paper"):
+        hits = lambda nprobe: [(r["rank"], r["external_id"], r["score"], r["chunk_text"]) for r in pipelines.search_text(spark, path, query, settings, nprobe=nprobe).collect()]
+        assert hits(None) == hits(4)
+        near = pipelines.near_rows(spark, path, embed_query(spark, query, HashEmbedder(16)), 1)
+        assert 0 < near.count() < 62 and "PartitionFilters: [centroid" in near._jdf.queryExecution().executedPlan().toString().replace("isnotnull(centroid#", "centroid#")
+        stored = {r["external_id"]: r["chunk_text"] for r in near.collect()}
+        assert stored.items() <= contents(spark, path).items()
+    before = contents(spark, path)
+    assert index_table.compact(spark, path, centroids=3) == 3
+    index_table.drop_versions(spark, path)
+    assert index_table.centroid_sets(spark, path) == [3] and contents(spark, path) == before
+    assert pipelines.search_text(spark, path, "paper", settings, nprobe=3).count() == 5
+
+
 def test_any_number_of_globs(spark, tmp_path):
     table = spark.createDataFrame([(f"f{i}.md",) for i in range(6000)], "rel string")
     patterns = glob.patterns_of(spark.createDataFrame([(f"f{i}.*",) for i in range(5000)], "p string"), "p")
