@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import staged, text_bytes
+from corpusloom.llm.common import lean, staged, text_bytes
 from corpusloom.llm.tokens import crc, ids_list, worker_encoder
 
 SEQUENCE = 2048
@@ -69,7 +69,7 @@ def token_pieces(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return rows.mapInArrow(cut, schema + ", ids array<int>" * keep_ids)
+    return rows.mapInArrow(lean(cut), schema + ", ids array<int>" * keep_ids)
 
 
 def fit(

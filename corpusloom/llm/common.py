@@ -228,6 +228,26 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], inverse
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def lean(function):
+    """``function`` over a task's batches, giving back at its end what it no longer needs: a worker
+    outlives its task, and what it holds would count against the memory of the next stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
 def worker_state(name: str, make):
     """What ``make`` returns, made once in this Python worker and kept for its later tasks.
 
@@ -243,9 +263,7 @@ def worker_state(name: str, make):
     def drop() -> None:
         state.__dict__.pop(name, None)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-            trim(0)
+        release()
 
     timer = threading.Timer(IDLE_SECONDS, drop)
     timer.daemon = True

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import Hasher, fold, staged, text_blocks, text_bytes, word_ranges
+from corpusloom.llm.common import Hasher, fold, lean, staged, text_blocks, text_bytes, word_ranges
 
 WORDS, PAIRS, NUMBERS = 256, 256, 16  # features of the text view: hashed words, shape pairs, shares
 SOURCES, LANGS, SIZES = 32, 16, 16  # of the metadata view
@@ -345,7 +345,7 @@ def spark_pool(rows: DataFrame) -> Pool:
             blobs = pa.array([row.tobytes() for row in totals.values()], pa.binary())
             yield pa.RecordBatch.from_arrays([*keys, blobs], names=["view", "place", "sums"])
 
-        found = rows.select("a", "b").mapInArrow(partial, "view int, place int, task int, sums binary")
+        found = rows.select("a", "b").mapInArrow(lean(partial), "view int, place int, task int, sums binary")
         found = found.repartition("view", "place").sortWithinPartitions("view", "place", "task")
         total = found.mapInArrow(add, "view int, place int, sums binary").toArrow().to_pylist()
         stacks = [{row["place"]: np.frombuffer(row["sums"]) for row in total if row["view"] == view} for view in range(2)]
@@ -410,7 +410,7 @@ def classify(
     schema = StructType([described.schema["__id"]])
     for name in "ab":
         schema = schema.add(name, "binary")
-    described = described.mapInArrow(describe, schema)
+    described = described.mapInArrow(lean(describe), schema)
     # The narrow features meet the labels, not the texts; merged at any size, so disk is in proportion.
     marks = marks.withColumnRenamed(id_col, "__id").hint("merge")
     described = staged(described.join(marks, "__id", "left"), "features")
@@ -447,4 +447,4 @@ def classify(
     schema = StructType(list(kept.schema.fields))
     for name in ("score", "text_score", "metadata_score"):
         schema = schema.add(name, "double")
-    return inputs.mapInArrow(judge, schema.add("keep", "boolean"))
+    return inputs.mapInArrow(lean(judge), schema.add("keep", "boolean"))

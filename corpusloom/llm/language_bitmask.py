@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import distinct, fold, mixed, staged, text_blocks, text_bytes, worker_state
+from corpusloom.llm.common import distinct, fold, lean, mixed, staged, text_blocks, text_bytes, worker_state
 
 LENGTHS = (3, 4)  # characters of an n-gram
 SLOT_BITS, HASHES = 20, 3  # 2 ** 20 slots; three slots an n-gram, from 60 bits of its hash
@@ -125,7 +125,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> La
                     held, waiting = {}, 0
         yield from merged()
 
-    counts = rows.mapInArrow(count, "lang string, gram long, n long")
+    counts = rows.mapInArrow(lean(count), "lang string, gram long, n long")
     counts = staged(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= LEAST_SHARE)
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text")
     schema = StructType(list(kept.schema.fields))
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("coverage", "double")):
         schema = schema.add(name, kind)
-    return kept.mapInArrow(label, schema)
+    return kept.mapInArrow(lean(label), schema)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", folds: int = 5) -> DataFrame:

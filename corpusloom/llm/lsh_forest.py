@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import (
     Hasher,
     components,
+    lean,
     list_binary,
     mixed,
     part_count,
@@ -182,7 +183,7 @@ def near_duplicates(
 
     described = staged(
         rows.select("doc_id", "text_hash", "text").mapInArrow(
-            describe, "doc_id long, text_hash long, digest binary, size long, keys array<long>"
+            lean(describe), "doc_id long, text_hash long, digest binary, size long, keys array<long>"
         ),
         "described",
     )
@@ -230,7 +231,7 @@ def near_duplicates(
                 )
 
     sets = texts.mapInArrow(
-        sets_of, "root long, blocks long, block long, node long, n_docs long, grams binary"
+        lean(sets_of), "root long, blocks long, block long, node long, n_docs long, grams binary"
     )
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     placed = sets.withColumn("other", other).select(
@@ -268,7 +269,7 @@ def near_duplicates(
                     held[nodes[row]] = (blocks[row], weights[row], value)
         yield from links()
 
-    verified = staged(placed.mapInArrow(verify, "node long, n_links long, parent long, several long"), "links")
+    verified = staged(placed.mapInArrow(lean(verify), "node long, n_links long, parent long, several long"), "links")
     linked = verified.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     found = components(verified.where("several > 0").select(F.col("node").alias("a"), F.col("parent").alias("b")))
     found = found.unionByName(verified.where("several = 0").select("node", F.col("parent").alias("root")))
