@@ -14,6 +14,7 @@ from corpusloom.llm.common import lean, staged, text_bytes
 from corpusloom.llm.tokens import crc, ids_list, worker_encoder
 
 SEQUENCE = 2048
+ENCODED_BYTES = 1 << 20  # of texts whose ids are made at a time
 GROUP_PIECES = 1 << 14  # pieces packed together; more gain next to nothing
 WEIGHTS = (1.0, 1e-3, 1e-3)  # tokens, documents, attention
 
@@ -50,7 +51,7 @@ def token_pieces(
                     names.append("ids")
                 return pa.RecordBatch.from_arrays(columns, names=names)
 
-            for i, found in encoder.documents(data, offsets):
+            for i, found in encoder.documents(data, offsets, ENCODED_BYTES):
                 first = len(found) % capacity or capacity
                 bounds = [0, *range(first, len(found) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):

@@ -21,6 +21,7 @@ from corpusloom.session import checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: what the operators call a word
 SLICE_BYTES = 1 << 20  # bytes of text that one vectorised step looks at
+RELEASE_SECONDS = 0.5  # between which a task gives free memory back
 IDLE_SECONDS = 4.0  # after which a worker gives up what no task has asked for
 
 
@@ -236,12 +237,17 @@ def release() -> None:
 
 
 def lean(function):
-    """``function`` over a task's batches, giving back at its end what it no longer needs: a worker
-    outlives its task, and what it holds would count against the memory of the next stages."""
+    """``function`` over a task's batches, giving back now and then and at its end what it no longer
+    needs: freed arrays of many sizes stay with the process else, also after the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
         try:
-            yield from function(batches)
+            for batch in function(batches):
+                yield batch
+                if time.monotonic() - last > RELEASE_SECONDS:
+                    release()
+                    last = time.monotonic()
         finally:
             release()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -59,6 +60,7 @@ class Encoder:
     """
 
     def __init__(self, path: str | None = None, segments: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread holds memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file(path))
@@ -156,9 +158,9 @@ class Encoder:
         flat = self.ids[np.repeat(begins - sums[:-1], sizes) + np.arange(sums[-1])]
         return flat, sums[np.searchsorted(starts, offsets, side="left")]
 
-    def documents(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Row number and ids with the end id of every text."""
-        for low, high in slices(offsets, 2 << 20):
+    def documents(self, data: np.ndarray, offsets: np.ndarray, step: int = 2 << 20) -> Iterator[tuple[int, np.ndarray]]:
+        """Row number and ids with the end id of every text; about ``step`` bytes are encoded at a time."""
+        for low, high in slices(offsets, step):
             part = data[offsets[low] : offsets[high]]
             flat, at = self.encode(part, offsets[low : high + 1] - offsets[low])
             flat = flat.astype("<u4")
