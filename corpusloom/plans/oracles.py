@@ -327,6 +327,16 @@ SELECT doc_id, file_path FROM rel
 WHERE regexp_full_match(rel, '(.*/)?[^/]*\.(rs|md)') AND NOT regexp_full_match(rel, '(.*/)?fr/.*')
 """
 
+ORACLES["glob_filter_table"] = f"""
+WITH p AS (SELECT doc_id, {_MIXED} AS file_path FROM documents),
+rel AS (SELECT *, split_part(file_path, '/', 2) AS folder, split_part(file_path, '/', 3) AS name FROM p)
+SELECT doc_id, file_path FROM rel
+WHERE (name IN (SELECT p_partkey || '.md' FROM part)
+    OR length(folder) = 2 AND EXISTS (SELECT 1 FROM nation WHERE name LIKE n_nationkey || '_.%')
+    OR EXISTS (SELECT 1 FROM region WHERE ends_with(name, r_regionkey || '.rs')))
+  AND name NOT IN (SELECT s_suppkey || '.rs' FROM supplier) AND NOT name LIKE '9%.md'
+"""
+
 ORACLES["decoded_files"] = f"""
 SELECT {_TXT} AS file_path, md5(text) AS source_md5 FROM documents WHERE doc_id % 5 <> 0
 """

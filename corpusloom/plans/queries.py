@@ -19,6 +19,7 @@ from corpusloom.operators.chunk import chunk_files
 from corpusloom.operators.embed import HashEmbedder, ModelEmbedder, embed_documents, embed_queries, token_usage
 from corpusloom.operators.ivf import ivf_assign, ivf_search, ivf_search_batch, ivf_train, write_by_centroid
 from corpusloom.operators.lines import line_offsets, lines
+from corpusloom.operators.patterns import filter_paths_by
 from corpusloom.operators.search import attach_attributes, search, search_batch
 from corpusloom.operators.stats import (
     batch_ids,
@@ -287,6 +288,28 @@ def glob_filter(spark, sf_dir):
     return kept.select("doc_id", "file_path")
 
 
+def pattern_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Patterns to include and to exclude, of every kind of key, in number with the tables."""
+
+    def patterns(name: str, column: str, before: str, after: str) -> DataFrame:
+        own = F.concat(F.lit(before), F.col(column).cast("string"), F.lit(after))
+        return table(spark, sf_dir, name).select(own.alias("pattern"))
+
+    include = patterns("part", "p_partkey", "**/", ".md").union(patterns("nation", "n_nationkey", "??/", "?.*"))
+    include = include.union(patterns("region", "r_regionkey", "**/*", ".rs"))
+    exclude = patterns("supplier", "s_suppkey", "**/", ".rs").union(patterns("documents", "lang", "", "/9*.md"))
+    return include, exclude
+
+
+@registered
+def glob_filter_table(spark, sf_dir):
+    paths = table(spark, sf_dir, "documents").select(
+        "doc_id", mixed_path().alias("file_path"), F.substring_index(mixed_path(), "/", -2).alias("rel")
+    )
+    include, exclude = pattern_tables(spark, sf_dir)
+    return filter_paths_by(paths, "rel", include, exclude).select("doc_id", "file_path")
+
+
 def damaged_files(spark, sf_dir):
     """Documents as bytes, every fifth with a byte that no UTF-8 text has."""
     content = F.encode("text", "UTF-8")
