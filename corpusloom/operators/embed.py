@@ -37,15 +37,17 @@ class Embedder(Protocol):
 class ModelEmbedder:
     """Runs ``make_predict(mode)`` once per Python worker, then batch by batch.
 
-    A failed call fails its task, which Spark retries.
+    A failed call fails its task, which Spark retries.  Without a ``batch_size`` of its own it takes
+    that of the run's settings.
     """
 
     make_predict: Callable[[str], Predict]
     dimensions: int = DIMENSIONS
-    batch_size: int = EMBED_BATCH_SIZE
+    batch_size: int | None = None
 
     def embed(self, df: DataFrame, text_col: str, mode: str = "document") -> DataFrame:
-        if self.batch_size <= 0:
+        batch_size = EMBED_BATCH_SIZE if self.batch_size is None else self.batch_size
+        if batch_size <= 0:
             raise ValueError("batch_size must be positive")
         make_predict, dimensions = self.make_predict, self.dimensions
 
@@ -69,7 +71,7 @@ class ModelEmbedder:
         struct = T.StructType(
             [T.StructField("embedding", VECTOR), T.StructField("usage_tokens", T.DoubleType())]
         )
-        run = predict_batch_udf(make, return_type=struct, batch_size=self.batch_size)
+        run = predict_batch_udf(make, return_type=struct, batch_size=batch_size)
         used = F.col("_embedded.usage_tokens")
         return (
             df.withColumn("_embedded", run(F.col(text_col)))

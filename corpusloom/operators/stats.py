@@ -28,6 +28,58 @@ def batch_count(rows: Column, batch_size: int) -> Column:
     return _div(rows + (batch_size - 1), batch_size)
 
 
+_SUMS = ("chunks", "bytes", "truncated")
+
+
+def dry_run_sums(chunks: DataFrame) -> DataFrame:
+    """``root, whole`` and raw sums: a row per root, and one of everything where ``whole`` is true.
+
+    One pass: chunks are reduced per root, and only those sums are grouped a second time, so no
+    chunk is copied for the second grouping.  Nothing is rounded yet.  Without chunks: no rows.
+    """
+    per_root = chunks.groupBy(root_component(F.col("file_path")).alias("root")).agg(
+        F.count("*").alias("chunks"), _bytes("text").alias("bytes"), F.count_if("was_truncated").alias("truncated")
+    )
+    sums = [F.sum(c).alias(c) for c in _SUMS]
+    grouped = per_root.groupingSets([[F.col("root")], []], F.col("root"))
+    return grouped.agg((F.grouping("root") == 1).alias("whole"), *sums)
+
+
+def totals_of(
+    sums: DataFrame,
+    *,
+    batch_size: int = EMBED_BATCH_SIZE,
+    model: str = "hashing",
+    dimensions: int = DIMENSIONS,
+) -> DataFrame:
+    """``dry_run_totals`` from ``dry_run_sums``."""
+    whole = sums.where("whole").agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in _SUMS])
+    totals = whole.toDF("total_chunks", "total_characters", "truncated_chunks")
+    return _labelled(totals, batch_size, model, dimensions)
+
+
+def by_root_of(sums: DataFrame) -> DataFrame:
+    """``dry_run_by_root`` from ``dry_run_sums``."""
+    per_root = sums.where(~F.col("whole"))
+    return per_root.select("root", "chunks", estimated_tokens(F.col("bytes")).alias("tokens")).orderBy("root")
+
+
+def dry_run_report(chunks: DataFrame, batch_size: int = EMBED_BATCH_SIZE) -> DataFrame:
+    """Both reports as one table from one pass: per root, and (``whole``) of everything.
+
+    Tokens are rounded down and batches up in each row, so roots need not add up to the whole.
+    """
+    return dry_run_sums(chunks).select(
+        "root",
+        "whole",
+        "chunks",
+        F.col("bytes").alias("characters"),
+        estimated_tokens(F.col("bytes")).alias("tokens"),
+        batch_count(F.col("chunks"), batch_size).alias("batches"),
+        "truncated",
+    )
+
+
 def dry_run_totals(
     chunks: DataFrame,
     *,
@@ -41,6 +93,10 @@ def dry_run_totals(
         _bytes("text").alias("total_characters"),
         F.count_if("was_truncated").alias("truncated_chunks"),
     )
+    return _labelled(totals, batch_size, model, dimensions)
+
+
+def _labelled(totals: DataFrame, batch_size: int, model: str, dimensions: int) -> DataFrame:
     return totals.select(
         "total_chunks",
         "total_characters",

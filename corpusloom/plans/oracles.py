@@ -191,6 +191,16 @@ SELECT split_part(file_path, '/', 1) AS root, count(*) AS chunks,
 FROM cut WHERE {not_blank('text')} GROUP BY root ORDER BY root
 """
 
+ORACLES["dry_run_report"] = f"""
+WITH {capped(_ALL_ROWS, None)}
+SELECT split_part(file_path, '/', 1) AS root, grouping(split_part(file_path, '/', 1)) = 1 AS whole,
+       count(*) AS chunks, CAST(sum(strlen(text)) AS BIGINT) AS characters,
+       CAST(sum(strlen(text)) // 4 AS BIGINT) AS tokens,
+       CAST((count(*) + 127) // 128 AS BIGINT) AS batches,
+       count(*) FILTER (WHERE was_truncated) AS truncated
+FROM cut WHERE {not_blank('text')} GROUP BY GROUPING SETS ((split_part(file_path, '/', 1)), ())
+"""
+
 # Declarations: all positions follow from the supplier key.
 _SUPPLIER_FILES = """
     s AS (

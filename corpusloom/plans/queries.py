@@ -25,6 +25,7 @@ from corpusloom.operators.stats import (
     batch_ids,
     chunks_per_file,
     dry_run_by_root,
+    dry_run_report,
     dry_run_totals,
     skipped_by_reason,
     truncated_count,
@@ -356,8 +357,12 @@ def dry_run_totals_query(spark, sf_dir):
 
 
 @registered
-def dry_run_all_tables(spark, sf_dir):
-    """Three tables as three roots of one corpus."""
+def dry_run_report_query(spark, sf_dir):
+    return dry_run_report(all_tables(spark, sf_dir))
+
+
+def all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of three tables as three roots of one corpus."""
     pages = table(spark, sf_dir, "pages")
     talks = table(spark, sf_dir, "conversations")
     corpus = union_corpora(
@@ -369,7 +374,12 @@ def dry_run_all_tables(spark, sf_dir):
             F.col("text"),
         ),
     )
-    return dry_run_by_root(chunk_files(corpus, None))
+    return chunk_files(corpus, None)
+
+
+@registered
+def dry_run_all_tables(spark, sf_dir):
+    return dry_run_by_root(all_tables(spark, sf_dir))
 
 
 @registered

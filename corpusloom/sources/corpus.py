@@ -16,6 +16,7 @@ from corpusloom.sources import walk
 
 INVALID_UTF8 = "not valid UTF-8"
 HIDDEN = "hidden file, not read by Spark"
+REASONS = (INVALID_UTF8, HIDDEN, walk.BAD_NAME, walk.NOT_LISTED, walk.NOT_READ, walk.TOO_LARGE)  # kinds of them
 _READ_ANYWAY = re.compile(r"_[^=]*=.*|_metadata.*|_common_metadata.*")  # by Spark's listing
 
 
@@ -130,10 +131,16 @@ def decode(files: DataFrame) -> DataFrame:
     return files.where(_is_text()).select("file_path", F.col("content").cast("string").alias("source"))
 
 
+def skip_reason() -> Column:
+    """Why ``decode`` leaves a scanned file out; null for the files that it keeps."""
+    return F.when(~_is_text(), F.coalesce(F.col("reason"), F.lit(INVALID_UTF8)))
+
+
 def skipped(files: DataFrame) -> DataFrame:
     """``file_path, reason`` of the files that ``decode`` leaves out."""
-    known = F.col("reason") if "reason" in files.columns else F.lit(None).cast("string")
-    return files.where(~_is_text()).select("file_path", F.coalesce(known, F.lit(INVALID_UTF8)).alias("reason"))
+    if "reason" not in files.columns:
+        files = files.withColumn("reason", F.lit(None).cast("string"))
+    return files.where(~_is_text()).select("file_path", skip_reason().alias("reason"))
 
 
 def scan_corpus(spark: SparkSession, roots: Sequence[SourceRoot]) -> DataFrame:

@@ -26,6 +26,10 @@ BATCH_BYTES = 8 << 20  # of contents that leave a task at a time, unless one alo
 MOST_BYTES = (1 << 31) - 64  # of one file: a longer value does not fit a row
 
 FILE, DIRECTORY, PROBLEM = 0, 1, 2
+BAD_NAME = "name is not valid UTF-8"
+NOT_LISTED = "directory cannot be listed"
+NOT_READ = "file cannot be read"
+TOO_LARGE = "file is larger than 2 GiB"
 FOUND = "kind int, rel string, size long, reason string"
 
 
@@ -80,13 +84,13 @@ def expand(uri: str, directories: list[str]) -> Iterator[tuple[int, str | None,
                 seen += 1
                 below = f"{rel}/{name}" if rel else name
                 if below.encode(errors="surrogateescape") != below.encode(errors="replace"):
-                    yield PROBLEM, below.encode(errors="replace").decode(), None, "name is not valid UTF-8"
+                    yield PROBLEM, below.encode(errors="replace").decode(), None, BAD_NAME
                 elif kind == DIRECTORY:
                     todo.append(below)
                 else:
                     yield FILE, below, size, None
         except OSError as error:
-            yield PROBLEM, rel, None, f"directory cannot be listed: {_why(error)}"
+            yield PROBLEM, rel, None, f"{NOT_LISTED}: {_why(error)}"
 
 
 def listing(spark: SparkSession, uri: str) -> DataFrame:
@@ -148,8 +152,8 @@ def contents(names: DataFrame, uri: str) -> DataFrame:
                     with files.open_input_stream(f"{base}/{rel}") as opened:
                         content = opened.read(MOST_BYTES + 1)
             except OSError as error:
-                return None, f"file cannot be read: {_why(error)}"
-            return (content, None) if len(content) <= MOST_BYTES else (None, "file is larger than 2 GiB")
+                return None, f"{NOT_READ}: {_why(error)}"
+            return (content, None) if len(content) <= MOST_BYTES else (None, TOO_LARGE)
 
         held, total = [], 0
 

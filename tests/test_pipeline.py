@@ -265,6 +265,85 @@ def test_dry_run_of_nothing(spark):
     assert report.by_root.count() == 0
 
 
+def test_dry_run_reads_once(spark, tmp_path):
+    """Sums of one pass give both reports, null and repeated roots included."""
+    rows = [("b/x.txt", "é" * 9), ("b/y.txt", "abc"), ("a", "x" * 50_000), (None, "no path"), ("b/z.md", " "), ("a", "again")]
+    spark.createDataFrame(rows, "file_path string, source string").write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    chunks = chunk_files(files)
+    sums = stats.dry_run_sums(chunks)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert [tuple(r) for r in stats.by_root_of(sums).collect()] == [tuple(r) for r in stats.dry_run_by_root(chunks).collect()]
+    assert stats.totals_of(sums).first() == stats.dry_run_totals(chunks).first()
+    both = pipelines.dry_run(files)
+    assert [tuple(r) for r in both.by_root.collect()] == [(None, 1, 1), ("a", 2, 12_001), ("b", 2, 5)]
+    assert tuple(both.totals.first())[:5] == (5, 48_033, 12_008, 1, 1)
+    report = {(r["root"], r["whole"]): tuple(r)[2:] for r in stats.dry_run_report(chunks, 2).collect()}
+    assert report[(None, True)] == (5, 48_033, 12_008, 3, 1)
+    assert report[("a", False)] == (2, 48_005, 12_001, 1, 1)
+    assert len(report) == 4
+    with pytest.raises(ValueError):
+        pipelines.dry_run(files, Settings(embed_batch_size=0))
+
+
+def words_of(text):
+    return len(re.findall("[a-z0-9]+", text.lower()))
+
+
+@pytest.mark.parametrize("centroids", [None, 2])
+def test_run_report(spark, settings, tmp_path, centroids):
+    path, report = str(tmp_path / "index"), pipelines.RunReport()
+    pipelines.index_roots(spark, path, settings, centroids=centroids, report=report)
+    rows = index_table.read_index(spark, path).collect()
+    scanned = corpus.scan_roots(spark, settings.roots)
+    found = report.totals
+    assert found.chunks == len(rows) == 6
+    assert found.tokens == sum(words_of(r["chunk_text"]) for r in rows)
+    assert found.files == scanned.count()
+    assert found.skipped == {corpus.INVALID_UTF8: 1}
+    assert (found.truncated_chunks, found.embedding_batches) == (0, 1)
+
+
+def test_run_report_of_shared_paths_and_problems(spark, tmp_path):
+    """Two roots with one prefix: an id that both write is counted once, files are counted each."""
+    for side, text in (("x", "left side"), ("y", "right side " * 6_000)):
+        (tmp_path / side / "r").mkdir(parents=True)
+        (tmp_path / side / "r" / "a.txt").write_text(text)
+    (tmp_path / "x" / "r" / "bad.txt").write_bytes(b"\xff")
+    os.mkdir(os.fsencode(tmp_path / "y" / "r") + b"/\xfe")
+    roots = (*(SourceRoot(str(tmp_path / side / "r")) for side in "xy"), SourceRoot(str(tmp_path / "gone")))
+    report = pipelines.RunReport()
+    with pytest.warns(UserWarning, match="share the path prefix"):
+        pipelines.index_roots(spark, str(tmp_path / "index"), Settings(roots=roots, dimensions=4), report=report)
+    found = report.totals
+    assert (found.chunks, found.files) == (1, 5)
+    assert found.skipped == {corpus.INVALID_UTF8: 1, walk.BAD_NAME: 1, walk.NOT_LISTED: 1}
+
+
+def test_run_report_of_nothing(spark, tmp_path):
+    files, report = spark.createDataFrame([], "file_path string, source string"), pipelines.RunReport()
+    assert pipelines.index_files(spark, files, str(tmp_path / "index"), report=report) is None
+    assert report.totals == pipelines.RunTotals(0, 0, None, 0, None, {})
+
+
+def test_settings_reach_the_model(spark, tmp_path):
+    """The settings' batch size is the model's unless it has its own; other vector lengths are told."""
+
+    def sizes(mode):
+        return lambda texts: np.full((len(texts), 2), len(texts), np.float32)
+
+    files = spark.createDataFrame([(f"r/{i}.md", str(i)) for i in range(9)], "file_path string, source string").coalesce(1)
+    for own, most, batches in ((None, 4, 3), (3, 3, 3), (9, 9, 1)):
+        path, report = str(tmp_path / f"index{own}"), pipelines.RunReport()
+        settings = Settings(dimensions=2, embed_batch_size=4)
+        pipelines.index_files(spark, files, path, settings, ModelEmbedder(sizes, 2, own), report=report)
+        assert max(r["embedding"][0] for r in index_table.read_index(spark, path).collect()) == most
+        assert (report.totals.embedding_batches, report.totals.tokens) == (batches, None)
+    with pytest.warns(UserWarning, match="2 components, the settings name 3"):
+        pipelines.run_embedder(Settings(dimensions=3), ModelEmbedder(sizes, 2))
+
+
 def test_no_text_is_cut_without_a_cap(spark):
     text = "é" * 40_000
     files = spark.createDataFrame([("r/a.txt", text), ("r/a.md", "# A\n" + text), ("r/b.txt", " \n")], "file_path string, source string")
