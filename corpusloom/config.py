@@ -15,7 +15,8 @@ TOP_K = 10  # hits per query
 
 # Size bounds of what may be sent to every executor (ours).
 BROADCAST_BYTES = 64 << 20  # query or centroid matrix held by each Python worker
-CELL_BYTES = 32 << 20  # one side of one scoring cell beyond that bound
+CELL_BYTES = 32 << 20  # one side of one scoring cell, or one block of queries, beyond that bound
+INDEX_BLOCK_BYTES = 128 << 20  # index vectors that a task holds while all blocks of queries pass
 
 
 @dataclass(frozen=True)

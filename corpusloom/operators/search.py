@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.config import BROADCAST_BYTES, CELL_BYTES, TOP_K
+from corpusloom.config import BROADCAST_BYTES, CELL_BYTES, INDEX_BLOCK_BYTES, TOP_K
 from corpusloom.functions.vectors import TopK, cosine_to, matrix, result_table, top_k_of_batches
-from corpusloom.session import cut_lineage, stored
+from corpusloom.session import checkpoint_folder, cut_lineage, stored
+from corpusloom.sources import walk
 
 
 def search(
@@ -77,15 +78,22 @@ def partial_schema_of(index: DataFrame, queries: DataFrame, id_col: str, query_i
     )
 
 
-def merge_top_k(partial: DataFrame, k: int, id_col: str, query_id_col: str) -> DataFrame:
-    """Best ``k`` per query row out of the partial lists, ranked."""
+def _ranked(partial: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"))
-    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _named(ranked: DataFrame, id_col: str, query_id_col: str) -> DataFrame:
     return ranked.select(
         F.col("query_id").alias(query_id_col), "rank", "score", F.col("id").alias(id_col)
     )
 
 
+def merge_top_k(partial: DataFrame, k: int, id_col: str, query_id_col: str) -> DataFrame:
+    """Best ``k`` per query row out of the partial lists, ranked."""
+    return _named(_ranked(partial, k), id_col, query_id_col)
+
+
 def search_batch(
     index: DataFrame,
     queries: DataFrame,
@@ -97,14 +105,18 @@ def search_batch(
     query_vec_col: str = "embedding",
     broadcast_bytes: int = BROADCAST_BYTES,
     cell_bytes: int = CELL_BYTES,
+    index_bytes: int = INDEX_BLOCK_BYTES,
+    in_place: bool = True,
 ) -> DataFrame:
     """The best ``k`` rows for every query: ``<query id>, rank, score, <id>``.
 
     Queries within ``broadcast_bytes`` travel to the index: one pass over it, each task
     keeping ``k`` rows per query, and only those are shuffled.  More queries than that are
-    dealt into a grid of bounded cells (see ``grid_top_k``).
+    stored in blocks which pass by the index rows where these lie (see ``blocked_top_k``).  If not
+    ``in_place``, or if the staging folder is one that only Spark can open, both sides are dealt
+    into a grid of bounded cells instead (see ``grid_top_k``).
 
-    On both ways every query row is a search of its own, also under a repeated or null id; index
+    On all ways every query row is a search of its own, also under a repeated or null id; index
     rows with a null id are found, last among ties; repeated index rows are found each; vectors
     that are null, zero or hold a null or non-finite value are never found and find nothing.
     """
@@ -119,23 +131,64 @@ def search_batch(
     if small is not None:
         rows = index.where(F.col(vec_col).isNotNull()).select(id_col, vec_col)
         partial = rows.mapInArrow(top_k_of_batches(small.ids, small.vectors, k), partial_schema)
-    else:
-        partial = grid_top_k(
-            index.select(F.lit(0).alias("cell"), F.col(id_col).alias("id"), F.col(vec_col).alias("vec")),
-            queries.select(
-                F.lit(0).alias("cell"),
-                F.monotonically_increasing_id().alias("query"),
-                F.col(query_id_col).alias("query_id"),
-                F.col(query_vec_col).alias("vec"),
-            ),
-            k,
-            dims,
-            partial_schema,
-            cell_bytes,
-        )
+        return merge_top_k(partial, k, id_col, query_id_col)
+    rows = index.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    asked = queries.select(
+        F.monotonically_increasing_id().alias("query"),
+        F.col(query_id_col).alias("query_id"),
+        F.col(query_vec_col).alias("vec"),
+    )
+    blocks = checkpoint_folder(queries.sparkSession, "queries") if in_place else None
+    if blocks is not None and walk.reachable(blocks):
+        return _named(blocked_top_k(rows, asked, k, dims, blocks, cell_bytes, index_bytes), id_col, query_id_col)
+    one = F.lit(0).alias("cell")
+    partial = grid_top_k(rows.select(one, "*"), asked.select(one, "*"), k, dims, partial_schema, cell_bytes)
     return merge_top_k(partial, k, id_col, query_id_col)
 
 
+def blocked_top_k(
+    index: DataFrame, queries: DataFrame, k: int, dims: int, path: str, block_bytes: int, index_bytes: int
+) -> DataFrame:
+    """``query, query_id, rank, score, id`` of ``(id, vec)`` rows for ``(query, query_id, vec)`` queries.
+
+    Queries are written to ``path``, a new shared folder, in files of at most ``block_bytes``.  The
+    index is read once and its rows are not shuffled: a task holds ``index_bytes`` of them at a time
+    and lets all files pass by, keeping ``k`` rows of each query.  Before the shuffle a task's lists
+    are cut to ``k`` a query again, so what moves is tasks x queries x ``k`` rows of a number, a
+    score and an id.  A repeated task reads the same files.
+    """
+    rows_each = max(1, index_bytes // (8 * dims))
+    kept = queries.where("vec is not null")
+    kept.write.option("maxRecordsPerFile", max(1, block_bytes // (8 * dims))).parquet(path)
+    asked = queries.sparkSession.read.schema(queries.schema).parquet(path)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        own: list[pa.RecordBatch] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_each):
+                own.append(batch.slice(at, rows_each))
+                if sum(b.num_rows for b in own) >= rows_each:
+                    yield pa.Table.from_batches(own)
+                    own = []
+        if own:
+            yield pa.Table.from_batches(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in held(batches):
+            ids, vectors = rows["id"].combine_chunks(), matrix(rows["vec"], dims, None)
+            for block in walk.tables(path, ["query", "vec"]):
+                top = TopK(matrix(block["vec"], dims), k)
+                top.add(ids, vectors)
+                if top.best is not None:
+                    number = block["query"].combine_chunks().take(top.best["q"].combine_chunks())
+                    found = pa.table({"query": number, "score": top.best["score"], "id": top.best["id"]})
+                    yield from found.combine_chunks().to_batches()
+
+    kinds = T.StructType([asked.schema["query"], T.StructField("score", T.DoubleType()), index.schema["id"]])
+    partial = index.where("vec is not null").mapInArrow(run, kinds)
+    return _ranked(partial, k).join(asked.select("query", "query_id"), "query")
+
+
 def bounded_broadcast(counts: DataFrame, row_bytes: int = 64) -> DataFrame:
     """A stored table of counts, marked for broadcast if its measured size allows that.
 

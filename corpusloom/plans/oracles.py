@@ -544,7 +544,7 @@ SELECT rank,
 FROM hits
 """
 
-ORACLES["topk_batch_grid"] = ORACLES["topk_batch"]
+ORACLES["topk_batch_grid"] = ORACLES["topk_batch_blocks"] = ORACLES["topk_batch"]
 ORACLES["centroid_assign_grid"] = ORACLES["centroid_assign"]
 ORACLES["ivf_probe_batch_grid"] = ORACLES["ivf_probe_batch"]
 

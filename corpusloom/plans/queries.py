@@ -498,6 +498,14 @@ def topk_batch(spark, sf_dir):
 def topk_batch_grid(spark, sf_dir):
     """``topk_batch`` with bounds so small that both sides are dealt into cells."""
     embeddings = table(spark, sf_dir, "embeddings")
+    hits = search_batch(embeddings, vector_queries(embeddings), 10, id_col="vec_id", in_place=False, **TINY_BOUNDS)
+    return rounded(hits, "query_id", "vec_id")
+
+
+@registered
+def topk_batch_blocks(spark, sf_dir):
+    """``topk_batch`` with bounds so small that queries pass by the index in several blocks."""
+    embeddings = table(spark, sf_dir, "embeddings")
     hits = search_batch(embeddings, vector_queries(embeddings), 10, id_col="vec_id", **TINY_BOUNDS)
     return rounded(hits, "query_id", "vec_id")
 

@@ -13,6 +13,7 @@ import stat
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,17 @@ def _open(uri: str) -> tuple[arrow_fs.FileSystem | None, str]:
     return arrow_fs.FileSystem.from_uri(uri)
 
 
+def tables(uri: str, columns: list[str]) -> Iterator[pa.Table]:
+    """The Parquet files of one folder that hold rows, one at a time."""
+    files, path = _open(uri)
+    files = files or arrow_fs.LocalFileSystem()
+    for info in files.get_file_info(arrow_fs.FileSelector(path)):
+        if info.base_name.endswith(".parquet"):
+            rows = pq.read_table(info.path, columns=columns, filesystem=files, use_threads=False)
+            if rows.num_rows:
+                yield rows
+
+
 def _why(error: Exception) -> str:
     return error.strerror or type(error).__name__ if isinstance(error, OSError) else type(error).__name__
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.vectors import cosine, unit
 from corpusloom.operators import ivf
 from corpusloom.operators.search import search, search_batch
+from corpusloom.sources import walk
 
 
 def vectors(n: int, dims: int, seed: int) -> np.ndarray:
@@ -60,13 +61,41 @@ def test_batch_equals_brute_force(data, k):
     assert hits_of(search_batch(table, asked, k)) == brute_force(index, queries, k)
 
 
+@pytest.mark.parametrize("in_place", [False, True])
 @pytest.mark.parametrize("k", [3, 150])
-def test_grid_equals_brute_force(data, k):
+def test_grid_and_blocks_equal_brute_force(data, k, in_place):
     index, queries, table, asked = data
-    got = search_batch(table, asked, k, broadcast_bytes=12 * 8 * 5, cell_bytes=12 * 8 * 40)
+    got = search_batch(
+        table, asked, k, broadcast_bytes=12 * 8 * 5, cell_bytes=12 * 8 * 7, index_bytes=12 * 8 * 11, in_place=in_place
+    )
     assert hits_of(got) == brute_force(index, queries, k)
 
 
+def test_index_rows_stay_where_they_are(spark, tmp_path):
+    """Five blocks of queries: index rows are read once and meet no shuffle, only lists do."""
+    as_table(spark, vectors(60, 4, 5)).write.parquet(str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i"))
+    asked = as_table(spark, vectors(50, 4, 6), "query_id").coalesce(1)
+    hits = search_batch(index, asked, 3, broadcast_bytes=1, cell_bytes=4 * 8 * 10)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    below = below[: below.index("FileScan")]
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in below
+    assert plan.index("WindowGroupLimit") < plan.index("MapInArrow")
+    read = hits.inputFiles()
+    assert len([f for f in read if "queries-" in f]) == 5
+    assert hits.count() == 150
+
+
+def test_folder_only_spark_can_open(data, monkeypatch):
+    """Without blocks that tasks can read, both sides are dealt into cells: equal hits."""
+    index, queries, table, asked = data
+    monkeypatch.setattr(walk, "reachable", lambda uri: False)
+    hits = search_batch(table, asked, 5, broadcast_bytes=1, cell_bytes=12 * 8 * 40)
+    assert "CoGroup" in hits._jdf.queryExecution().executedPlan().toString()
+    assert hits_of(hits) == brute_force(index, queries, 5)
+
+
 def test_single_equals_batch(data):
     index, queries, table, asked = data
     got = search(table, [float(x) for x in queries[3]], 120)
@@ -92,7 +121,7 @@ def test_no_queries(spark, data):
     assert search_batch(data[2], data[3].where("false"), 5).count() == 0
 
 
-@pytest.mark.parametrize("run", ["single", "batch", "grid"])
+@pytest.mark.parametrize("run", ["single", "batch", "grid", "blocks"])
 def test_length_mismatch_fails(spark, data, run):
     table = data[2].unionByName(spark.createDataFrame([("bad", [1.0, 2.0])], "external_id string, embedding array<float>"))
     with pytest.raises(Exception, match="vector lengths differ"):
@@ -101,7 +130,7 @@ def test_length_mismatch_fails(spark, data, run):
         elif run == "batch":
             search_batch(table, data[3], 3).collect()
         else:
-            search_batch(table, data[3], 3, broadcast_bytes=1, cell_bytes=12 * 8 * 40).collect()
+            search_batch(table, data[3], 3, broadcast_bytes=1, cell_bytes=12 * 8 * 40, in_place=run == "blocks").collect()
 
 
 def test_bad_k(data):
@@ -182,7 +211,7 @@ def test_probes_prune_partitions_and_hot_centroid_gets_several_files(spark, data
 TINY = {"broadcast_bytes": 8, "cell_bytes": 8 * 2 * 3}  # cells of three vectors
 
 
-@pytest.mark.parametrize("bounds", [{}, TINY])
+@pytest.mark.parametrize("bounds", [{}, TINY, {**TINY, "in_place": False}])
 def test_odd_rows_are_treated_alike_on_every_path(spark, bounds):
     nan, inf = float("nan"), float("inf")
     index = [("a", [1.0, 0.0]), ("a", [0.0, 1.0]), (None, [1.0, 0.0]), ("b", [nan, 1.0]), ("c", [inf, 0.0])]
