@@ -30,10 +30,11 @@ def with_signature(df: DataFrame, text_col: str, name: str, k: int = K, sketches
     """``df`` with ``name``: ``sketches`` numbers of 32 bits.
 
     K-mers of the text are numbered by occurrence and hashed once.  Sketch j orders them by the
-    distance of their hash above j / ``sketches`` of the hash range, wrapping round: each order is
-    uniformly random, as one of its own permutation, and one sort serves all.  It takes the
-    ``picked`` least k-mers, puts them in text order and hashes the tuple.  So two sketches agree
-    as often as in Order MinHash.
+    distance of their hash above j / ``sketches`` of the hash range, wrapping round: one sort serves
+    all orders.  It takes the ``picked`` least k-mers, puts them in text order and hashes the tuple.
+    Each order alone is uniformly random, so two sketches agree as often as in Order MinHash on
+    average; but orders that start in one gap between k-mers are the same one, so in texts of fewer
+    k-mers than sketches the likeness spreads more than with independent orders.
 
     A text of fewer than ``k`` symbols is one k-mer; null, empty and blank texts have the
     signature of no k-mers.  If there are fewer k-mers than ``picked``, they are taken again.

@@ -5,9 +5,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import xxhash
+
 
 def words(text: str | None) -> list[str]:
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
@@ -55,6 +59,51 @@ def near_duplicates(rows: list[tuple]) -> Counter:
     return Counter((d, least[root], n) for root, n, (d, _) in zip(roots, links, rows))
 
 
+def xx(*values: str | tuple[str, int]) -> int:
+    """Spark's xxhash64, unsigned: of strings, and of numbers given as (struct format, number)."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack(*v), seed)
+    return seed
+
+
+def order_sketches(text: str | None, k: int, sketches: int, picked: int) -> list[int]:
+    """Every order walked on its own: the first k-mers at or above its mark, wrapping round."""
+    units = re.findall(r"[^\x20\x09-\x0D]{1,16}", text or "")
+    if not units:
+        return [0] * sketches
+    seen, kmers = Counter(), []
+    for place in range(max(len(units) - k + 1, 1)):
+        h = xx(*(units[place : place + k] if len(units) >= k else units)) >> 33
+        n = seen[h]
+        seen[h] += 1
+        kmers.append(((xx(("<q", h), ("<i", n)) >> 33) if n else h, place))
+    kmers.sort()
+    out, step = [], (1 << 31) >> (sketches - 1).bit_length()
+    for j in range(sketches):
+        start = bisect_left(kmers, (j * step, -1))
+        taken = sorted((kmers[(start + d) % len(kmers)] for d in range(picked)), key=lambda x: (x[1], x[0]))
+        out.append(xx(*(("<q", h) for h, _ in taken)) & 0xFFFFFFFF)
+    return out
+
+
+def edited_neighbours(rows: list[tuple], k: int, sketches: int, picked: int) -> Counter:
+    """All of op2's columns for rows (doc_id, text); rows of one id follow by the signed hash of the text."""
+    tie = lambda t: struct.unpack("<q", struct.pack("<Q", xx(t)))[0]
+    ordered = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1])))
+    sketch = lambda t: order_sketches(t, k, sketches, picked)
+    written = lambda s: "".join(f"{x:08x}" for x in s)
+    near = lambda a, b: sum(x == y for x, y in zip(a, b)) / sketches
+    out = Counter()
+    for i, (doc_id, text) in enumerate(ordered):
+        after, cut = ordered[(i + 1) % len(ordered)][1], len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        own, new, follows = sketch(text), sketch(edited), sketch(after)
+        sha = hashlib.sha256(edited.encode()).hexdigest()
+        out[(doc_id, len(text), sha, written(own), written(new), near(own, new), near(own, follows))] += 1
+    return out
+
+
 def base_scores(rows: list[tuple]) -> Counter:
     """(doc_id, held_out, n_tokens, n_known, N, score rounded) of rows (doc_id, text)."""
     lower = {i: i + 32 for i in range(65, 91)}
@@ -68,6 +117,50 @@ def base_scores(rows: list[tuple]) -> Counter:
     )
 
 
+def model_scores(rows: list[tuple], rounds: int, enough: float) -> list[tuple]:
+    """(doc_id, tokens, log10 probability) by bigrams, words and a uniform share, mixed by context bucket."""
+    lower = {i: i + 32 for i in range(65, 91)}
+    texts = [[None, *words((t or "").translate(lower)), "\n"] for _, t in rows]  # None: begin, a newline: end
+    code = [fold(d, 100) for d, _ in rows]
+    tuning = [t for t, c in zip(texts, code) if c % 10 and c < 10]
+    counted = [t for t, c in zip(texts, code) if c % 10 and c >= 10]
+
+    def parts(learned):
+        single = Counter(w for t in learned for w in t[1:])
+        context = single + Counter({None: len(learned)})
+        double, n, types = Counter(p for t in learned for p in zip(t, t[1:])), sum(single.values()), len(single)
+
+        def of(v, w):
+            bucket = context[v].bit_length()
+            return bucket, (double[v, w] / max(context[v], 1), single[w] / max(n, 1), 1 / (types + 1))
+
+        return of
+
+    weights = defaultdict(lambda: (0.5, 0.4, 0.1), {0: (0.0, 0.8, 0.2)})
+    events = [parts(counted)(*p) for t in tuning for p in zip(t, t[1:])]
+    before = -math.inf
+    for _ in range(rounds if events else 0):
+        sums, seen, gained = defaultdict(lambda: [0.0, 0.0, 0.0]), Counter(), 0.0
+        for bucket, p in events:
+            shares = [x * y for x, y in zip(weights[bucket], p)]
+            for k in range(3):
+                sums[bucket][k] += shares[k] / sum(shares)
+            seen[bucket] += 1
+            gained += math.log10(sum(shares))
+        for bucket, n in seen.items():
+            a, b, c = (x / n for x in sums[bucket])
+            c = max(c, 1e-6)
+            weights[bucket] = tuple(x / (a + b + c) for x in (a, b, c))
+        if gained / len(events) - before < enough:
+            break
+        before = gained / len(events)
+    of, out = parts(tuning + counted), []
+    for (doc_id, _), text in zip(rows, texts):
+        masses = [sum(x * y for x, y in zip(weights[bucket], p)) for bucket, p in (of(*pair) for pair in zip(text, text[1:]))]
+        out.append((doc_id, len(text) - 1, sum(map(math.log10, masses))))
+    return out
+
+
 def whole_vectors(rows: list[tuple], scale: int) -> list[tuple]:
     """(id, integer vector, label) of rows (id, vector, label) without null or non-finite components."""
     held = lambda v: max(-(2**63), min(2**63 - 1, v))

@@ -225,6 +225,19 @@ def test_order_minhash(spark, docs, rows):
                 assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
 
 
+def test_order_minhash_equals_brute_force(docs, rows):
+    found = Counter(tuple(r) for r in order_minhash.edited_neighbours(docs).collect())
+    assert found == brute.edited_neighbours([r[:2] for r in rows], order_minhash.K, order_minhash.SKETCHES, order_minhash.PICKED)
+
+
+@pytest.mark.parametrize("k, sketches, picked", [(1, 5, 3), (3, 64, 2), (4, 33, 1)])
+def test_signatures_equal_brute_force(spark, k, sketches, picked):
+    texts = ["", None, " \n", "a", "a b", "a b c", "x y " * 40, "ü" * 50, "😀" * 40 + " z", prose(3, 300), "a b c d e f " * 9]
+    signed = order_minhash.with_signature(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "s", k, sketches, picked)
+    for r in signed.collect():
+        assert r.s == brute.order_sketches(r.t, k, sketches, picked)
+
+
 def test_likeness_follows_edits_and_order(spark):
     text = prose(1, 400).split()
     moved = text[200:] + text[:200]
@@ -354,6 +367,17 @@ def test_language_model(docs, rows, chunk, monkeypatch):
     assert all(r.score < 0 for r in found)
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 50])
+def test_model_scores_equal_brute_force(docs, rows, chunk, monkeypatch):
+    """``score`` itself: roles, bigram counts, context buckets and expectation-maximisation in plain Python."""
+    monkeypatch.setattr(interpolated_lm, "CHUNK_TOKENS", chunk)
+    found = sorted((r.doc_id or -1, r.n_tokens, r.score) for r in interpolated_lm.score(docs).collect())
+    scores = brute.model_scores([r[:2] for r in rows], interpolated_lm.ROUNDS, interpolated_lm.ENOUGH)
+    expected = sorted((d or -1, n, x) for d, n, x in scores)
+    assert [r[:2] for r in found] == [r[:2] for r in expected]
+    assert [r[2] for r in found] == pytest.approx([r[2] for r in expected], rel=1e-9)
+
+
 def test_chunks_do_not_change_scores(docs, monkeypatch):
     by = lambda: sorted((r.doc_id or -1, r.n_tokens, round(r.score, 4)) for r in interpolated_lm.score(docs).collect())
     whole = by()
