@@ -161,6 +161,51 @@ def model_scores(rows: list[tuple], rounds: int, enough: float) -> list[tuple]:
     return out
 
 
+def _grams(text: str | None) -> list[int]:
+    """Hashes of all 3- and 4-character windows whose inner characters are letters; others count as border."""
+    small = lambda c: ord(c.lower()) if len(c.lower()) == 1 else ord(c)
+    row, wide, out = [0, *(small(c) if c.isalpha() else 0 for c in text or ""), 0], (1 << 64) - 1, []
+    for n in (3, 4):
+        for i in range(len(row) - n + 1):
+            if all(row[i + 1 : i + n - 1]):
+                key = n
+                for c in row[i : i + n]:
+                    key = (key * 0x100000001B3 + c * 0x9E3779B97F4A7C15) & wide
+                key = ((key ^ key >> 30) * 0xBF58476D1CE4E5B9) & wide
+                key = ((key ^ key >> 27) * 0x94D049BB133111EB) & wide
+                out.append(key ^ key >> 31)
+    return out
+
+
+def languages(taught: list[tuple], texts: list[str | None], bits: int, least_share: float, least_ratio: float) -> list[tuple]:
+    """(language, score, coverage) of every text, by a plain set of slots a language, learned from (text, lang)."""
+    counts = defaultdict(Counter)
+    for text, lang in taught:
+        if text is not None and lang is not None:
+            counts[lang].update(_grams(text))
+    slots_of = lambda g: [(g >> bits * k) & ((1 << bits) - 1) for k in range(3)]
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    names = sorted((lang for lang in total if total[lang]), key=str.encode)
+    shares = {lang: {g: n / total[lang] for g, n in counts[lang].items() if n / total[lang] >= least_share} for lang in names}
+    most = Counter()
+    for own in shares.values():
+        for g, share in own.items():
+            most[g] = max(most[g], share)
+    held = {lang: {x for g, s in shares[lang].items() if s >= least_ratio * most[g] for x in slots_of(g)} for lang in names}
+    rate = {lang: (len(held[lang]) / (1 << bits)) ** 3 for lang in names}
+    out = []
+    for text in texts:
+        grams = [slots_of(g) for g in _grams(text)]
+        hits = {lang: sum(all(x in held[lang] for x in slots) for slots in grams) for lang in names}
+        clean = [max((hits[lang] - len(grams) * rate[lang]) / (1 - rate[lang]), 0) for lang in names]
+        if not grams or not names:
+            out.append(("und", 0.0, 0.0))
+            continue
+        top = max(clean)
+        out.append((names[clean.index(top)], top / sum(clean) if sum(clean) else 0.0, min(top / len(grams), 1.0)))
+    return out
+
+
 def whole_vectors(rows: list[tuple], scale: int) -> list[tuple]:
     """(id, integer vector, label) of rows (id, vector, label) without null or non-finite components."""
     held = lambda v: max(-(2**63), min(2**63 - 1, v))

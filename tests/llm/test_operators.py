@@ -470,6 +470,17 @@ def test_language_of_odd_rows(docs, rows, none):
     assert language_bitmask.identify(none, filters).count() == 0
 
 
+def test_languages_equal_brute_force(docs, rows):
+    """Filters, popcounts and their correction, on all rows and learned from all."""
+    found = language_bitmask.identify(docs, language_bitmask.train(docs)).collect()
+    rules = (language_bitmask.SLOT_BITS, language_bitmask.LEAST_SHARE, language_bitmask.LEAST_RATIO)
+    expected = brute.languages([(r[1], r[2]) for r in rows], [r[1] for r in rows], *rules)
+    one = lambda d, t, lang, score, coverage: (d or -1, len(t or ""), lang, round(score, 9), round(coverage, 9))
+    found = sorted(one(r.doc_id, r.text, r.lang_pred, r.score, r.coverage) for r in found)
+    assert found == sorted(one(r[0], r[1], *e) for r, e in zip(rows, expected))
+    assert len({r[2] for r in found}) > 2
+
+
 def test_filters_of_more_than_64_languages(spark):
     rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" * 3, f"l{i:02d}") for i in range(70)]
     filters = language_bitmask.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
