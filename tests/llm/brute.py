@@ -206,6 +206,28 @@ def languages(taught: list[tuple], texts: list[str | None], bits: int, least_sha
     return out
 
 
+def best_fit(lengths: list[int], full: tuple, weights: tuple, rule: str) -> list[tuple[int, int]]:
+    """(bin, offset) of every length, longest first; every bin ever opened is looked at, none is closed."""
+    bins, out = [], [(0, 0)] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        item, best = (lengths[i], 1, lengths[i] ** 2), None
+        for b, room in enumerate(bins):
+            left = [r - x for r, x in zip(room, item)]
+            if min(left) >= 0:
+                pairs = zip(left, left) if rule == "norm" else zip(item, room)
+                value = sum(w * x * y / f**2 for w, f, (x, y) in zip(weights, full, pairs))
+                value = value if rule == "norm" else -value
+                if best is None or value < best[0]:
+                    best = (value, b)
+        if best is None:
+            bins.append(list(full))
+            best = (0, len(bins) - 1)
+        room = bins[best[1]]
+        out[i] = (best[1], full[0] - room[0])
+        bins[best[1]] = [r - x for r, x in zip(room, item)]
+    return out
+
+
 def whole_vectors(rows: list[tuple], scale: int) -> list[tuple]:
     """(id, integer vector, label) of rows (id, vector, label) without null or non-finite components."""
     held = lambda v: max(-(2**63), min(2**63 - 1, v))

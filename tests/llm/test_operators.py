@@ -195,6 +195,17 @@ def test_every_capacity_binds(rule):
         assert sorted(offsets[bins == b]) == sorted(np.cumsum(held[np.argsort(offsets[bins == b])]) - held[np.argsort(offsets[bins == b])])
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("full", [(64, 64, 4096), (64, 4, 2048), (64, 8, 2048)])
+def test_bins_equal_brute_force(rule, full):
+    """Powers of two as capacities and weights: sums are exact in any order, so ties are ties."""
+    rng, weights = np.random.default_rng(full[1]), (1.0, 0.25, 0.5)
+    for most in (45, 12, 3):
+        lengths = rng.integers(1, most + 1, 400)
+        bins, offsets = best_fit.fit(lengths, full[0], full[1], float(full[2]), rule, weights)
+        assert list(zip(bins.tolist(), offsets.tolist())) == brute.best_fit(lengths.tolist(), full, weights, rule)
+
+
 def test_packing_no_rows(none):
     assert best_fit.pack(best_fit.token_pieces(none)).count() == 0
 
