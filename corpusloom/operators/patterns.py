@@ -81,7 +81,8 @@ def filter_paths_by(
     paths = df.select(F.col(rel_col).alias("__rel")).where(F.col("__rel").isNotNull()).distinct()
     salt = F.pmod(F.xxhash64("__rel"), F.lit(salts)).cast("int").alias("salt")
     asked = paths.select("__rel", salt, F.explode(path_keys(F.col("__rel"))).alias("key"))
-    met = asked.join(patterns, ["key", "salt"]).where(F.rlike("__rel", F.col("regex")))
+    # Merged at any size: an estimate from before the patterns were multiplied would broadcast them.
+    met = asked.join(patterns.hint("merge"), ["key", "salt"]).where(F.rlike("__rel", F.col("regex")))
     found = met.groupBy("__rel").agg(F.bool_or("wanted").alias("wanted"), F.bool_or(~F.col("wanted")).alias("unwanted"))
     if include is None:
         return df.where(F.col(rel_col).isNotNull()).join(found, df[rel_col] == found["__rel"], "left_anti")

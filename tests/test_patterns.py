@@ -88,3 +88,12 @@ def test_many_patterns_without_nested_loops(spark):
     assert kept.count() == sum(not str(i).startswith("1") for i in range(0, 30_000, 2))
     plan = kept._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_patterns_are_merged_whatever_their_estimate(spark):
+    # A file's size says nothing of how many rows its patterns become: they must not be broadcast.
+    kept = filter_paths_by(paths(spark, ["a.rs", "b.md"]), "rel", patterns(spark, ["**/a.rs", "*.md"]), patterns(spark, ["b*"]))
+    assert [r.n for r in kept.collect()] == [0]
+    plan = kept._jdf.queryExecution().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "salt#" in line and "key#" in line]
+    assert any("SortMergeJoin" in line for line in joins) and not any("Broadcast" in line for line in joins)
