@@ -17,7 +17,11 @@ from pyspark.sql import types as T
 
 from corpusloom.schemas import VECTOR
 
-_BLOCK_CELLS = 4_000_000  # scores held at once by the kernel
+_BLOCK_CELLS = 1_000_000  # scores held at once by the kernel: few enough for a cache
+_QUERY_BLOCK = 512  # queries whose hits are kept, and sorted, together
+_MOST_ROWS = 16_384  # rows that a block of queries meets at once
+_CANDIDATES = 1 << 18  # preselected pairs held at once, beyond those of one query
+_EXACT = 8_192  # pairs whose vectors are gathered in double at once
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,8 +44,20 @@ def usable(lengths: np.ndarray) -> np.ndarray:
 
 def vector_lengths(vectors: np.ndarray) -> np.ndarray:
     """In double; a value that is null, NaN or infinite makes the length so."""
-    wide = vectors.astype(np.float64, copy=False)
-    return np.sqrt((wide * wide).sum(axis=1))
+    lengths = np.empty(len(vectors))
+    for lo in range(0, len(vectors), _EXACT):  # no second copy of all vectors
+        wide = vectors[lo : lo + _EXACT].astype(np.float64, copy=False)
+        lengths[lo : lo + _EXACT] = np.sqrt((wide * wide).sum(axis=1))
+    return lengths
+
+
+def unit_rows(vectors: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows ``at``, scaled to length one, in single precision."""
+    scaled = np.empty((len(at), vectors.shape[1]), np.float32)
+    for lo in range(0, len(at), _EXACT):
+        own = at[lo : lo + _EXACT]
+        scaled[lo : lo + _EXACT] = vectors[own] / lengths[own, None]
+    return scaled
 
 
 def exact_cosines(a: np.ndarray, b: np.ndarray, a_lengths, b_lengths) -> np.ndarray:
@@ -107,64 +123,100 @@ def matrix(column: pa.Array | pa.ChunkedArray, dims: int, dtype=np.float64) -> n
     return values if dtype is None else values.astype(dtype, copy=False)
 
 
+class Rows:
+    """Rows to be searched, made ready once for any number of queries."""
+
+    def __init__(self, ids: pa.Array, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        self.norms = vector_lengths(vectors)
+        self.live = np.flatnonzero(usable(self.norms))
+        self.unit = unit_rows(vectors, self.norms, self.live)
+
+
 class TopK:
     """The k best rows for each of some queries, fed block by block.
 
     Single-precision products only preselect: whatever could reach the top within their
     error bound is scored again in double, in a fixed summation order, so that equal
     vectors score equally and ties fall to the smaller id.
+
+    Queries go by blocks of their own, so memory beyond queries, rows and ``k`` hits a query is
+    bounded, whatever their numbers.
     """
 
     def __init__(self, queries: np.ndarray, k: int):
-        norms = vector_lengths(queries)
-        self.live = np.flatnonzero(usable(norms))
-        self.queries, self.norms, self.k = queries, norms, k
-        self.unit = np.zeros(queries.shape, dtype=np.float32)
-        self.unit[self.live] = queries[self.live] / norms[self.live, None]
+        self.queries, self.norms, self.k = queries, vector_lengths(queries), k
+        self.live = np.flatnonzero(usable(self.norms))
         self.slack = 2.0 * (queries.shape[1] + 8) * 2.0**-23
         self.floor = np.full(len(queries), -np.inf)
-        self.best: pa.Table | None = None
+        self.parts: dict[int, pa.Table] = {}  # hits by block of queries
+
+    def hits(self) -> Iterator[pa.Table]:
+        """``q, score, id``, block by block, by query and rank."""
+        for block in sorted(self.parts):
+            yield self.parts[block]
+
+    @property
+    def best(self) -> pa.Table | None:
+        return pa.concat_tables(self.hits()) if self.parts else None
 
     def add(self, ids: pa.Array, vectors: np.ndarray, only: np.ndarray | None = None) -> None:
         """Score rows against all live queries, or only against those numbered ``only``."""
-        asked = self.live if only is None else only[np.isin(only, self.live)]
-        norms = vector_lengths(vectors)
-        rows = np.flatnonzero(usable(norms))
-        step = max(1, _BLOCK_CELLS // max(1, len(asked)))
-        for lo in range(0, len(rows), step):
-            self._add_block(ids, vectors, norms, rows[lo : lo + step], asked)
-
-    def _add_block(self, ids, vectors, norms, rows, asked) -> None:
-        if not len(asked) or not len(rows):
+        self.add_rows(Rows(ids, vectors), only)
+
+    def add_rows(self, rows: Rows, only: np.ndarray | None = None) -> None:
+        asked = self.live if only is None else np.sort(only[np.isin(only, self.live)])
+        if not len(asked) or not len(rows.live):
             return
-        unit_rows = (vectors[rows] / norms[rows, None]).astype(np.float32)
-        rough = self.unit[asked] @ unit_rows.T
-        floor = self.floor[asked] - self.slack
-        if len(rows) > self.k:
-            at = len(rows) - self.k
-            floor = np.maximum(floor, np.partition(rough, at, axis=1)[:, at] - 2 * self.slack)
-        q, r = np.nonzero(rough >= floor[:, None])
-        q, r = asked[q], rows[r]
-        exact = np.empty(len(q))
-        for lo in range(0, len(q), 65_536):
-            part = slice(lo, lo + 65_536)
-            at, to = q[part], r[part]
-            exact[part] = exact_cosines(self.queries[at], vectors[to], self.norms[at], norms[to])
-        found = pa.table({"q": q, "score": exact, "id": ids.take(pa.array(r))})
-        self._keep(found if self.best is None else pa.concat_tables([self.best, found]))
-
-    def _keep(self, table: pa.Table) -> None:
+        bounds = np.flatnonzero(np.diff(asked // _QUERY_BLOCK)) + 1
+        for own in np.split(asked, bounds):
+            unit_queries = unit_rows(self.queries, self.norms, own)
+            step = min(_MOST_ROWS, max(1, _BLOCK_CELLS // len(own)))
+            for lo in range(0, len(rows.live), step):
+                self._add_block(rows, slice(lo, lo + step), own, unit_queries)
+
+    def _add_block(self, rows: Rows, part: slice, asked: np.ndarray, unit_queries: np.ndarray) -> None:
+        at = rows.live[part]
+        rough = unit_queries @ rows.unit[part].T
+        # Compared in single precision: rounded down, so that nothing is lost.
+        floor = np.nextafter((self.floor[asked] - self.slack).astype(np.float32), np.float32(-np.inf))
+        near = rough >= floor[:, None]
+        counts = np.count_nonzero(near, axis=1)
+        many = np.flatnonzero(counts > 2 * self.k)
+        if len(many):
+            last = len(at) - self.k
+            own = np.partition(rough[many], last, axis=1)[:, last].astype(np.float64) - 2 * self.slack
+            own = np.nextafter(own.astype(np.float32), np.float32(-np.inf))
+            near[many] &= rough[many] >= own[:, None]
+            counts[many] = np.count_nonzero(near[many], axis=1)
+        # Equal vectors may all be near: taken on by so few queries that their number is bounded.
+        cuts = np.flatnonzero(np.diff(np.cumsum(counts) // _CANDIDATES)) + 1
+        for own in np.split(np.arange(len(asked)), cuts):
+            # Of one axis, which numpy does several times faster.
+            q, r = np.divmod(np.flatnonzero(near[own[0] : own[-1] + 1]), len(at))
+            if not len(q):
+                continue
+            q, r = asked[q + own[0]], at[r]
+            exact = np.empty(len(q))
+            for lo in range(0, len(q), _EXACT):
+                some = slice(lo, lo + _EXACT)
+                a, b = q[some], r[some]
+                exact[some] = exact_cosines(self.queries[a], rows.vectors[b], self.norms[a], rows.norms[b])
+            found = pa.table({"q": q, "score": exact, "id": rows.ids.take(pa.array(r))})
+            self._keep(int(asked[0]) // _QUERY_BLOCK, found)
+
+    def _keep(self, block: int, found: pa.Table) -> None:
+        table = pa.concat_tables([self.parts[block], found]) if block in self.parts else found
         order = pc.sort_indices(
             table, sort_keys=[("q", "ascending"), ("score", "descending"), ("id", "ascending")]
         )
-        table = table.take(order)
-        q = table["q"].to_numpy()
+        q = table["q"].to_numpy()[order.to_numpy()]
         starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
         place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-        kept = place < self.k
-        self.best = table.filter(pa.array(kept))
-        last = place == self.k - 1
-        self.floor[q[last]] = table["score"].to_numpy()[last]
+        table = table.take(order.filter(pa.array(place < self.k))).combine_chunks()
+        self.parts[block] = table
+        last = place[place < self.k] == self.k - 1
+        self.floor[table["q"].to_numpy()[last]] = table["score"].to_numpy()[last]
 
 
 def top_k_of_batches(
@@ -188,22 +240,19 @@ def top_k_of_batches(
                 asked = probes.get(int(centroid))
                 if asked is not None:
                     top.add(batch.column(0).take(pa.array(mine)), vectors[mine], asked)
-        if top.best is not None:
-            yield from result_table(top, query_ids).to_batches()
+        yield from result_batches(top, query_ids)
 
     return run
 
 
-def result_table(top: TopK, query_ids: pa.Array, numbers: pa.Array | None = None) -> pa.Table:
+def result_batches(top: TopK, query_ids: pa.Array, numbers: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
     """Hits by the query's number, which tells apart queries that share an id or have none."""
-    best = top.best
-    if numbers is None:
-        numbers = pa.array(np.arange(len(query_ids)), pa.int64())
-    return pa.table(
-        {
-            "query": numbers.take(best["q"].combine_chunks()),
-            "query_id": query_ids.take(best["q"].combine_chunks()),
-            "score": best["score"],
-            "id": best["id"],
+    for hits in top.hits():
+        q = hits["q"].combine_chunks()
+        found = {
+            "query": q if numbers is None else numbers.take(q),
+            "query_id": query_ids.take(q),
+            "score": hits["score"],
+            "id": hits["id"],
         }
-    )
+        yield from pa.table(found).combine_chunks().to_batches()

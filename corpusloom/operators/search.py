@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.config import BROADCAST_BYTES, CELL_BYTES, INDEX_BLOCK_BYTES, TOP_K
-from corpusloom.functions.vectors import TopK, cosine_to, matrix, result_table, top_k_of_batches
+from corpusloom.functions.vectors import Rows, TopK, cosine_to, matrix, result_batches, top_k_of_batches
 from corpusloom.session import checkpoint_folder, cut_lineage, stored
 from corpusloom.sources import walk
 
@@ -64,7 +64,7 @@ def collect_if_small(
     rows = df.where(F.col(vec_col).isNotNull()).select(id_col, vec_col).limit(bound + 1).toArrow()
     if rows.num_rows > bound:
         return None
-    return SmallVectors(rows.column(0).combine_chunks(), matrix(rows.column(1), dims))
+    return SmallVectors(rows.column(0).combine_chunks(), matrix(rows.column(1), dims, None))
 
 
 def partial_schema_of(index: DataFrame, queries: DataFrame, id_col: str, query_id_col: str) -> T.StructType:
@@ -168,21 +168,23 @@ def blocked_top_k(
             for at in range(0, batch.num_rows, rows_each):
                 own.append(batch.slice(at, rows_each))
                 if sum(b.num_rows for b in own) >= rows_each:
-                    yield pa.Table.from_batches(own)
-                    own = []
+                    table, own = pa.Table.from_batches(own), []
+                    yield table
+                    del table
         if own:
-            yield pa.Table.from_batches(own)
+            table, own = pa.Table.from_batches(own), []
+            yield table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in held(batches):
-            ids, vectors = rows["id"].combine_chunks(), matrix(rows["vec"], dims, None)
+        for table in held(batches):
+            rows = Rows(table["id"].combine_chunks(), matrix(table["vec"], dims, None))
+            del table
             for block in walk.tables(path, ["query", "vec"]):
-                top = TopK(matrix(block["vec"], dims), k)
-                top.add(ids, vectors)
-                if top.best is not None:
-                    number = block["query"].combine_chunks().take(top.best["q"].combine_chunks())
-                    found = pa.table({"query": number, "score": top.best["score"], "id": top.best["id"]})
-                    yield from found.combine_chunks().to_batches()
+                top = TopK(matrix(block["vec"], dims, None), k)
+                top.add_rows(rows)
+                number = block["query"].combine_chunks()
+                for batch in result_batches(top, number):
+                    yield batch.select(["query_id", "score", "id"]).rename_columns(["query", "score", "id"])
 
     kinds = T.StructType([asked.schema["query"], T.StructField("score", T.DoubleType()), index.schema["id"]])
     partial = index.where("vec is not null").mapInArrow(run, kinds)
@@ -237,14 +239,15 @@ def grid_top_k(
     right = dealt(queries, ["query", "query_id"], "query_pieces", "q", "index_pieces", "i")
 
     def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        top = TopK(matrix(asked["vec"], dims), k)
+        top = TopK(matrix(asked["vec"], dims, None), k)
         top.add(rows["id"].combine_chunks(), matrix(rows["vec"], dims, None))
-        if top.best is None:
+        found = list(result_batches(top, asked["query_id"].combine_chunks(), asked["query"].combine_chunks()))
+        if not found:
             none = pa.array([], pa.float64())
             return pa.table(
                 {"query": asked["query"][:0], "query_id": asked["query_id"][:0], "score": none, "id": rows["id"][:0]}
             )
-        return result_table(top, asked["query_id"].combine_chunks(), asked["query"].combine_chunks())
+        return pa.Table.from_batches(found)
 
     keys = ["cell", "i", "q"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, partial_schema)

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions.vectors import cosine, unit
+from corpusloom.functions.vectors import TopK, cosine, unit
 from corpusloom.operators import ivf
 from corpusloom.operators.search import search, search_batch
 from corpusloom.sources import walk
@@ -254,3 +257,27 @@ def test_probes_prune_the_stored_index(spark, tmp_path):
     ivf.write_by_centroid(ivf.ivf_assign(table, centroids), str(tmp_path / "index"))
     hits = ivf.ivf_search(spark.read.parquet(str(tmp_path / "index")), centroids, [1.0, 0.0, 0.0, 0.0], 5, nprobe=2)
     assert "PartitionFilters: [centroid" in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kernel_memory_does_not_grow_with_queries():
+    rng = np.random.default_rng(8)
+    queries = rng.standard_normal((60_000, 32)).astype(np.float32)
+    rows = rng.standard_normal((300, 32)).astype(np.float32)
+    tracemalloc.start()
+    top = TopK(queries, 2)
+    top.add(pa.array(range(300)), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert top.best.num_rows == 120_000
+    assert peak < 24 << 20, peak
+
+
+def test_kernel_holds_few_pairs_of_equal_vectors():
+    rows = np.ones((5_000, 8), np.float32)
+    tracemalloc.start()
+    top = TopK(np.ones((600, 8), np.float32), 3)
+    top.add(pa.array(range(5_000, 0, -1)), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert top.best["id"].to_pylist() == [1, 2, 3] * 600
+    assert peak < 40 << 20, peak
