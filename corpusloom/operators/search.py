@@ -16,6 +16,8 @@ from corpusloom.functions.vectors import Rows, TopK, cosine_to, matrix, result_b
 from corpusloom.session import checkpoint_folder, cut_lineage, stored
 from corpusloom.sources import walk
 
+SPREAD = 8  # pieces of either side of a grid's cell before these grow
+
 
 def search(
     index: DataFrame,
@@ -142,7 +144,8 @@ def search_batch(
     if blocks is not None and walk.reachable(blocks):
         return _named(blocked_top_k(rows, asked, k, dims, blocks, cell_bytes, index_bytes), id_col, query_id_col)
     one = F.lit(0).alias("cell")
-    partial = grid_top_k(rows.select(one, "*"), asked.select(one, "*"), k, dims, partial_schema, cell_bytes)
+    cells = rows.select(one, "*"), asked.select(one, "*")
+    partial = grid_top_k(*cells, k, dims, partial_schema, cell_bytes, index_bytes)
     return merge_top_k(partial, k, id_col, query_id_col)
 
 
@@ -206,21 +209,28 @@ def grid_top_k(
     dims: int,
     partial_schema: T.StructType,
     cell_bytes: int = CELL_BYTES,
+    piece_bytes: int = INDEX_BLOCK_BYTES,
 ) -> DataFrame:
     """Partial top-k lists of ``(cell, id, vec)`` rows for ``(cell, query, query_id, vec)`` queries.
 
     Within a cell both sides are dealt by hash into pieces of bounded size; every index
     piece meets every query piece of its cell in one group.  A cell that holds a third of
     all rows only gets more pieces, and no pair of rows is ever emitted.
+
+    A row goes to as many groups as the other side has pieces.  So these hold ``cell_bytes`` only
+    until there are ``SPREAD`` of them, enough to work at once, and grow to ``piece_bytes`` before
+    there are more: what moves is in proportion to the rows until a cell has ``SPREAD`` full pieces.
     """
     rows_per_piece = max(1, cell_bytes // (8 * dims))
+    rows_at_most = max(rows_per_piece, piece_bytes // (8 * dims))
     index = index.where("vec is not null")
     # Queries are read three times here, and may come from a model.
     queries = stored(queries.where("vec is not null"))
 
     def pieces(df: DataFrame, name: str) -> DataFrame:
-        need = F.ceil(F.count("*") / rows_per_piece).cast("int")
-        return df.groupBy("cell").agg(need.alias(name))
+        small, full = (F.ceil(F.count("*") / n) for n in (rows_per_piece, rows_at_most))
+        need = F.least(small, F.greatest(full, F.lit(SPREAD)))
+        return df.groupBy("cell").agg(need.cast("int").alias(name))
 
     # One row per cell, used by both sides.
     cells = pieces(index, "index_pieces").join(pieces(queries, "query_pieces"), "cell")

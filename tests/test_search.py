@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import TopK, cosine, unit
 from corpusloom.operators import ivf
-from corpusloom.operators.search import search, search_batch
+from corpusloom.operators.search import SPREAD, grid_top_k, merge_top_k, search, search_batch
 from corpusloom.sources import walk
 
 
@@ -259,6 +259,22 @@ def test_probes_prune_the_stored_index(spark, tmp_path):
     assert "PartitionFilters: [centroid" in hits._jdf.queryExecution().executedPlan().toString()
 
 
+def test_grid_deals_a_row_to_few_groups_however_small_its_cells(spark):
+    rng = np.random.default_rng(7)
+    vectors = rng.standard_normal((2_000, 4)).astype(np.float32)
+    index = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(vectors)], "cell int, id long, vec array<float>")
+    asked = index.select("cell", F.col("id").alias("query"), F.col("id").alias("query_id"), "vec")
+    schema = "query long, query_id long, score double, id long"
+    found = grid_top_k(index, asked, 3, 4, schema, cell_bytes=16 * 8 * 4)  # 125 cells of 16 a side
+    # Every query has three hits of every piece of the index that it met.
+    assert found.count() <= SPREAD * 3 * 2_000
+    # Pieces that may not grow stay as small as they are asked to be.
+    bounded = grid_top_k(index, asked, 3, 4, schema, cell_bytes=16 * 8 * 4, piece_bytes=100 * 8 * 4)
+    assert 19 * 3 * 2_000 <= bounded.count() <= 20 * 3 * 2_000
+    best = lambda t: sorted(map(tuple, merge_top_k(t, 3, "id", "query_id").collect()))
+    assert best(found) == best(bounded)
+
+
 def test_kernel_memory_does_not_grow_with_queries():
     rng = np.random.default_rng(8)
     queries = rng.standard_normal((60_000, 32)).astype(np.float32)
