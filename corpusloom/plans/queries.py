@@ -31,7 +31,7 @@ from corpusloom.operators.stats import (
     truncated_count,
 )
 from corpusloom.plans.pipelines import corpus_index_rows
-from corpusloom.sources.corpus import decode, scan_roots, skipped, table_corpus, union_corpora
+from corpusloom.sources.corpus import decode, scan_roots, skipped, spread, table_corpus, union_corpora
 from corpusloom.session import checkpoint_dir, stored
 from corpusloom.sources.index_table import last_per_id, read_index, upsert_index, with_ids
 
@@ -57,6 +57,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Corpora made of table columns
 
 
+def keys(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The keys that files are made of, dealt to as many tasks as these files need."""
+    return spread(table(spark, sf_dir, name).select(key))
+
+
 def text_path(extension: Column | str = ".txt") -> Column:
     end = F.lit(extension) if isinstance(extension, str) else extension
     return F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), end))
@@ -104,7 +109,7 @@ def supplier_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("}\n"),
     )
     path = F.concat(F.lit("suppliers/"), key, F.lit(".rs"))
-    return table_corpus(table(spark, sf_dir, "supplier"), path, source)
+    return table_corpus(keys(spark, sf_dir, "supplier", "s_suppkey"), path, source)
 
 
 def chunk_report(chunks: DataFrame) -> DataFrame:
@@ -218,7 +223,7 @@ def decl_kinds(spark, sf_dir):
     inner = F.when(F.col("p_partkey") % 8 == 0, "/* inner } */ {").otherwise("{")
     body = F.repeat(F.lit("    a();\n"), (1 + F.col("p_partkey") % 4).cast("int"))
     source = F.concat(F.replace(F.replace(F.lit(KINDS), F.lit("@"), key), F.lit("%"), inner), body, F.lit("}\n"))
-    corpus = table_corpus(table(spark, sf_dir, "part"), F.concat(F.lit("parts/"), key, F.lit(".rs")), source)
+    corpus = table_corpus(keys(spark, sf_dir, "part", "p_partkey"), F.concat(F.lit("parts/"), key, F.lit(".rs")), source)
     return chunk_files(corpus, None).select("file_path", "chunk_ord", "start_line", "end_line", "item_name", "text")
 
 
@@ -237,7 +242,7 @@ def impl_trait_split(spark, sf_dir):
         F.array_join(method, ""),
         F.lit("}\n"),
     )
-    corpus = table_corpus(table(spark, sf_dir, "supplier"), F.concat(F.lit("makers/"), key, F.lit(".rs")), source)
+    corpus = table_corpus(keys(spark, sf_dir, "supplier", "s_suppkey"), F.concat(F.lit("makers/"), key, F.lit(".rs")), source)
     return chunk_files(corpus, None).select("file_path", "chunk_ord", "start_line", "end_line", "item_name", "text")
 
 
@@ -274,7 +279,7 @@ def constants(spark, sf_dir):
     key = F.col("p_partkey").cast("string")
     source = F.concat(F.lit("const A_"), key, F.lit(": u8 = 1; const B_"), key, F.lit(": u8 = 2;\n"))
     path = F.concat(F.lit("parts/"), key, F.lit(".rs"))
-    return table_corpus(table(spark, sf_dir, "part"), path, source)
+    return table_corpus(keys(spark, sf_dir, "part", "p_partkey"), path, source)
 
 
 # Sources

@@ -17,6 +17,7 @@ from corpusloom.sources import walk
 INVALID_UTF8 = "not valid UTF-8"
 HIDDEN = "hidden file, not read by Spark"
 REASONS = (INVALID_UTF8, HIDDEN, walk.BAD_NAME, walk.NOT_LISTED, walk.NOT_READ, walk.TOO_LARGE)  # kinds of them
+ROWS_EACH = 2_048  # rows of a table that a task makes files of, where they are dealt
 _READ_ANYWAY = re.compile(r"_[^=]*=.*|_metadata.*|_common_metadata.*")  # by Spark's listing
 
 
@@ -147,6 +148,15 @@ def scan_corpus(spark: SparkSession, roots: Sequence[SourceRoot]) -> DataFrame:
     return decode(scan_roots(spark, roots))
 
 
+def spread(table: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:
+    """``table`` dealt to tasks of about ``rows_each`` rows: a small file may hold more rows than one task
+    should make files of, and chunking, a narrow stage, has as many tasks as its input.
+
+    Select what the files are made of first: that is what is shuffled.
+    """
+    return table.repartition(max(1, -(-table.count() // rows_each)))
+
+
 def table_corpus(table: DataFrame, path: Column, text: Column) -> DataFrame:
     """Any table as a corpus: one row is one file."""
     return table.select(path.alias("file_path"), text.alias("source"))

@@ -24,7 +24,9 @@ from corpusloom.operators.embed import (
     token_usage,
 )
 from corpusloom.plans import pipelines
+from corpusloom.plans.queries import QUERIES
 from corpusloom.sources import corpus, index_table, walk
+from corpusloom.sources.corpus import spread
 from corpusloom.streaming.incremental import keep_indexed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -594,3 +596,11 @@ def test_word_vectors_of_sliced_batches():
         assert np.allclose(got, np.array(expected[at : at + len(part)]).reshape(-1, 8), atol=1e-6)
     assert sum(len(p) for p in _slices(whole)) == len(texts)
     assert not _hash_vectors(pa.array(["", "...", None]), 8).any()
+
+
+def test_files_made_of_a_small_table_are_dealt_to_tasks(spark, tmp_path):
+    spark.range(5_000).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_name")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = QUERIES["decl_kinds"](spark, str(tmp_path))
+    tasks = made.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("file_path").alias("files")).collect()
+    assert len(tasks) == 3 and sum(t.files for t in tasks) == 5_000 and max(t.files for t in tasks) < 1_700
+    assert spread(spark.range(0)).count() == 0
