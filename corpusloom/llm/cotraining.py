@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import Hasher, fold, lean, staged, text_blocks, text_bytes, word_ranges
+from corpusloom.llm.common import SLICE_BYTES, Hasher, fold, lean, staged, text_blocks, text_bytes, word_ranges
 
 WORDS, PAIRS, NUMBERS = 256, 256, 16  # features of the text view: hashed words, shape pairs, shares
 SOURCES, LANGS, SIZES = 32, 16, 16  # of the metadata view
@@ -22,6 +22,11 @@ PASSES, CLOSE = 30, 1e-4  # passes of a round's fit, at most; share of the loss
 MEMORY = 8  # steps whose curvature a fit remembers
 MOST_LOST = 0.003  # of the good documents of the calibration fold may score below the threshold
 RIDGE = 3.0
+COUNT_BITS = SLICE_BYTES.bit_length()  # of a count of bytes in a block of texts; three are kept in a number
+
+
+def tallied(row: np.ndarray, code: np.ndarray, rows: int, width: int) -> np.ndarray:
+    return np.bincount(row * width + code, minlength=rows * width).reshape(rows, width)
 
 
 def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -34,35 +39,50 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     kinds[[9, 10, 11, 12, 13, 32]] = 5
     counts, pairs = np.zeros((rows, WORDS)), np.zeros((rows, PAIRS))
     sums = np.zeros((rows, NUMBERS))
+    # Counts of three kinds of bytes stand in one number, so that one prefix sum serves all three.
+    codes = np.zeros((2, 256), np.uint64)
+    for k in range(5):
+        codes[k // 3, kinds == k] = 1 << COUNT_BITS * (k % 3)
+    codes[1, 10] = 1 << COUNT_BITS * 2
+    places = np.arange(3, dtype=np.uint64) * np.uint64(COUNT_BITS)
     for low, high, part, local in text_blocks(data, offsets):
         n = high - low
         starts, ends, text = word_ranges(part, local)
-        kind = kinds[part]
-        owner = np.repeat(np.arange(n), np.diff(local))
-        for k in range(6):
-            sums[low:high, k] += np.bincount(owner[kind == k], minlength=n)
-        sums[low:high, 6] += np.bincount(owner[part == 10], minlength=n)
+        before = np.zeros((2, len(part) + 1), np.uint64)
+        for own, code in zip(before, codes):
+            np.cumsum(code[part], out=own[1:])
+
+        def counted(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            """Rows: the five kinds that are not white space, and new lines."""
+            packed = (before[:, ends] - before[:, starts])[:, None] >> places[None, :, None]
+            return (packed & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64).reshape(6, -1)
+
+        of_texts = counted(local[:-1], local[1:])
+        sums[low:high, :5] += of_texts[:5].T
+        sums[low:high, 5] += np.diff(local) - of_texts[:5].sum(axis=0)
+        sums[low:high, 6] += of_texts[5]
         if not len(starts):
             continue
         words = hasher.ranges(part, starts, ends)
-        inside = [np.concatenate(([0], np.cumsum(kind == k))) for k in range(5)]
-        lower, upper, digit, sign, beyond = (c[ends] - c[starts] for c in inside)
+        lower, upper, digit, sign, beyond = counted(starts, ends)[:5]
         size = ends - starts
         shape = np.select(
             [digit > 0, sign == size, (upper > 1) & (lower == 0), upper > 1, upper == 1, lower + beyond > 0], range(6), 6
         )
-        shape = (shape * 3 + np.minimum(sign, 2)) * 4 + np.minimum(np.log2(size).astype(np.int64), 3)
-        np.add.at(counts, (text + low, (words % np.uint64(WORDS)).astype(np.int64)), 1)
+        magnitude = (size >= 2).astype(np.int64) + (size >= 4) + (size >= 8)
+        shape = (shape * 3 + np.minimum(sign, 2)) * 4 + magnitude
+        counts[low:high] += tallied(text, (words % np.uint64(WORDS)).astype(np.int64), n, WORDS)
         near = np.flatnonzero(text[1:] == text[:-1])
         code = (shape[near] * 101 + shape[near + 1]) * 40503 % 65521 % PAIRS
-        np.add.at(pairs, (text[near] + low, code), 1)
+        pairs[low:high] += tallied(text[near], code, n, PAIRS)
         sums[low:high, 7] += np.bincount(text, minlength=n)
         sums[low:high, 8] += np.bincount(text[near][words[near] == words[near + 1]], minlength=n)
         far = np.flatnonzero(text[2:] == text[:-2])
         sums[low:high, 9] += np.bincount(text[far][words[far] == words[far + 2]], minlength=n)
-        order = np.lexsort((words, text))
-        first = np.concatenate(([True], (words[order][1:] != words[order][:-1]) | (text[order][1:] != text[order][:-1])))
-        sums[low:high, 10] += np.bincount(text[order][first], minlength=n)
+        order = np.argsort(words, kind="stable")  # texts ascend already, so they do within equal words
+        word, of = words[order], text[order]
+        first = np.concatenate(([True], (word[1:] != word[:-1]) | (of[1:] != of[:-1])))
+        sums[low:high, 10] += np.bincount(of[first], minlength=n)
         sums[low:high, 11] += np.bincount(text, size, n)
     n_words, n_bytes = np.maximum(sums[:, 7], 1), np.maximum(np.diff(offsets), 1)
     numbers = sums.copy()

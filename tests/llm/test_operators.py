@@ -8,12 +8,14 @@ import math
 import random
 import sys
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -585,3 +587,19 @@ def test_views_teach_each_other():
     learn, hold, free, test = slice(0, 40), slice(40, 240), slice(240, 1500), slice(1500, 3000)
     model = cotraining.cotrain(parts(learn), y[learn].astype(float), parts(free), parts(hold), y[hold].astype(float))
     assert ((model.scores(parts(test))[0] >= 0.5) == y[test]).mean() >= 0.99
+
+
+def test_text_features_hold_little_beside_a_block():
+    texts = ["a" * (1 << 20), "\n" * (1 << 20), "Ab 12 ,; é\n" * 80_000, "", "one Two one Two"]
+    data, offsets = common.text_bytes(pa.array(texts))
+    cotraining.text_features(data[: offsets[1]], offsets[:2])  # what is kept for good comes first
+    tracemalloc.start()
+    found = cotraining.text_features(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    shares = found[:, -cotraining.NUMBERS :]
+    assert shares[0, 0] == 1 and shares[1, 5] == 1 and shares[1, 6] == 1 and not shares[3].any()
+    kinds = [1, 1, 2, 2, 2, 4, 1]  # bytes of a line: lower, upper, digits, signs, beyond, white, new lines
+    assert np.allclose(shares[2, :7], np.array(kinds) / 12, atol=1e-3)
+    assert np.allclose(shares[4, 7:11], [np.log1p(4), 0, 0.5, 0.5], atol=1e-3)
+    assert peak < 105 << 20, peak
