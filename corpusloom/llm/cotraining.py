@@ -20,6 +20,7 @@ LABELLED = 16_000  # labelled rows that are collected, at most
 ROUNDS, SURE = 3, 0.98  # of pseudo-labels; calibrated confidence
 PASSES, CLOSE = 30, 1e-4  # passes of a round's fit, at most; share of the loss still to gain that ends it
 MEMORY = 8  # steps whose curvature a fit remembers
+PARTIALS = 32  # tasks of a pass, at least: each sends its sums, as wide as the features
 MOST_LOST = 0.003  # of the good documents of the calibration fold may score below the threshold
 RIDGE = 3.0
 COUNT_BITS = SLICE_BYTES.bit_length()  # of a count of bytes in a block of texts; three are kept in a number
@@ -335,8 +336,10 @@ def cotrain(
 
 
 def spark_pool(rows: DataFrame) -> Pool:
-    """Sums over all ``rows``, with features ``a, b``: each task's rows of the sums are added up by
-    their place, so what reaches the driver does not grow with the rows or the tasks."""
+    """Sums over all ``rows``, with features ``a, b``: a pass is one stage without a shuffle, of tasks
+    as many as the cores need, so what reaches the driver does not grow with the rows or their files."""
+    tasks = max(PARTIALS, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.select("a", "b").coalesce(tasks)
 
     def pool(teachers: list[Teacher], weights: list[np.ndarray | None]) -> list[Sums | None]:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,28 +351,17 @@ def spark_pool(rows: DataFrame) -> Pool:
                         old = stacks[view]
                         stacks[view] = sums.stack() if old is None else old + sums.stack()
             task = TaskContext.get().partitionId()
-            for view, stack in enumerate(stacks):
-                if stack is not None:
-                    n = len(stack)
-                    parts = [np.full(n, view, np.int32), np.arange(n, dtype=np.int32), np.full(n, task, np.int32)]
-                    blobs = pa.array([row.tobytes() for row in stack], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, parts), blobs], names=["view", "place", "task", "sums"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            totals: dict[tuple[int, int], np.ndarray] = {}
-            for batch in batches:
-                for view, place, _, blob in zip(*(column.to_pylist() for column in batch.columns)):
-                    row = np.frombuffer(blob)
-                    totals[view, place] = totals[view, place] + row if (view, place) in totals else row
-            keys = [pa.array([key[i] for key in totals], pa.int32()) for i in range(2)]
-            blobs = pa.array([row.tobytes() for row in totals.values()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*keys, blobs], names=["view", "place", "sums"])
-
-        found = rows.select("a", "b").mapInArrow(lean(partial), "view int, place int, task int, sums binary")
-        found = found.repartition("view", "place").sortWithinPartitions("view", "place", "task")
-        total = found.mapInArrow(add, "view int, place int, sums binary").toArrow().to_pylist()
-        stacks = [{row["place"]: np.frombuffer(row["sums"]) for row in total if row["view"] == view} for view in range(2)]
-        return [Sums.of(np.stack([stack[i] for i in range(len(stack))])) if stack else None for stack in stacks]
+            found = [view for view, stack in enumerate(stacks) if stack is not None]
+            blobs = pa.array([stacks[view].tobytes() for view in found], pa.binary())
+            parts = [pa.array(found, pa.int32()), pa.array([task] * len(found), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*parts, blobs], names=["view", "task", "sums"])
+
+        stacks: list[np.ndarray | None] = [None, None]
+        found = rows.mapInArrow(lean(partial), "view int, task int, sums binary").toArrow().to_pylist()
+        for row in sorted(found, key=lambda row: row["task"]):  # added up in one order, so reruns agree
+            stack, old = np.frombuffer(row["sums"]).reshape(4, -1), stacks[row["view"]]
+            stacks[row["view"]] = stack if old is None else old + stack
+        return [None if stack is None else Sums.of(stack) for stack in stacks]
 
     return pool
 

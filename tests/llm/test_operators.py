@@ -552,6 +552,31 @@ def test_spark_sums_are_the_sums_over_all_rows(spark):
         assert one.first[0] > 2_000 and np.allclose(one.stack(), other.stack())
 
 
+def test_a_pass_of_sums_is_one_stage_of_few_tasks(spark):
+    """Of a table in many files: no shuffle, and no more tasks than the cores need."""
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    most = max(cotraining.PARTIALS, 2 * sc.defaultParallelism)
+    rng = np.random.default_rng(0)
+    views = [rng.normal(size=(1_000, n)).astype(np.float16) for n in (5, 3)]
+    rows = [tuple(v[i].tobytes() for v in views) for i in range(1_000)]
+    files = common.staged(spark.createDataFrame(rows, "a binary, b binary").repartition(most + 40))
+    model = lambda n: cotraining.Logistic(np.zeros(n), np.ones(n), np.full(n + 1, 2.0))
+    teachers, weights = [(model(5), model(1)), (model(3), model(1))], [rng.normal(size=6), rng.normal(size=4)]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+        assert files.rdd.getNumPartitions() >= most + 40
+        sc.setJobGroup("pass of sums", "test")
+        found = cotraining.spark_pool(files)(teachers, weights)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup("pass of sums")]
+    stages = [tracker.getStageInfo(stage) for job in jobs for stage in job.stageIds]
+    assert len(stages) == 1 and stages[0].numTasks <= most
+    for one, other in zip(cotraining.sums_over(views, teachers, weights), found):
+        assert one.first[0] > 100 and np.allclose(one.stack(), other.stack())
+
+
 @pytest.mark.parametrize("first", [0.0, 3.0])
 def test_refit_reaches_the_plain_fit(first):
     """Gradients summed over pseudo-labelled rows end where Newton's method on all rows ends."""
